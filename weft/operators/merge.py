@@ -71,9 +71,8 @@ def aggregate_side(right: DataFrame, keys: Sequence[str], table: str, order: Seq
     name = {c: _lineage(right, c, table) for cs in cols.values() for c in cs}
 
     def out(fn: str, c: str) -> str:
-        full, _ = name[c]
-        source, _, rest = full.partition("__")
-        return f"{source}__{fn}__{rest}"
+        full, source = name[c]
+        return f"{source}__{fn}__{full[len(source) + 2:]}"
 
     aggs, meta = [], {}
     for s in ("mean", "sum"):
