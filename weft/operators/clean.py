@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weft.sources.tables import CAT, MULTI_CAT, NUM, TIME, kind_of
+from weft.sources.tables import CAT, MULTI_CAT, NUM, TIME
 
 # What a missing value of each semantic type becomes.
 FILL_NUM = -1
@@ -16,24 +16,23 @@ FILL_MULTI_CAT = "0"
 FILL_TIME = "1970-01-01 00:00:00"
 
 
-def fill_expr(column: Column, kind: str | None, data_type: str) -> Column:
-    """``column`` with the fill value of its semantic type in place of nulls."""
-    if kind == NUM:
-        return F.coalesce(column, F.lit(FILL_NUM).cast(data_type))
-    if kind in (CAT, MULTI_CAT):
-        return F.coalesce(column, F.lit(FILL_CAT if kind == CAT else FILL_MULTI_CAT).cast(data_type))
-    if kind == TIME:
-        return F.coalesce(column, F.to_timestamp_ntz(F.lit(FILL_TIME)).cast(data_type))
-    return column
+def fill_value(kind: str | None, data_type: str) -> str | None:
+    """The SQL literal that replaces a null of the semantic type."""
+    value = {NUM: str(FILL_NUM), CAT: f"'{FILL_CAT}'", MULTI_CAT: f"'{FILL_MULTI_CAT}'",
+             TIME: f"TIMESTAMP_NTZ '{FILL_TIME}'"}.get(kind)
+    return None if value is None else f"CAST({value} AS {data_type})"
 
 
 def clean_fill(df: DataFrame, kinds: Mapping[str, str] | None = None) -> DataFrame:
     """Fill nulls by semantic type in one projection; the types come from the metadata or ``kinds``."""
     out = []
     for f in df.schema.fields:
-        kind = kinds.get(f.name) if kinds is not None else kind_of(df, f.name)
-        filled = fill_expr(F.col(f.name), kind, f.dataType.simpleString())
-        out.append(filled.alias(f.name, metadata=f.metadata) if f.metadata else filled.alias(f.name))
+        kind = kinds.get(f.name) if kinds is not None else (f.metadata or {}).get("weft.kind")
+        value = fill_value(kind, f.dataType.simpleString())
+        if value is None:
+            out.append(f.name)
+        else:
+            out.append(F.expr(f"coalesce(`{f.name}`, {value})").alias(f.name, metadata=f.metadata or {}))
     return df.select(*out)
 
 

@@ -41,11 +41,10 @@ def apply_codes(df: DataFrame, codes: DataFrame, columns: Mapping[str, str],
     for c, name in columns.items():
         one = codes.where(F.col("feature") == c).select(F.col("value").alias("_value"), F.col("n").alias("_n"),
                                                         F.col("code").alias("_code"))
-        keyed = out.withColumn("_text", F.col(c).cast("string"))
-        joined = attach(keyed, one, ["_text"], n_keys=sizes.get(c, 0), weight="_n", table_keys=["_value"],
-                        spread=spread)
-        out = joined.select(*out.columns, tagged(F.coalesce("_code", F.lit(UNKNOWN)).cast("long"), name,
-                                                 CAT, "", origin="code"))
+        joined = attach(out.withColumn("_text", F.col(c).cast("string")), one, ["_text"], n_keys=sizes.get(c, 0),
+                        weight="_n", table_keys=["_value"], spread=spread)
+        code = F.coalesce("_code", F.lit(UNKNOWN)).cast("long")
+        out = joined.withColumn(name, tagged(code, name, CAT, "", origin="code")).drop("_text", "_code")
     return out
 
 
@@ -77,4 +76,4 @@ def combination_codes(df: DataFrame, keys: Sequence[str], name: str, spread: Seq
     n_keys = key_estimates(df, [tuple(keys)])[tuple(keys)]
     joined = attach(df, codes, list(keys), n_keys=n_keys, weight="_n",
                     table_keys=[f"_key{i}" for i in range(len(keys))], spread=spread)
-    return joined.select(*df.columns, tagged(F.col("_code"), name, CAT, "", origin="code"))
+    return joined.withColumn(name, tagged(F.col("_code"), name, CAT, "", origin="code")).drop("_code")

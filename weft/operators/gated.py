@@ -78,7 +78,7 @@ def gated_pair_counts(df: DataFrame, columns: Sequence[str], codes: Sequence[str
     values = freq.groupBy(F.col("pair").cast("string").alias("feature"), F.col("n").cast("double").alias("value")
                           ).agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
     found = mutual_information(bin_counts(values, bins)).collect()
-    return _fit(df, {count_of(*pairs[int(i)]): mi for i, mi in found if mi > threshold})
+    return _fit(df, {count_of(*sorted(pairs[int(i)])): mi for i, mi in found if mi > threshold})
 
 
 def gated_pair_nuniques(df: DataFrame, columns: Sequence[str], codes: Sequence[str], label: str,
@@ -95,14 +95,13 @@ def gated_pair_nuniques(df: DataFrame, columns: Sequence[str], codes: Sequence[s
                          "value", "pos", "neg")
         sides = one if sides is None else sides.unionByName(one)
     values = sides.groupBy("feature", "value").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
-    best: dict[tuple[str, str], tuple[float, str]] = {}
+    best: dict[tuple[str, str], tuple[float, GroupFeature]] = {}
     for feature, mi in mutual_information(bin_counts(values, bins)).collect():
         i, side = feature.split(":")
-        pair = pairs[int(i)]
-        if pair not in best or (mi, side == "a") > (best[pair][0], best[pair][1] == "a"):
-            best[pair] = (mi, side)
-    chosen = {}
-    for (a, b), (mi, side) in best.items():
-        if mi > threshold:
-            chosen[nunique_of(*((a, b) if side == "a" else (b, a)))] = mi
+        a, b = pairs[int(i)]
+        f = nunique_of(a, b) if side == "a" else nunique_of(b, a)
+        # the better direction; on a tie the one first by name
+        if (a, b) not in best or (-mi, f.name) < (-best[a, b][0], best[a, b][1].name):
+            best[a, b] = (mi, f)
+    chosen = {f: mi for mi, f in best.values() if mi > threshold}
     return _fit(df, chosen)

@@ -110,7 +110,7 @@ def score_pairs(df: DataFrame, pairs: Sequence[tuple[str, str]], label: str, bin
         scored = hellinger(counts) if measure == "hellinger" else mutual_information(counts)
         for feature, score in scored.collect():
             kind, i, side = feature.split(":")
-            a, b = batch[int(i)]
+            a, b = sorted(batch[int(i)]) if kind == "count" else batch[int(i)]
             out[PairFeature(kind, *((a, b) if side == "a" else (b, a)))] = score
     return out
 

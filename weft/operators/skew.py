@@ -52,19 +52,11 @@ def attach(rows: DataFrame, table: DataFrame, keys: Sequence[str], *, n_keys: in
     table_keys = list(table_keys or keys)
     values = [c for c in table.columns if c not in table_keys and c != weight]
     key_cols = [F.col(k) for k in keys]
-
-    def side(df: DataFrame, tag: str) -> DataFrame:
-        return df.select(*[F.col(k).alias(f"_{tag}k{i}") for i, k in enumerate(table_keys)],
-                         *[F.col(v).alias(f"_{tag}v{i}") for i, v in enumerate(values)])
-
-    def on(tag: str) -> Column:
-        return same_keys(key_cols, [F.col(f"_{tag}k{i}") for i in range(len(table_keys))])
-
-    meta = {f.name: f.metadata for f in table.schema.fields}
+    cold = table.select(*[F.col(k).alias(f"_ck{i}") for i, k in enumerate(table_keys)], *values)
+    cold_keys = [f"_ck{i}" for i in range(len(table_keys))]
+    on_cold = same_keys(key_cols, [F.col(k) for k in cold_keys])
     if n_keys <= broadcast_keys:
-        joined = rows.join(F.broadcast(side(table, "c")), on("c"), "left")
-        return joined.select(*[F.col(c) for c in rows.columns],
-                             *[F.col(f"_cv{i}").alias(v, metadata=meta[v]) for i, v in enumerate(values)])
+        return rows.join(F.broadcast(cold), on_cold, "left").drop(*cold_keys)
 
     if weight is None:
         counts = rows.groupBy(*key_cols).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= hot_rows)
@@ -74,13 +66,17 @@ def attach(rows: DataFrame, table: DataFrame, keys: Sequence[str], *, n_keys: in
                          [F.col(f"_w{i}") for i in range(len(keys))]), "left_semi")
     else:
         hot = table.where(F.col(weight) >= hot_rows).orderBy(F.desc(weight)).limit(hot_keys)
-    hot = side(hot, "h").withColumn("_hot", F.lit(True))
+    hot_names = {v: f"_hv{i}" for i, v in enumerate(values)}
+    hot = hot.select(*[F.col(k).alias(f"_hk{i}") for i, k in enumerate(table_keys)],
+                     *[F.col(v).alias(h) for v, h in hot_names.items()], F.lit(True).alias("_hot"))
+    on_hot = same_keys(key_cols, [F.col(f"_hk{i}") for i in range(len(table_keys))])
     salt = F.pmod(F.xxhash64(*(spread or rows.columns)), F.lit(SALTS)) + 1
-    marked = rows.join(F.broadcast(hot), on("h"), "left").withColumn(
+    marked = rows.join(F.broadcast(hot), on_hot, "left").withColumn(
         "_salt", F.when(F.col("_hot"), salt).otherwise(F.lit(0)).cast("int"))
-    cold = side(table, "c").withColumn("_csalt", F.lit(0))
-    joined = marked.join(cold, on("c") & (F.col("_salt") == F.col("_csalt")), "left")
-    return joined.select(
-        *[F.col(c) for c in rows.columns],
-        *[F.when(F.col("_hot"), F.col(f"_hv{i}")).otherwise(F.col(f"_cv{i}")).alias(v, metadata=meta[v])
-          for i, v in enumerate(values)])
+    # hot rows carry a salt no table row has: they move evenly and match nothing here
+    joined = marked.join(cold.withColumn("_csalt", F.lit(0)), on_cold & (F.col("_salt") == F.col("_csalt")), "left")
+    meta = {f.name: f.metadata for f in table.schema.fields}
+    return joined.withColumns({
+        v: F.when(F.col("_hot"), F.col(h)).otherwise(F.col(v)).alias(v, metadata=meta[v])
+        for v, h in hot_names.items()
+    }).drop("_hot", "_salt", "_csalt", *cold_keys, *[f"_hk{i}" for i in range(len(table_keys))], *hot_names.values())

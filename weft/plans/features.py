@@ -6,7 +6,6 @@ from collections.abc import Collection
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
 
 from weft.functions.expressions import list_lengths, row_sum, time_differences, time_parts, with_exprs
 from weft.operators.candidates import count_encodings, key_column_pairs, key_num_stats, pair_counts, pair_nuniques
@@ -99,9 +98,7 @@ def engineer(base: DataFrame, tables: TableSet, keep: Collection[str], *, label:
     groups += [g for g in key_num_stats(base, tables.relations, skip=[row_id]) if g.value in nums]
     groups = [g for g in dict.fromkeys(groups) if selected is None or g.name in selected]
     wide = add_group_features(df, groups, [row_id])
-    stats = {g.name for g in groups if g.fn not in ("count", "nunique")}
-    wide = wide.select(*[F.coalesce(F.col(c), F.lit(STAT_FILL)).alias(c) if c in stats else F.col(c)
-                         for c in wide.columns])
+    wide = wide.fillna(STAT_FILL, [g.name for g in groups if g.fn not in ("count", "nunique")])
     features += [g.name for g in groups]
 
     # Pair features by score.

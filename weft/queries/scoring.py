@@ -14,7 +14,7 @@ from weft.operators.pairs import PairFeatureModel
 from weft.operators.scoring import hellinger_scores, mutual_info
 from weft.operators.selection import feature_report as report_of
 from weft.queries import fixtures as X
-from weft.sources.tables import NUM, columns_of
+from weft.sources.workspace import materialize
 
 CATS = ("o_orderpriority", "customer__c_mktsegment", "customer__c_nationkey", "nation__n_name")
 CODES = tuple(f"{c}_code" for c in CATS)
@@ -26,7 +26,7 @@ PROFILED = ("o_totalprice", "customer__c_acctbal", "lineitem__mean__l_quantity",
 
 def _coded(spark: SparkSession, sf: str) -> DataFrame:
     m = merge_graph(X.customer_graph(spark, sf)).select("o_orderkey", "label", *CATS)
-    return encode(m, dict(zip(CATS, CODES, strict=True)), ["o_orderkey"])
+    return materialize(encode(m, dict(zip(CATS, CODES, strict=True)), ["o_orderkey"]), "coded")
 
 
 def hellinger_score(spark: SparkSession, sf: str) -> DataFrame:
@@ -53,9 +53,7 @@ def count_enc_mi(spark: SparkSession, sf: str) -> DataFrame:
 def pair_count_mi(spark: SparkSession, sf: str) -> DataFrame:
     df = _coded(spark, sf)
     model = G.gated_pair_counts(df, CATS[:3], CODES[:3], "label", threshold=0.0)
-    names = {f.name: "cnt__" + "__".join(sorted(f.keys)) for f in model.features}
-    return model.transform(df, ["o_orderkey"]).select(
-        "o_orderkey", *[F.col(n).alias(s) for n, s in names.items()])
+    return model.transform(df, ["o_orderkey"]).select("o_orderkey", *[f.name for f in model.features])
 
 
 def pair_nunique_mi(spark: SparkSession, sf: str) -> DataFrame:
@@ -127,8 +125,9 @@ def _candidates_sql() -> str:
     """Every candidate's (feature, value, pos, neg) on the rows."""
     out = [f"""SELECT 'fe_count__{c}' AS feature, CAST(count(*) OVER (PARTITION BY {c}) AS DOUBLE) AS value,
  label AS pos, 1 - label AS neg FROM m""" for c in CATS]
-    for i, a in enumerate(_BEST):
-        for b in _BEST[i + 1:]:
+    cats = sorted(CATS)
+    for i, a in enumerate(cats):
+        for b in cats[i + 1:]:
             out.append(f"""SELECT 'fe_count__{a}__{b}', CAST(count(*) OVER (PARTITION BY {a}, {b}) AS DOUBLE),
  label, 1 - label FROM m""")
             for x, y in ((a, b), (b, a)):
@@ -141,8 +140,6 @@ def _candidates_sql() -> str:
     return " UNION ALL ".join(out)
 
 
-# Names of pair counts name the columns in rank order; the oracle names them in this order and both sort.
-_BEST = CATS
 
 _TOPK_SQL = f"""WITH {_CODED_SQL},
  own AS (WITH v AS ({_long_sql('m', CODES)}), {_COUNTS_SQL} {_HELLINGER_SQL}),
@@ -167,15 +164,12 @@ def _nunique_mi_sql() -> str:
             name = f"nunique__{x}__{y}"
             v.append(f"""SELECT '{name}' AS feature, CAST(count(DISTINCT {y}) OVER (PARTITION BY {x}) AS DOUBLE)
  AS value, label AS pos, 1 - label AS neg FROM m""")
-            which.append(f"SELECT '{name}' AS feature, {i} AS pair, '{x}' AS first")
+            which.append(f"SELECT '{name}' AS feature, {i} AS pair")
     ranges = "r2 AS (SELECT feature, min(value) AS lo, max(value) AS hi FROM v GROUP BY feature)"
-    codes = " UNION ALL ".join(f"SELECT '{c}' AS first, '{c}_code' AS feature" for c in cats)
     return f"""WITH {_CODED_SQL},
- base AS (WITH v AS ({_long_sql('m', CODES[:3])}), {_COUNTS_SQL} {_MI_SQL}),
- lead AS (SELECT first, mi AS own FROM base JOIN ({codes}) USING (feature)),
  v AS ({' UNION ALL '.join(v)}), {ranges}, {_COUNTS_SQL},
  s AS ({_MI_SQL}),
- k AS (SELECT feature, mi, row_number() OVER (PARTITION BY pair ORDER BY mi DESC, first) AS n
+ k AS (SELECT feature, mi, row_number() OVER (PARTITION BY pair ORDER BY mi DESC, feature) AS n
   FROM s JOIN ({' UNION ALL '.join(which)}) USING (feature))
  SELECT feature, mi, lo, hi FROM k JOIN r2 USING (feature) WHERE n = 1"""
 
