@@ -73,8 +73,10 @@ def attach(rows: DataFrame, table: DataFrame, keys: Sequence[str], *, n_keys: in
     salt = F.pmod(F.xxhash64(*(spread or rows.columns)), F.lit(SALTS)) + 1
     marked = rows.join(F.broadcast(hot), on_hot, "left").withColumn(
         "_salt", F.when(F.col("_hot"), salt).otherwise(F.lit(0)).cast("int"))
-    # hot rows carry a salt no table row has: they move evenly and match nothing here
-    joined = marked.join(cold.withColumn("_csalt", F.lit(0)), on_cold & (F.col("_salt") == F.col("_csalt")), "left")
+    # Hot rows carry a salt no table row has: they move evenly and match nothing here. The table's salt is
+    # always 0, but written so that the optimizer cannot fold it and drop the salt from the shuffle keys.
+    zero = F.pmod(F.xxhash64(*cold_keys), F.lit(1)).cast("int")
+    joined = marked.join(cold.withColumn("_csalt", zero), on_cold & (F.col("_salt") == F.col("_csalt")), "left")
     meta = {f.name: f.metadata for f in table.schema.fields}
     return joined.withColumns({
         v: F.when(F.col("_hot"), F.col(h)).otherwise(F.col(v)).alias(v, metadata=meta[v])
