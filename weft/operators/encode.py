@@ -30,19 +30,24 @@ def code_table(df: DataFrame, columns: Sequence[str], buckets: int | None = None
     values = df.select(F.explode(pairs).alias("p")).select("p.feature", "p.value")
     distinct = values.where(F.col("value").isNotNull()).groupBy("feature", "value").agg(
         F.count(F.lit(1)).alias("n"))
-    return OrderedRows(distinct, ["feature"], ["value"], buckets).row_number("code")
+    return OrderedRows(distinct, ["feature"], ["value"], buckets).row_number("code").select(
+        "feature", "value", "n", "code")
 
 
-def apply_codes(df: DataFrame, codes: DataFrame, columns: Mapping[str, str],
-                spread: Sequence[str] | None = None) -> DataFrame:
-    """Add the code of each column under a new name; a value the table does not know becomes -1."""
+def apply_codes(df: DataFrame, codes: DataFrame, columns: Mapping[str, str], spread: Sequence[str] | None = None,
+                *, fitted_here: bool = False) -> DataFrame:
+    """Add the code of each column under a new name; a value the table does not know becomes -1.
+
+    ``fitted_here`` says that the codes were fitted on these rows, so their counts are known.
+    """
+    weight = ["n"] if fitted_here else []
     sizes = {r["feature"]: r["count"] for r in codes.groupBy("feature").count().collect()}  # a row per column
     out = df
     for c, name in columns.items():
-        one = codes.where(F.col("feature") == c).select(F.col("value").alias("_value"), F.col("n").alias("_n"),
-                                                        F.col("code").alias("_code"))
+        one = codes.where(F.col("feature") == c).select(F.col("value").alias("_value"), F.col("code").alias("_code"),
+                                                        *weight)
         joined = attach(out.withColumn("_text", F.col(c).cast("string")), one, ["_text"], n_keys=sizes.get(c, 0),
-                        weight="_n", table_keys=["_value"], spread=spread)
+                        weight=weight[0] if weight else None, table_keys=["_value"], spread=spread)
         code = F.coalesce("_code", F.lit(UNKNOWN)).cast("long")
         out = joined.withColumn(name, tagged(code, name, CAT, "", origin="code")).drop("_text", "_code")
     return out
@@ -51,7 +56,7 @@ def apply_codes(df: DataFrame, codes: DataFrame, columns: Mapping[str, str],
 def encode(df: DataFrame, columns: Mapping[str, str], spread: Sequence[str] | None = None,
            buckets: int | None = None) -> DataFrame:
     """Fit codes on ``df`` and add them to it."""
-    return apply_codes(df, code_table(df, list(columns), buckets), columns, spread)
+    return apply_codes(df, code_table(df, list(columns), buckets), columns, spread, fitted_here=True)
 
 
 def with_list_prefixes(df: DataFrame, columns: Sequence[str], sizes: Sequence[int] = (1, 2, 3)) -> DataFrame:

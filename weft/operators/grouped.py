@@ -101,9 +101,11 @@ def add_group_features(rows: DataFrame, features: Sequence[GroupFeature],
     sizes = key_estimates(source, [keys for keys, _, _ in tables])
     out = rows
     for keys, fs, table in tables:
-        table = table.select(*[F.col(k).alias(f"_key{i}") for i, k in enumerate(keys)], ROWS,
+        # row counts of another table say nothing about which keys are heavy here
+        weight = [ROWS] if over is None else []
+        table = table.select(*[F.col(k).alias(f"_key{i}") for i, k in enumerate(keys)], *weight,
                              *[tagged(F.col(f.name), f.name, NUM, "", origin=f.fn) for f in fs])
-        out = attach(out, table, keys, n_keys=sizes[keys], weight=ROWS,
+        out = attach(out, table, keys, n_keys=sizes[keys], weight=weight[0] if weight else None,
                      table_keys=[f"_key{i}" for i in range(len(keys))], spread=spread,
                      broadcast_keys=broadcast_keys, hot_rows=hot_rows, hot_keys=hot_keys)
     return out.select(*rows.columns, *[f.name for f in features])

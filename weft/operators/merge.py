@@ -119,16 +119,19 @@ def _join_aggregates(a: DataFrame, b: DataFrame, keys: Sequence[str]) -> DataFra
 
 
 def join_to_many(left: DataFrame, right: DataFrame, left_keys: Sequence[str], right_keys: Sequence[str],
-                 table: str, order: Sequence[str], unions: str = "length") -> DataFrame:
-    """Aggregate the side table per key, then left-join the result: rows are never multiplied."""
-    side = aggregate_side(right, right_keys, table, order, unions)
-    side = side.select(*[F.col(k).alias(f"_right{i}") for i, k in enumerate(right_keys)],
-                       *[c for c in side.columns if c not in right_keys])
-    on = None
-    for i, k in enumerate(left_keys):
-        eq = F.col(k) == F.col(f"_right{i}")
-        on = eq if on is None else on & eq
-    return left.join(side, on, "left").drop(*[f"_right{i}" for i in range(len(right_keys))])
+                 table: str, order: Sequence[str], unions: str = "length", *,
+                 spread: Sequence[str] | None = None, broadcast_keys: int = BROADCAST_KEYS) -> DataFrame:
+    """Aggregate the side table per key, then left-join the result: rows are never multiplied.
+
+    Side rows without a key belong to no row and are left out. Left rows that share a key (a fill value,
+    say) are salted if they are many.
+    """
+    with_key = right.dropna(subset=list(right_keys))
+    side = aggregate_side(with_key, right_keys, table, order, unions)
+    renamed = {k: f"_right{i}" for i, k in enumerate(right_keys)}
+    # the number of keys is not known before they are aggregated; at run time a small result is broadcast
+    return attach(left, side.withColumnsRenamed(renamed), list(left_keys), n_keys=broadcast_keys + 1,
+                  table_keys=list(renamed.values()), spread=spread, broadcast_keys=broadcast_keys)
 
 
 def depths(relations: Sequence[Relation], main: str) -> dict[str, int]:
@@ -171,13 +174,14 @@ def merge_graph(tables: TableSet, *, fill: str = "after", unions: str = "length"
             # a side table on a clock its parent does not have is left out
             if tables.time_col in side.columns and tables.time_col not in df.columns:
                 continue
+            spread = [tables.row_id] if tables.row_id in df.columns else None
             if edge.to_many:
                 df = join_to_many(df, side, edge.left_keys, edge.right_keys, edge.right,
-                                  tables.specs[edge.right].order, unions)
+                                  tables.specs[edge.right].order, unions, spread=spread,
+                                  broadcast_keys=broadcast_keys)
             else:
                 df = join_to_one(df, side, edge.left_keys, edge.right_keys, edge.right,
-                                 check_unique=check_unique, broadcast_keys=broadcast_keys,
-                                 spread=[tables.row_id] if tables.row_id in df.columns else None)
+                                 check_unique=check_unique, broadcast_keys=broadcast_keys, spread=spread)
         return df
 
     merged = gather(tables.main)

@@ -10,10 +10,11 @@ from pyspark.sql import functions as F
 
 # A table of at most this many keys is broadcast; the number of keys is measured first.
 BROADCAST_KEYS = 100_000
-# A key with this many rows is hot. The HOT_KEYS heaviest are joined by broadcast, so any key left
-# to the shuffle holds less than 1 / HOT_KEYS of the rows.
+# A key with this many rows is hot. At most HOT_KEYS of them are salted, the heaviest first, so that a key
+# without salt holds less than 1 / HOT_KEYS of the rows.
 HOT_ROWS = 1_000_000
 HOT_KEYS = 10_000
+# Shares a hot key is split into; its table row is repeated that often.
 SALTS = 4_096
 
 
@@ -44,41 +45,35 @@ def attach(rows: DataFrame, table: DataFrame, keys: Sequence[str], *, n_keys: in
     """Left-join a table that has one row per key onto ``rows``; null keys match null keys.
 
     ``n_keys`` is the measured size of ``table``. A small table is broadcast and the rows do not move.
-    A large one is shuffled, and the heaviest keys are taken out of that shuffle: their table rows (at
-    most ``hot_keys``) are broadcast, and the matching rows get a salt from ``spread`` (columns that
-    tell rows apart), so they spread over all tasks. ``weight`` is the column of ``table`` holding the
-    number of rows of the key; without it the rows are counted.
+    Otherwise both sides are shuffled, with the heaviest keys (at most ``hot_keys``) salted: their rows
+    spread over all tasks by ``spread`` (columns that tell rows apart), and their table row is repeated
+    for every salt. ``weight`` is the column of ``table`` holding the number of ``rows`` of the key, for
+    tables made from these very rows; without it the rows are counted.
     """
     table_keys = list(table_keys or keys)
     values = [c for c in table.columns if c not in table_keys and c != weight]
     key_cols = [F.col(k) for k in keys]
-    cold = table.select(*[F.col(k).alias(f"_ck{i}") for i, k in enumerate(table_keys)], *values)
-    cold_keys = [f"_ck{i}" for i in range(len(table_keys))]
-    on_cold = same_keys(key_cols, [F.col(k) for k in cold_keys])
+    side_keys = [f"_ck{i}" for i in range(len(table_keys))]
+    side = table.select(*[F.col(k).alias(s) for k, s in zip(table_keys, side_keys, strict=True)], *values)
+    on_side = same_keys(key_cols, [F.col(s) for s in side_keys])
     if n_keys <= broadcast_keys:
-        return rows.join(F.broadcast(cold), on_cold, "left").drop(*cold_keys)
+        return rows.join(F.broadcast(side), on_side, "left").drop(*side_keys)
 
+    heavy_keys = [f"_hk{i}" for i in range(len(table_keys))]
     if weight is None:
-        counts = rows.groupBy(*key_cols).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= hot_rows)
-        heavy = counts.orderBy(F.desc("_n")).limit(hot_keys).select(
-            *[F.col(k).alias(f"_w{i}") for i, k in enumerate(keys)])
-        hot = table.join(F.broadcast(heavy), same_keys([F.col(k) for k in table_keys],
-                         [F.col(f"_w{i}") for i in range(len(keys))]), "left_semi")
+        counted = rows.groupBy(*[F.col(k).alias(h) for k, h in zip(keys, heavy_keys, strict=True)]).agg(
+            F.count(F.lit(1)).alias("_n"))
     else:
-        hot = table.where(F.col(weight) >= hot_rows).orderBy(F.desc(weight)).limit(hot_keys)
-    hot_names = {v: f"_hv{i}" for i, v in enumerate(values)}
-    hot = hot.select(*[F.col(k).alias(f"_hk{i}") for i, k in enumerate(table_keys)],
-                     *[F.col(v).alias(h) for v, h in hot_names.items()], F.lit(True).alias("_hot"))
-    on_hot = same_keys(key_cols, [F.col(f"_hk{i}") for i in range(len(table_keys))])
-    salt = F.pmod(F.xxhash64(*(spread or rows.columns)), F.lit(SALTS)) + 1
-    marked = rows.join(F.broadcast(hot), on_hot, "left").withColumn(
-        "_salt", F.when(F.col("_hot"), salt).otherwise(F.lit(0)).cast("int"))
-    # Hot rows carry a salt no table row has: they move evenly and match nothing here. The table's salt is
-    # always 0, but written so that the optimizer cannot fold it and drop the salt from the shuffle keys.
-    zero = F.pmod(F.xxhash64(*cold_keys), F.lit(1)).cast("int")
-    joined = marked.join(cold.withColumn("_csalt", zero), on_cold & (F.col("_salt") == F.col("_csalt")), "left")
-    meta = {f.name: f.metadata for f in table.schema.fields}
-    return joined.withColumns({
-        v: F.when(F.col("_hot"), F.col(h)).otherwise(F.col(v)).alias(v, metadata=meta[v])
-        for v, h in hot_names.items()
-    }).drop("_hot", "_salt", "_csalt", *cold_keys, *[f"_hk{i}" for i in range(len(table_keys))], *hot_names.values())
+        counted = table.select(*[F.col(k).alias(h) for k, h in zip(table_keys, heavy_keys, strict=True)],
+                               F.col(weight).alias("_n"))
+    heavy = counted.where(F.col("_n") >= hot_rows).orderBy(F.desc("_n")).limit(hot_keys).select(
+        *heavy_keys, F.lit(True).alias("_hot"))
+    heavy_cols = [F.col(h) for h in heavy_keys]
+    salt = F.pmod(F.xxhash64(*(spread or rows.columns)), F.lit(SALTS)).cast("int") + 1
+    salted = rows.join(F.broadcast(heavy), same_keys(key_cols, heavy_cols), "left").withColumn(
+        "_salt", F.when(F.col("_hot"), salt).otherwise(F.lit(0))).drop(*heavy_keys, "_hot")
+    salts = F.when(F.col("_hot"), F.sequence(F.lit(1), F.lit(SALTS))).otherwise(F.array(F.lit(0)))
+    repeated = side.join(F.broadcast(heavy), same_keys([F.col(s) for s in side_keys], heavy_cols), "left").withColumn(
+        "_side_salt", F.explode(salts)).drop(*heavy_keys, "_hot")
+    joined = salted.join(repeated, on_side & (F.col("_salt") == F.col("_side_salt")), "left")
+    return joined.drop("_salt", "_side_salt", *side_keys)

@@ -29,12 +29,17 @@ def _coded(spark: SparkSession, sf: str) -> DataFrame:
     return materialize(encode(m, dict(zip(CATS, CODES, strict=True)), ["o_orderkey"]), "coded")
 
 
+def _merged(spark: SparkSession, sf: str) -> DataFrame:
+    """The scored columns of the merged table, written once because scoring reads them twice."""
+    return materialize(merge_graph(X.order_graph(spark, sf)).select("label", *SCORED), "merged")
+
+
 def hellinger_score(spark: SparkSession, sf: str) -> DataFrame:
-    return hellinger_scores(merge_graph(X.order_graph(spark, sf)), SCORED, "label")
+    return hellinger_scores(_merged(spark, sf), SCORED, "label")
 
 
 def mutual_info_query(spark: SparkSession, sf: str) -> DataFrame:
-    return mutual_info(merge_graph(X.order_graph(spark, sf)), SCORED, "label")
+    return mutual_info(_merged(spark, sf), SCORED, "label")
 
 
 def fe_topk(spark: SparkSession, sf: str) -> DataFrame:
@@ -88,7 +93,7 @@ def collinear(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def feature_report(spark: SparkSession, sf: str) -> DataFrame:
-    return report_of(_wide_with_nulls(spark, sf).cache(), [*PROFILED, "constant"], PROFILED,
+    return report_of(materialize(_wide_with_nulls(spark, sf).select(*PROFILED, "constant"), "wide"), [*PROFILED, "constant"], PROFILED,
                      missing_threshold=0.01, correlation_threshold=0.9)
 
 
