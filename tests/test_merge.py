@@ -161,13 +161,32 @@ def test_asof_fills_each_column_and_prefers_the_same_time(spark):
                                   "id long, k string, t int, x double, y double")
     for buckets in (1, 3, 7):
         got = {r["id"]: (r["asof__x"], r["asof__y"])
-               for r in asof_join(left, right, "k", "t", "id", ["x", "y"], buckets=buckets).collect()}
+               for r in asof_join(left, right, "k", "t", "id", ["x", "y"], right_id="id", buckets=buckets).collect()}
         assert got == {1: (1.0, 20.0), 2: (None, None), 3: (None, None), 4: (1.0, 30.0)}
+        twice = right.drop("id").union(right.drop("id"))
+        assert got == {r["id"]: (r["asof__x"], r["asof__y"])
+                       for r in asof_join(left, twice, "k", "t", "id", ["x", "y"], buckets=buckets).collect()}
         roll = {r["id"]: r["roll5__sum__x"]
-                for r in asof_rolling(left, right, "k", "t", "id", ["x"], buckets=buckets).collect()}
+                for r in asof_rolling(left, right, "k", "t", "id", ["x"], right_id="id", buckets=buckets).collect()}
         assert roll == {1: 3.0, 2: None, 3: None, 4: 3.0}
 
 
+def test_merging_as_of_sees_no_later_rows(spark):
+    main = spark.createDataFrame([(1, "a", dt.datetime(2024, 1, 2)), (2, "a", dt.datetime(2024, 1, 5)),
+                                  (3, "b", dt.datetime(2024, 1, 5))], "id long, k string, t timestamp_ntz")
+    side = spark.createDataFrame([("a", dt.datetime(2024, 1, 1), 1.0, "x"), ("a", dt.datetime(2024, 1, 3), 9.0, "y"),
+                                  ("a", dt.datetime(2024, 1, 9), 99.0, "z")],
+                                 "k string, t timestamp_ntz, v double, c string")
+    g = TableSet({"main": main, "log": side}, {"main": TableSpec({"k": CAT, "t": TIME}, keys=("k",)),
+                                               "log": TableSpec({"v": NUM, "c": CAT, "t": TIME}, order=("t",))},
+                 (Relation("main", "log", ("k",), ("k",), "one_to_many"),), main="main", row_id="id", time_col="t")
+    r = by_id(merge_graph(g, as_of=True))
+    assert [(r[i]["log__asof__v"], r[i]["log__asof__c"]) for i in (1, 2, 3)] == [(1.0, "x"), (9.0, "y"), (-1.0, "0")]
+    m = merge_graph(g, times=True)
+    assert by_id(m)[1]["log__latest__t"] == dt.datetime(2024, 1, 9) and by_id(m)[1]["log__sum__v"] == 109.0
+    assert columns_of(m, TIME) == ["t", "log__first__t", "log__latest__t"]
+
+
 def test_split_union_and_projection(spark):
     g = graph(spark)
     main = g.tables["main"]

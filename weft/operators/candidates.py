@@ -27,6 +27,11 @@ def key_column_pairs(df: DataFrame, relations: Sequence[Relation], kind: str = C
     return list(dict.fromkeys(pairs))
 
 
+def key_plain_pairs(df: DataFrame) -> list[tuple[str, str]]:
+    """Every key category with every category that is not a key, whatever tables they came from."""
+    return list(product(columns_of(df, CAT, key=True), columns_of(df, CAT, key=False)))
+
+
 def same_table_pairs(df: DataFrame) -> list[tuple[str, str]]:
     """All pairs of non-key categories within one source table."""
     cats = columns_of(df, CAT, key=False)

@@ -9,7 +9,7 @@ from itertools import combinations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weft.functions.expressions import column_ranges, minmax_scale
+from weft.functions.expressions import centered, column_means, column_ranges, minmax_scale
 from weft.operators.grouped import GroupFeature, add_group_features, count_of, nunique_of
 from weft.operators.pairs import pair_frequencies
 from weft.operators.scoring import BINS, bin_counts, mutual_info, mutual_information
@@ -105,3 +105,15 @@ def gated_pair_nuniques(df: DataFrame, columns: Sequence[str], codes: Sequence[s
             best[a, b] = (mi, f)
     chosen = {f: mi for mi, f in best.values() if mi > threshold}
     return _fit(df, chosen)
+
+
+def centered_if_better(df: DataFrame, columns: Sequence[str], label: str, bins: int = BINS) -> dict[str, float]:
+    """The columns whose mutual information with the label grows when their mean is taken off, with the mean.
+
+    Equal-width bins move with the values, so with this estimate centering changes nothing beyond rounding.
+    """
+    means = column_means(df, columns)
+    both = df.select(label, *columns, *[centered(c, means[c]).alias(f"{c}_centered") for c in columns])
+    mi = {r["feature"]: r["mi"]
+          for r in mutual_info(both, [*columns, *[f"{c}_centered" for c in columns]], label, bins).collect()}
+    return {c: means[c] for c in columns if mi.get(f"{c}_centered", 0.0) > mi.get(c, 0.0)}

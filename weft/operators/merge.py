@@ -19,9 +19,22 @@ from weft.operators.aggregate import (
     side_columns,
     whole_text,
 )
+from weft.operators.asof import asof_join
 from weft.operators.clean import clean_fill
 from weft.operators.skew import BROADCAST_KEYS, attach, is_small
-from weft.sources.tables import CAT, MULTI_CAT, NUM, Relation, TableSet, columns_of, is_key, kind_of, tagged
+from weft.sources.tables import (
+    CAT,
+    MULTI_CAT,
+    NUM,
+    TIME,
+    Relation,
+    TableSet,
+    columns_of,
+    is_key,
+    kind_of,
+    retag,
+    tagged,
+)
 
 
 def _lineage(df: DataFrame, column: str, table: str) -> tuple[str, str]:
@@ -58,10 +71,10 @@ def join_to_one(left: DataFrame, right: DataFrame, left_keys: Sequence[str], rig
 
 
 def aggregate_side(right: DataFrame, keys: Sequence[str], table: str, order: Sequence[str],
-                   unions: str = "length", last: bool = True) -> DataFrame:
+                   unions: str = "length", last: bool = True, times: bool = False) -> DataFrame:
     """One row per key of a to-many table: numeric mean and sum, category and list "last" and union.
 
-    Times and the key itself are not aggregated. ``unions`` chooses what a union becomes: ``"length"``
+    The key itself is not aggregated, and times only with ``times`` (their first and last). ``unions`` chooses what a union becomes: ``"length"``
     (its number of characters, all that the later features use, without building the text), ``"text"``
     (one cell per key; see ``whole_text``) or ``"none"``.
     """
@@ -86,6 +99,11 @@ def aggregate_side(right: DataFrame, keys: Sequence[str], table: str, order: Seq
         for c in cols[MULTI_CAT]:
             aggs.append(list_last(c, order).alias(out("last", c)))
             meta[out("last", c)] = (MULTI_CAT, name[c][1], "last")
+    if times:
+        for c in (c for c in columns_of(right, TIME) if c not in keys):
+            name[c] = _lineage(right, c, table)
+            aggs += [F.min(c).alias(out("first", c)), F.max(c).alias(out("latest", c))]
+            meta |= {out("first", c): (TIME, name[c][1], "first"), out("latest", c): (TIME, name[c][1], "latest")}
     if unions == "length":
         for c in cols[MULTI_CAT]:
             aggs.append(list_union_length(c).alias(out("union_length", c)))
@@ -119,7 +137,7 @@ def _join_aggregates(a: DataFrame, b: DataFrame, keys: Sequence[str]) -> DataFra
 
 
 def join_to_many(left: DataFrame, right: DataFrame, left_keys: Sequence[str], right_keys: Sequence[str],
-                 table: str, order: Sequence[str], unions: str = "length", *,
+                 table: str, order: Sequence[str], unions: str = "length", *, times: bool = False,
                  spread: Sequence[str] | None = None, broadcast_keys: int = BROADCAST_KEYS) -> DataFrame:
     """Aggregate the side table per key, then left-join the result: rows are never multiplied.
 
@@ -127,7 +145,7 @@ def join_to_many(left: DataFrame, right: DataFrame, left_keys: Sequence[str], ri
     say) are salted if they are many.
     """
     with_key = right.dropna(subset=list(right_keys))
-    side = aggregate_side(with_key, right_keys, table, order, unions)
+    side = aggregate_side(with_key, right_keys, table, order, unions, times=times)
     renamed = {k: f"_right{i}" for i, k in enumerate(right_keys)}
     # the number of keys is not known before they are aggregated; at run time a small result is broadcast
     return attach(left, side.withColumnsRenamed(renamed), list(left_keys), n_keys=broadcast_keys + 1,
@@ -150,10 +168,26 @@ def depths(relations: Sequence[Relation], main: str) -> dict[str, int]:
     return out
 
 
-def merge_graph(tables: TableSet, *, fill: str = "after", unions: str = "length",
-                check_unique: bool = False, broadcast_keys: int = BROADCAST_KEYS) -> DataFrame:
+def join_as_of(left: DataFrame, right: DataFrame, left_key: str, right_key: str, time_col: str, row_id: str,
+               table: str) -> DataFrame:
+    """The latest values of a to-many table at or before each left row's time, in place of aggregates that
+    also see later rows."""
+    names = {c: _lineage(right, c, table) for c in columns_of(right) if c not in (right_key, time_col)}
+    out = {c: f"{src}__asof__{full[len(src) + 2:]}" for c, (full, src) in names.items()}
+    side = right.dropna(subset=[right_key]).select(F.col(right_key).alias(left_key), time_col, *names)
+    joined = asof_join(left, side, left_key, time_col, row_id, list(names), prefix="_asof_")
+    joined = joined.select(*left.columns, *[
+        tagged(F.col(f"_asof_{c}"), n, kind_of(right, c), names[c][1], origin="last") for c, n in out.items()])
+    return retag(joined, left)
+
+
+def merge_graph(tables: TableSet, *, fill: str = "after", unions: str = "length", as_of: bool = False,
+                times: bool = False, check_unique: bool = False,
+                broadcast_keys: int = BROADCAST_KEYS) -> DataFrame:
     """One wide table: each table takes in the deeper ones it is related to, up to the main table.
 
+    ``as_of`` joins a to-many table that shares the main clock by the latest earlier row instead of
+    aggregating all its rows; ``times`` adds the first and last time of aggregated tables.
     ``fill`` says when nulls are filled: ``"before"`` (tables are cleaned first, so the fills take part
     in the aggregates), ``"after"`` (aggregates skip nulls) or ``"none"``. The merged rows are cleaned in
     both filling modes, which covers rows without a match.
@@ -175,9 +209,14 @@ def merge_graph(tables: TableSet, *, fill: str = "after", unions: str = "length"
             if tables.time_col in side.columns and tables.time_col not in df.columns:
                 continue
             spread = [tables.row_id] if tables.row_id in df.columns else None
-            if edge.to_many:
+            clock = tables.time_col
+            if as_of and edge.to_many and spread and clock in df.columns and clock in side.columns:
+                if len(edge.left_keys) != 1:
+                    raise ValueError("an as-of join takes one key column")
+                df = join_as_of(df, side, edge.left_keys[0], edge.right_keys[0], clock, tables.row_id, edge.right)
+            elif edge.to_many:
                 df = join_to_many(df, side, edge.left_keys, edge.right_keys, edge.right,
-                                  tables.specs[edge.right].order, unions, spread=spread,
+                                  tables.specs[edge.right].order, unions, times=times, spread=spread,
                                   broadcast_keys=broadcast_keys)
             else:
                 df = join_to_one(df, side, edge.left_keys, edge.right_keys, edge.right,

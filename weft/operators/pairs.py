@@ -161,16 +161,16 @@ class PairFeatureModel:
         kept = rank(better, max_keep if max_keep is not None else KEEP_PER_CATEGORY * len(columns))
         return cls(tuple(kept), tuple(better[f] for f in kept), threshold)
 
-    def transform(self, df: DataFrame, spread: Sequence[str] | None = None, *,
+    def transform(self, df: DataFrame, spread: Sequence[str] | None = None, *, scope: Column | None = None,
                   only: Sequence[str] | None = None, broadcast_keys: int = BROADCAST_KEYS) -> DataFrame:
-        """Add the accepted features (or those named by ``only``), counted on ``df``."""
+        """Add the accepted features (or those named by ``only``), counted on ``df`` or its rows in ``scope``."""
         chosen = [f for f in self.features if only is None or f.name in only]
-        return add_pair_features(df, chosen, spread, broadcast_keys=broadcast_keys)
+        return add_pair_features(df, chosen, spread, scope=scope, broadcast_keys=broadcast_keys)
 
 
 def add_pair_features(df: DataFrame, features: Sequence[PairFeature], spread: Sequence[str] | None = None,
-                      *, broadcast_keys: int = BROADCAST_KEYS) -> DataFrame:
-    """Add pair features to the rows; null counts as the value 0."""
+                      *, scope: Column | None = None, broadcast_keys: int = BROADCAST_KEYS) -> DataFrame:
+    """Add pair features to the rows, counted on the rows in ``scope`` if given; null counts as the value 0."""
     columns = sorted({c for f in features for c in (f.a, f.b) if c is not None})
     text = {c: f"_fe{i}" for i, c in enumerate(columns)}
     rows = df.select("*", *[_zero_if_null(c).alias(t) for c, t in text.items()])
@@ -196,5 +196,6 @@ def add_pair_features(df: DataFrame, features: Sequence[PairFeature], spread: Se
             out.append((f.name, use("nunique", f.a, f.b).cast("double")))
         else:
             raise ValueError(f"unknown pair feature {f.kind!r}")
-    wide = add_group_features(rows, list(needed.values()), spread, broadcast_keys=broadcast_keys)
+    over = None if scope is None else rows.where(scope)
+    wide = add_group_features(rows, list(needed.values()), spread, over=over, broadcast_keys=broadcast_keys)
     return wide.select(*df.columns, *[tagged(c, n, NUM, "", origin="pair") for n, c in out])

@@ -26,7 +26,8 @@ class RelationalModel:
     """Learn from a labelled table set, score new main rows.
 
     Features are selected on a sample of the training rows and then computed, selected ones only, on
-    training and new rows together, so that counts cover both.
+    training and new rows together. With ``fit_scope`` "all" counts and statistics cover both, with
+    "train" the training rows alone.
     """
 
     n_models: int = 3
@@ -34,6 +35,7 @@ class RelationalModel:
     trials: int = TRIALS
     max_features: int | None = None
     fill: str = "before"
+    fit_scope: str = "all"
     seed: int = 1
     tables: TableSet | None = None
     models: list[GBTClassificationModel] = field(default_factory=list)
@@ -44,6 +46,8 @@ class RelationalModel:
         """Take the tables in; the work happens when there are rows to score."""
         if tables.label is None:
             raise ValueError("the table set needs a label")
+        if self.fit_scope not in ("all", "train"):
+            raise ValueError(f"unknown fit scope {self.fit_scope!r}")
         self.tables = tables
         return self
 
@@ -69,7 +73,8 @@ class RelationalModel:
         self.selected, self.importances = importance_select(
             sampled.df, sampled.features, t.row_id, t.label, max_features=self.max_features,
             rounds=self.rounds, trials=self.trials, seed=self.seed)
-        full = engineer(merged, t, keep, pairs=sampled.pairs, selected=set(self.selected))
+        scope = F.col("split") == "train" if self.fit_scope == "train" else None
+        full = engineer(merged, t, keep, pairs=sampled.pairs, selected=set(self.selected), scope=scope)
         chosen = [c for c in self.selected if c in full.features]
         rows = take_split(full.df, "train").withColumn(t.label, F.col(t.label).cast("int"))
         self.models = train_ensemble(rows, chosen, t.row_id, t.label, self.n_models, self.rounds, self.trials,

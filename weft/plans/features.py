@@ -35,12 +35,13 @@ def _wanted(names: Collection[str], selected: Collection[str] | None) -> list[st
 
 def engineer(base: DataFrame, tables: TableSet, keep: Collection[str], *, label: str | None = None,
              pairs: PairFeatureModel | None = None, selected: Collection[str] | None = None,
-             aggregated_lists: bool = False) -> FeatureFrame:
+             aggregated_lists: bool = False, scope: Column | None = None) -> FeatureFrame:
     """Add the features to the merged and cleaned rows ``base``.
 
     Without ``pairs`` the pair features are screened against ``label`` on these rows; otherwise the
     accepted ones are recomputed. With ``selected`` only those features are computed. ``keep`` names
-    columns to pass through (row id, label, split).
+    columns to pass through (row id, label, split). Counts and statistics cover all rows, or those in
+    ``scope``. ``base`` is read several times and should be a written table.
     """
     row_id = tables.row_id
     keep = list(dict.fromkeys(keep))
@@ -64,8 +65,9 @@ def engineer(base: DataFrame, tables: TableSet, keep: Collection[str], *, label:
 
     # Row-level features.
     exprs: dict[str, Column] = {}
-    for name, e in time_differences(times).items():
-        exprs[name] = e
+    for table in dict.fromkeys(table_of(base, t) for t in times):
+        own = [t for t in times if table_of(base, t) == table and t != tables.time_col]
+        exprs |= time_differences([*own, *[t for t in times if t == tables.time_col]])
     part_names: list[str] = []
     for t in times:
         parts = time_parts(t)
@@ -97,7 +99,7 @@ def engineer(base: DataFrame, tables: TableSet, keep: Collection[str], *, label:
     groups += pair_counts(key_pairs) + pair_nuniques(key_pairs)
     groups += [g for g in key_num_stats(base, tables.relations, skip=[row_id]) if g.value in nums]
     groups = [g for g in dict.fromkeys(groups) if selected is None or g.name in selected]
-    wide = add_group_features(df, groups, [row_id])
+    wide = add_group_features(df, groups, [row_id], over=None if scope is None else df.where(scope))
     wide = wide.fillna(STAT_FILL, [g.name for g in groups if g.fn not in ("count", "nunique")])
     features += [g.name for g in groups]
 
@@ -106,7 +108,7 @@ def engineer(base: DataFrame, tables: TableSet, keep: Collection[str], *, label:
     if pairs is None:
         pairs = PairFeatureModel.fit(df, plain, label, codes=[codes[c] for c in plain])
     chosen = _wanted([f.name for f in pairs.features], selected)
-    wide = pairs.transform(wide, [row_id], only=chosen)
+    wide = pairs.transform(wide, [row_id], only=chosen, scope=scope)
     features += chosen
     features = list(dict.fromkeys(features))
     return FeatureFrame(materialize(wide.select(*keep, *features), "features"), tuple(features), pairs)

@@ -27,7 +27,7 @@ TAGS_SQL = """SELECT p_partkey, replace(p_name, ' ', ',') || ',' || p_type || ',
 
 
 def hundredths(column: str) -> Column:
-    return F.round(F.col(column) * 100).alias(column)
+    return F.rint(F.col(column) * 100).alias(column)
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

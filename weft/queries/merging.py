@@ -102,14 +102,14 @@ def asof_join_query(spark: SparkSession, sf: str) -> DataFrame:
     e = X.events(spark, sf)
     clicks = e.where("event_type = 'click'").select("event_id", "user_id", "ts")
     views = e.where("event_type = 'view'").select("event_id", "user_id", "ts", "value", "k")
-    return asof_join(clicks, views, "user_id", "ts", "event_id", ["value", "k"])
+    return asof_join(clicks, views, "user_id", "ts", "event_id", ["value", "k"], right_id="event_id")
 
 
 def asof_rolling5(spark: SparkSession, sf: str) -> DataFrame:
     e = X.events(spark, sf)
     clicks = e.where("event_type = 'click'").select("event_id", "user_id", "ts")
     views = e.where("event_type = 'view'").select("event_id", "user_id", "ts", "value")
-    return asof_rolling(clicks, views, "user_id", "ts", "event_id", ["value"])
+    return asof_rolling(clicks, views, "user_id", "ts", "event_id", ["value"], right_id="event_id")
 
 
 def agg_num(spark: SparkSession, sf: str) -> DataFrame:
