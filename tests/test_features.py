@@ -73,6 +73,8 @@ def test_hellinger_agrees_with_histograms(spark):
     got = {x["feature"]: x["score"] for x in hellinger_scores(df, ["a", "b", "c"], "label").collect()}
     assert got["a"] == pytest.approx(numpy_hellinger(a, y), abs=1e-8)
     assert got["b"] == pytest.approx(numpy_hellinger(b, y), abs=1e-8) and got["c"] == 0.0
+    holes = df.union(spark.createDataFrame([(float("nan"), None, 1, float("inf"))] * 3, df.schema))
+    assert {x["feature"]: x["score"] for x in hellinger_scores(holes, ["a", "b", "c"], "label").collect()} == got
     one = {x["score"] for x in hellinger_scores(df.withColumn("label", F.lit(0)), ["a"], "label").collect()}
     assert one == {-1.0}
     mi = {x["feature"]: x["mi"] for x in mutual_info(df, ["a", "b", "c"], "label").collect()}

@@ -2,6 +2,7 @@
 
 import pytest
 from oracle import connect, differences
+from plans import bad_operators
 
 from weft.queries.registry import QUERIES, flagship
 
@@ -17,7 +18,9 @@ def con(sf_dir):
 @pytest.mark.parametrize("name", WITH_SQL)
 def test_agrees_with_sql(spark, con, sf_dir, name):
     fn, sql = QUERIES[name]
-    assert differences(fn(spark, sf_dir), con, sql) is None
+    df = fn(spark, sf_dir)
+    assert bad_operators(df) == []
+    assert differences(df, con, sql) is None
 
 
 @pytest.mark.parametrize("name", ROWS_ONLY)

@@ -22,7 +22,7 @@ DIGITS = 9
 
 
 def long_values(df: DataFrame, columns: Sequence[str], label: str) -> DataFrame:
-    """(feature, value, pos, neg) for every non-null value of every row and column.
+    """(feature, value, pos, neg) for every finite value of every row and column.
 
     Nothing is grouped here: ranges and bins combine inside each task, so a continuous column is never
     shuffled value by value.
@@ -30,7 +30,7 @@ def long_values(df: DataFrame, columns: Sequence[str], label: str) -> DataFrame:
     wide = df.select((F.col(label) == 1).cast("long").alias("pos"), (F.col(label) == 0).cast("long").alias("neg"),
                      *[F.col(c).cast("double").alias(c) for c in columns])
     long = wide.unpivot(["pos", "neg"], list(columns), "feature", "value")
-    return long.where(F.col("value").isNotNull())
+    return long.where(F.abs("value") < F.lit(float("inf")))
 
 
 def bin_index(value: Column, lo: Column, hi: Column, bins: int) -> Column:

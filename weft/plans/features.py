@@ -13,7 +13,7 @@ from weft.operators.encode import encode, with_list_prefixes
 from weft.operators.grouped import GroupFeature, add_group_features
 from weft.operators.ordered import OrderedRows
 from weft.operators.pairs import PairFeatureModel
-from weft.sources.tables import CAT, MULTI_CAT, NUM, TIME, TableSet, columns_of, is_key, retag, table_of
+from weft.sources.tables import CAT, MULTI_CAT, NUM, TIME, TableSet, columns_of, is_key, table_of
 from weft.sources.workspace import materialize
 
 # Fixed value: what a missing group statistic becomes.
@@ -60,7 +60,7 @@ def engineer(base: DataFrame, tables: TableSet, keep: Collection[str], *, label:
     if diff_names and tables.time_col:
         need = sorted({diffs[n][0] for n in diff_names})
         ordered = OrderedRows(df, [], [tables.time_col, row_id])
-        df = retag(ordered.differences(need), base)
+        df = ordered.differences(need)
         features += diff_names
 
     # Row-level features.
