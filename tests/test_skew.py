@@ -7,13 +7,13 @@ from pyspark.sql import functions as F
 
 from weft.operators.grouped import GroupFeature, add_group_features, count_of, mode_of, nunique_of, stats_of
 from weft.operators.merge import join_to_one
-from weft.operators.skew import attach, is_small, key_estimates
+from weft.operators.skew import KeyProfile, attach, is_small, key_profiles
 from weft.sources.tables import CAT, NUM, TableSpec, tag_table
 
 PATHS = {
     "broadcast": {},
     "shuffle": {"broadcast_keys": 0, "hot_rows": 10**9},
-    "hot": {"broadcast_keys": 0, "hot_rows": 20, "hot_keys": 3},
+    "hot": {"broadcast_keys": 0, "hot_rows": 20},
 }
 
 
@@ -62,14 +62,14 @@ def test_group_features_on_every_path(rows, path):
 def test_hot_rows_spread_over_tasks(rows):
     """With salting no task of the join holds the whole hot key."""
     df, _ = rows
-    stats = df.groupBy("k").agg(F.count(F.lit(1)).alias("w"), F.sum("x").alias("s"))
-    stats = stats.withColumnRenamed("k", "kk")
+    stats = df.groupBy(F.col("k").alias("kk")).agg(F.sum("x").alias("s"))
+    profile = KeyProfile(10**6, key_profiles(df, [("k",)], hot_rows=20)[("k",)].hot)
+    assert len(profile.hot) == 1
     conf = df.sparkSession.conf
     conf.set("spark.sql.adaptive.enabled", "false")
     conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     try:
-        out = attach(df, stats, ["k"], n_keys=10**6, weight="w", table_keys=["kk"], spread=["id"], hot_rows=20,
-                     hot_keys=3)
+        out = attach(df, stats, ["k"], profile, table_keys=["kk"], spread=["id"])
         sizes = {r["p"]: (r["n"], r["hot"]) for r in out.groupBy(F.spark_partition_id().alias("p")).agg(
             F.count(F.lit(1)).alias("n"), F.count_if(F.col("k") == 0).alias("hot")).collect()}
     finally:
@@ -79,12 +79,12 @@ def test_hot_rows_spread_over_tasks(rows):
     assert max(h for _, h in sizes.values()) < 0.3 * sum(h for _, h in sizes.values())
 
 
-@pytest.mark.parametrize("broadcast_keys", [100_000, 0])
-def test_to_one_keeps_rows_and_matches(spark, rows, broadcast_keys):
+@pytest.mark.parametrize("path", [{}, {"broadcast_keys": 0}, {"broadcast_keys": 0, "hot_rows": 10}])
+def test_to_one_keeps_rows_and_matches(spark, rows, path):
     df, pdf = rows
     side = spark.range(1, 90).select(F.col("id").alias("kk"), (F.col("id") * 2.0).alias("v"))
     side = tag_table(side, "side", TableSpec({"v": NUM, "kk": CAT}))
-    out = join_to_one(df, side, ["k"], ["kk"], "side", spread=["id"], broadcast_keys=broadcast_keys)
+    out = join_to_one(df, side, ["k"], ["kk"], "side", spread=["id"], **path)
     got = {r["id"]: r["side__v"] for r in out.collect()}
     assert got == {i: (2.0 * k if k == k and 1 <= k < 90 else None) for i, k in zip(pdf.id, pdf.k, strict=True)}
 
@@ -96,14 +96,24 @@ def test_statistics_from_other_rows(rows):
     assert found == {("a", 1), ("b", 1), ("c", 1), (None, 1)}
 
 
-def test_estimates_and_size_check(rows):
+def test_profiles_and_size_check(spark, rows):
     df, pdf = rows
-    found = key_estimates(df, [("k",), ("k", "c"), ("k",)])
+    found = key_profiles(df, [("k",), ("k", "c"), ("k",)], hot_rows=100)
     assert set(found) == {("k",), ("k", "c")}
-    assert abs(found[("k",)] - pdf.k.nunique(dropna=False)) <= 10
+    assert abs(found[("k",)].distinct - pdf.k.nunique(dropna=False)) <= 10
+    zero = spark.range(1).select(F.xxhash64(F.col("id")).alias("h")).first()["h"]
+    assert found[("k",)].hot == (zero,)
+    assert key_profiles(df.where("id < 0"), [("k",)]) == {("k",): KeyProfile(0)}
     assert is_small(df, 900) and not is_small(df, 899)
 
 
+def test_hot_keys_of_two_types_are_refused(rows):
+    df, _ = rows
+    table = df.select(F.col("k").cast("int").alias("kk"), "x").dropDuplicates(["kk"])
+    with pytest.raises(ValueError, match="one type"):
+        attach(df, table, ["k"], KeyProfile(10**6, (1,)), table_keys=["kk"])
+
+
 def test_one_aggregation_and_one_join_per_key_set(rows):
     df, _ = rows
     plan = plan_of(add_group_features(df, stats_of("c", "x") + [count_of("c")], ["id"]))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from weft.functions.expressions import list_prefix
 from weft.operators.ordered import OrderedRows
-from weft.operators.skew import attach, key_estimates
+from weft.operators.skew import BROADCAST_KEYS, KeyProfile, attach, key_profiles
 from weft.sources.tables import CAT, tagged
 
 UNKNOWN = -1
@@ -34,29 +34,26 @@ def code_table(df: DataFrame, columns: Sequence[str], buckets: int | None = None
         "feature", "value", "n", "code")
 
 
-def apply_codes(df: DataFrame, codes: DataFrame, columns: Mapping[str, str], spread: Sequence[str] | None = None,
-                *, fitted_here: bool = False) -> DataFrame:
-    """Add the code of each column under a new name; a value the table does not know becomes -1.
-
-    ``fitted_here`` says that the codes were fitted on these rows, so their counts are known.
-    """
-    weight = ["n"] if fitted_here else []
+def apply_codes(df: DataFrame, codes: DataFrame, columns: Mapping[str, str],
+                spread: Sequence[str] | None = None) -> DataFrame:
+    """Add the code of each column under a new name; a value the table does not know becomes -1."""
     sizes = {r["feature"]: r["count"] for r in codes.groupBy("feature").count().collect()}  # a row per column
-    out = df
+    texts = {c: f"_text{i}" for i, c in enumerate(columns)}
+    out = df.select("*", *[F.col(c).cast("string").alias(t) for c, t in texts.items()])
+    large = [c for c in columns if sizes.get(c, 0) > BROADCAST_KEYS]
+    hot = key_profiles(out, [(texts[c],) for c in large])
     for c, name in columns.items():
-        one = codes.where(F.col("feature") == c).select(F.col("value").alias("_value"), F.col("code").alias("_code"),
-                                                        *weight)
-        joined = attach(out.withColumn("_text", F.col(c).cast("string")), one, ["_text"], n_keys=sizes.get(c, 0),
-                        weight=weight[0] if weight else None, table_keys=["_value"], spread=spread)
-        code = F.coalesce("_code", F.lit(UNKNOWN)).cast("long")
-        out = joined.withColumn(name, tagged(code, name, CAT, "", origin="code")).drop("_text", "_code")
-    return out
+        one = codes.where(F.col("feature") == c).select(
+            F.col("value").alias("_value"), tagged(F.col("code"), name, CAT, "", origin="code"))
+        profile = KeyProfile(sizes.get(c, 0), hot[(texts[c],)].hot if c in large else ())
+        out = attach(out, one, [texts[c]], profile, table_keys=["_value"], spread=spread)
+    return out.drop(*texts.values()).fillna(UNKNOWN, list(columns.values()))
 
 
 def encode(df: DataFrame, columns: Mapping[str, str], spread: Sequence[str] | None = None,
            buckets: int | None = None) -> DataFrame:
     """Fit codes on ``df`` and add them to it."""
-    return apply_codes(df, code_table(df, list(columns), buckets), columns, spread, fitted_here=True)
+    return apply_codes(df, code_table(df, list(columns), buckets), columns, spread)
 
 
 def with_list_prefixes(df: DataFrame, columns: Sequence[str], sizes: Sequence[int] = (1, 2, 3)) -> DataFrame:
@@ -75,10 +72,9 @@ def encode_prefixes(df: DataFrame, columns: Sequence[str], sizes: Sequence[int]
 def combination_codes(df: DataFrame, keys: Sequence[str], name: str, spread: Sequence[str] | None = None,
                       buckets: int | None = None) -> DataFrame:
     """One code for each distinct combination of columns, numbered in their sort order."""
-    distinct = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    distinct = df.select(*keys).distinct()
     codes = OrderedRows(distinct, [], list(keys), buckets).row_number("_code")
-    codes = codes.select(*[F.col(k).alias(f"_key{i}") for i, k in enumerate(keys)], "_n", "_code")
-    n_keys = key_estimates(df, [tuple(keys)])[tuple(keys)]
-    joined = attach(df, codes, list(keys), n_keys=n_keys, weight="_n",
-                    table_keys=[f"_key{i}" for i in range(len(keys))], spread=spread)
-    return joined.withColumn(name, tagged(F.col("_code"), name, CAT, "", origin="code")).drop("_code")
+    codes = codes.select(*[F.col(k).alias(f"_key{i}") for i, k in enumerate(keys)],
+                         tagged(F.col("_code"), name, CAT, "", origin="code"))
+    profile = key_profiles(df, [tuple(keys)])[tuple(keys)]
+    return attach(df, codes, list(keys), profile, table_keys=[f"_key{i}" for i in range(len(keys))], spread=spread)

@@ -13,7 +13,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weft.operators.skew import BROADCAST_KEYS, HOT_KEYS, HOT_ROWS, attach, key_estimates
+from weft.operators.skew import BROADCAST_KEYS, HOT_ROWS, KeyProfile, attach, key_profiles, same_keys
 from weft.sources.tables import NUM, tagged
 
 ROWS = "_rows"
@@ -64,50 +64,49 @@ def frequencies(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 
 def _stat_table(rows: DataFrame, keys: tuple[str, ...], features: Sequence[GroupFeature]) -> DataFrame:
-    aggs = [_AGGS[f.fn](f.value).alias(f.name) for f in features if f.fn != "count"]
-    table = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias(ROWS), *aggs)
-    return table.select(*keys, ROWS, *[
-        F.col(ROWS if f.fn == "count" else f.name).alias(f.name) for f in features])
+    """One row per key with every statistic of that key, the keys named ``_key0``, ``_key1``, ..."""
+    names = [f"_key{i}" for i in range(len(keys))]
+    named = [F.col(k).alias(n) for k, n in zip(keys, names, strict=True)]
+    plain = [f for f in features if f.fn not in ("count", "mode")]
+    table = rows.groupBy(*named).agg(F.count(F.lit(1)).alias(ROWS), *[_AGGS[f.fn](f.value).alias(f.name)
+                                                                      for f in plain])
+    for f in features:
+        if f.fn == "mode":
+            other = _mode_table(rows, f)
+            on = same_keys([F.col(n) for n in names], [F.col(f"_mode{i}") for i in range(len(keys))])
+            table = table.join(other, on, "left").drop(*[f"_mode{i}" for i in range(len(keys))])
+    return table.select(*names, *[
+        tagged(F.col(ROWS if f.fn == "count" else f.name), f.name, NUM, "", origin=f.fn) for f in features])
 
 
 def _mode_table(rows: DataFrame, f: GroupFeature) -> DataFrame:
     """Most frequent value per key, the smallest one on a tie, from the (key, value) frequencies."""
     freq = frequencies(rows, [*f.keys, f.value])
-    best = F.min(F.when(F.col(f.value).isNotNull(), F.struct((-F.col(ROWS)).alias("n"), F.col(f.value))))
-    return freq.groupBy(*f.keys).agg(best.alias("_best"), F.sum(ROWS).alias(ROWS)).select(
-        *f.keys, ROWS, F.col(f"_best.{f.value}").alias(f.name))
+    best = F.min(F.when(F.col(f.value).isNotNull(), F.struct((-F.col(ROWS)).alias("n"), F.col(f.value).alias("v"))))
+    return freq.groupBy(*[F.col(k).alias(f"_mode{i}") for i, k in enumerate(f.keys)]).agg(best["v"].alias(f.name))
 
 
 def add_group_features(rows: DataFrame, features: Sequence[GroupFeature],
                        spread: Sequence[str] | None = None, *, over: DataFrame | None = None,
-                       broadcast_keys: int = BROADCAST_KEYS, hot_rows: int = HOT_ROWS,
-                       hot_keys: int = HOT_KEYS) -> DataFrame:
+                       broadcast_keys: int = BROADCAST_KEYS, hot_rows: int = HOT_ROWS) -> DataFrame:
     """Add each feature as a column of ``rows``.
 
     ``over`` is the table the statistics are taken from when it is not ``rows`` itself (training rows
-    only, say). One pass over the key columns measures how many keys each table will have, which decides
-    between a broadcast and a shuffle; ``spread`` names columns that tell rows apart.
+    only, say). One pass over the key columns of ``rows`` measures how many keys there are and which are
+    hot, which decides between a broadcast and a shuffle; ``spread`` names columns that tell rows apart.
     """
     source = rows if over is None else over
-    tables: list[tuple[tuple[str, ...], list[GroupFeature], DataFrame]] = []
     by_keys: dict[tuple[str, ...], list[GroupFeature]] = {}
     for f in features:
-        if f.fn != "mode":
-            by_keys.setdefault(f.keys, []).append(f)
-    for keys, fs in by_keys.items():
-        tables.append((keys, fs, _stat_table(source, keys, fs)))
-    tables += [(f.keys, [f], _mode_table(source, f)) for f in features if f.fn == "mode"]
-
-    sizes = key_estimates(source, [keys for keys, _, _ in tables])
+        by_keys.setdefault(f.keys, []).append(f)
+    profiles = key_profiles(rows, by_keys, hot_rows)
+    if over is not None:
+        sizes = key_profiles(over, by_keys, hot_rows)
+        profiles = {k: KeyProfile(sizes[k].distinct, p.hot) for k, p in profiles.items()}
     out = rows
-    for keys, fs, table in tables:
-        # row counts of another table say nothing about which keys are heavy here
-        weight = [ROWS] if over is None else []
-        table = table.select(*[F.col(k).alias(f"_key{i}") for i, k in enumerate(keys)], *weight,
-                             *[tagged(F.col(f.name), f.name, NUM, "", origin=f.fn) for f in fs])
-        out = attach(out, table, keys, n_keys=sizes[keys], weight=weight[0] if weight else None,
-                     table_keys=[f"_key{i}" for i in range(len(keys))], spread=spread,
-                     broadcast_keys=broadcast_keys, hot_rows=hot_rows, hot_keys=hot_keys)
+    for keys, fs in by_keys.items():
+        out = attach(out, _stat_table(source, keys, fs), keys, profiles[keys], spread=spread,
+                     table_keys=[f"_key{i}" for i in range(len(keys))], broadcast_keys=broadcast_keys)
     return out.select(*rows.columns, *[f.name for f in features])
 
 

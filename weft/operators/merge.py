@@ -21,7 +21,7 @@ from weft.operators.aggregate import (
 )
 from weft.operators.asof import asof_join
 from weft.operators.clean import clean_fill
-from weft.operators.skew import BROADCAST_KEYS, attach, is_small
+from weft.operators.skew import BROADCAST_KEYS, HOT_ROWS, KeyProfile, attach, is_small, key_profiles
 from weft.sources.tables import (
     CAT,
     MULTI_CAT,
@@ -53,7 +53,7 @@ def require_unique(df: DataFrame, keys: Sequence[str], name: str) -> None:
 
 def join_to_one(left: DataFrame, right: DataFrame, left_keys: Sequence[str], right_keys: Sequence[str],
                 table: str, *, check_unique: bool = False, spread: Sequence[str] | None = None,
-                broadcast_keys: int = BROADCAST_KEYS) -> DataFrame:
+                broadcast_keys: int = BROADCAST_KEYS, hot_rows: int = HOT_ROWS) -> DataFrame:
     """Left equi-join of a table with one row per key; its typed columns get the table's name in front.
 
     A small table is broadcast. A larger one is shuffled with the heavy left keys salted.
@@ -65,11 +65,16 @@ def join_to_one(left: DataFrame, right: DataFrame, left_keys: Sequence[str], rig
         *[F.col(k).alias(f"_right{i}") for i, k in enumerate(right_keys)],
         *[tagged(F.col(c), n, kind_of(right, c), src, is_key(right, c),
                  (right.schema[c].metadata or {}).get("weft.origin", "raw")) for c, (n, src) in names.items()])
-    n_keys = 0 if is_small(right, broadcast_keys) else broadcast_keys + 1
-    return attach(left, side, list(left_keys), n_keys=n_keys, broadcast_keys=broadcast_keys,
+    profile = KeyProfile(0) if is_small(right, broadcast_keys) else _large(left, left_keys, broadcast_keys, hot_rows)
+    return attach(left, side, list(left_keys), profile, broadcast_keys=broadcast_keys,
                   table_keys=[f"_right{i}" for i in range(len(right_keys))], spread=spread)
 
 
+def _large(left: DataFrame, keys: Sequence[str], broadcast_keys: int, hot_rows: int) -> KeyProfile:
+    """The profile for a table too large, or not known to be small enough, to broadcast."""
+    return KeyProfile(broadcast_keys + 1, key_profiles(left, [keys], hot_rows)[tuple(keys)].hot)
+
+
 def aggregate_side(right: DataFrame, keys: Sequence[str], table: str, order: Sequence[str],
                    unions: str = "length", last: bool = True, times: bool = False) -> DataFrame:
     """One row per key of a to-many table: numeric mean and sum, category and list "last" and union.
@@ -138,7 +143,8 @@ def _join_aggregates(a: DataFrame, b: DataFrame, keys: Sequence[str]) -> DataFra
 
 def join_to_many(left: DataFrame, right: DataFrame, left_keys: Sequence[str], right_keys: Sequence[str],
                  table: str, order: Sequence[str], unions: str = "length", *, times: bool = False,
-                 spread: Sequence[str] | None = None, broadcast_keys: int = BROADCAST_KEYS) -> DataFrame:
+                 spread: Sequence[str] | None = None, broadcast_keys: int = BROADCAST_KEYS,
+                 hot_rows: int = HOT_ROWS) -> DataFrame:
     """Aggregate the side table per key, then left-join the result: rows are never multiplied.
 
     Side rows without a key belong to no row and are left out. Left rows that share a key (a fill value,
@@ -148,7 +154,8 @@ def join_to_many(left: DataFrame, right: DataFrame, left_keys: Sequence[str], ri
     side = aggregate_side(with_key, right_keys, table, order, unions, times=times)
     renamed = {k: f"_right{i}" for i, k in enumerate(right_keys)}
     # the number of keys is not known before they are aggregated; at run time a small result is broadcast
-    return attach(left, side.withColumnsRenamed(renamed), list(left_keys), n_keys=broadcast_keys + 1,
+    profile = _large(left, left_keys, broadcast_keys, hot_rows)
+    return attach(left, side.withColumnsRenamed(renamed), list(left_keys), profile,
                   table_keys=list(renamed.values()), spread=spread, broadcast_keys=broadcast_keys)
 
 

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StructField, StructType
 from pyspark.sql.window import Window, WindowSpec
 
-from weft.operators.skew import same_keys
+from weft.operators.skew import attach, key_profiles, same_keys
 from weft.sources.workspace import materialize
 
 BUCKET = "_bucket"
@@ -168,21 +168,17 @@ def trailing_sum(df: DataFrame, time_col: str, columns: Sequence[str], seconds:
     Rows are summed per instant first, so an instant shared by very many rows is one row in the window.
     Each instant is then put into its own slot and the next one; a window never spans more than two.
     """
-    from weft.operators.skew import attach, key_estimates
-
     micros = seconds * 1_000_000
     rows = df.withColumn("_us", epoch_micros(F.col(time_col)))
-    instants = rows.groupBy("_us").agg(F.count(F.lit(1)).alias("_n"),
-                                       *[F.sum(c).alias(f"_i_{c}") for c in columns])
+    instants = rows.groupBy("_us").agg(*[F.sum(c).alias(f"_i_{c}") for c in columns])
     slot = F.floor(F.col("_us") / F.lit(micros))
     spread_out = instants.withColumn("_slot", F.explode(F.array(slot, slot + 1)))
     w = Window.partitionBy("_slot").orderBy("_us").rangeBetween(-micros, 0)
     sums = spread_out.select("*", *[F.sum(f"_i_{c}").over(w).alias(name.format(c=c, s=seconds))
                                     for c in columns])
     sums = sums.where(slot == F.col("_slot")).select(
-        "_us", "_n", *[name.format(c=c, s=seconds) for c in columns])
-    n_keys = key_estimates(rows, [("_us",)])[("_us",)]
-    return attach(rows, sums, ["_us"], n_keys=n_keys, weight="_n", spread=spread).drop("_us")
+        "_us", *[name.format(c=c, s=seconds) for c in columns])
+    return attach(rows, sums, ["_us"], key_profiles(rows, [("_us",)])[("_us",)], spread=spread).drop("_us")
 
 
 def epoch_micros(ts: Column) -> Column:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterable, Sequence
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -10,27 +11,48 @@ from pyspark.sql import functions as F
 
 # A table of at most this many keys is broadcast; the number of keys is measured first.
 BROADCAST_KEYS = 100_000
-# A key with this many rows is hot. At most HOT_KEYS of them are salted, the heaviest first, so that a key
-# without salt holds less than 1 / HOT_KEYS of the rows.
+# A key with this many rows is hot and is salted. The heaviest keys are found with a frequent-items sketch
+# of HOT_KEYS counters, which misses no key that holds more than a few times 1 / HOT_KEYS of the rows.
 HOT_ROWS = 1_000_000
 HOT_KEYS = 10_000
 # Shares a hot key is split into; its table row is repeated that often.
 SALTS = 4_096
 
 
+@dataclass(frozen=True)
+class KeyProfile:
+    """Estimated number of distinct keys, and the hashes of the hot ones."""
+
+    distinct: int
+    hot: tuple[int, ...] = ()
+
+
 def same_keys(left: Sequence[Column], right: Sequence[Column]) -> Column:
     """Null-safe equality on every key."""
     return reduce(lambda a, b: a & b, [x.eqNullSafe(y) for x, y in zip(left, right, strict=True)])
 
 
-def key_estimates(rows: DataFrame, key_sets: Iterable[Sequence[str]]) -> dict[tuple[str, ...], int]:
-    """Estimated number of distinct keys for each key set: one pass over the key columns only."""
+def key_profiles(rows: DataFrame, key_sets: Iterable[Sequence[str]],
+                 hot_rows: int = HOT_ROWS) -> dict[tuple[str, ...], KeyProfile]:
+    """The profile of each key set: one pass over the key columns, which moves only sketches.
+
+    What the sketches miss or overrate changes how rows are spread, never the result.
+    """
     sets = list(dict.fromkeys(tuple(k) for k in key_sets))
     if not sets:
         return {}
-    aggs = [F.approx_count_distinct(F.xxhash64(*ks)).alias(f"k{i}") for i, ks in enumerate(sets)]
+    aggs = []
+    for i, ks in enumerate(sets):
+        h = f"xxhash64({_names(ks)})"
+        aggs += [F.expr(f"approx_count_distinct({h})").alias(f"n{i}"),
+                 F.expr(f"transform(filter(approx_top_k({h}, {HOT_KEYS}, {HOT_KEYS}), x -> x.count >= {hot_rows}), "
+                        f"x -> x.item)").alias(f"h{i}")]
     found = rows.agg(*aggs).first()
-    return {ks: found[f"k{i}"] for i, ks in enumerate(sets)}
+    return {ks: KeyProfile(found[f"n{i}"], tuple(found[f"h{i}"] or ())) for i, ks in enumerate(sets)}
+
+
+def _names(columns: Sequence[str]) -> str:
+    return ", ".join(f"`{c}`" for c in columns)
 
 
 def is_small(df: DataFrame, limit: int = BROADCAST_KEYS) -> bool:
@@ -38,42 +60,34 @@ def is_small(df: DataFrame, limit: int = BROADCAST_KEYS) -> bool:
     return df.select(F.lit(1)).limit(limit + 1).count() <= limit
 
 
-def attach(rows: DataFrame, table: DataFrame, keys: Sequence[str], *, n_keys: int,
-           weight: str | None = None, table_keys: Sequence[str] | None = None,
-           spread: Sequence[str] | None = None, broadcast_keys: int = BROADCAST_KEYS,
-           hot_rows: int = HOT_ROWS, hot_keys: int = HOT_KEYS) -> DataFrame:
+def attach(rows: DataFrame, table: DataFrame, keys: Sequence[str], profile: KeyProfile, *,
+           table_keys: Sequence[str] | None = None, spread: Sequence[str] | None = None,
+           broadcast_keys: int = BROADCAST_KEYS) -> DataFrame:
     """Left-join a table that has one row per key onto ``rows``; null keys match null keys.
 
-    ``n_keys`` is the measured size of ``table``. A small table is broadcast and the rows do not move.
-    Otherwise both sides are shuffled, with the heaviest keys (at most ``hot_keys``) salted: their rows
-    spread over all tasks by ``spread`` (columns that tell rows apart), and their table row is repeated
-    for every salt. ``weight`` is the column of ``table`` holding the number of ``rows`` of the key, for
-    tables made from these very rows; without it the rows are counted.
+    ``profile`` has the size of ``table`` and the hot keys of ``rows``. A small table is broadcast and the
+    rows do not move. Otherwise both sides are shuffled. Rows of hot keys are salted by ``spread`` (columns
+    that tell rows apart), so they reach every task, and the hot rows of the table are repeated for
+    every salt.
     """
     table_keys = list(table_keys or keys)
-    values = [c for c in table.columns if c not in table_keys and c != weight]
-    key_cols = [F.col(k) for k in keys]
+    values = [c for c in table.columns if c not in table_keys]
     side_keys = [f"_ck{i}" for i in range(len(table_keys))]
     side = table.select(*[F.col(k).alias(s) for k, s in zip(table_keys, side_keys, strict=True)], *values)
-    on_side = same_keys(key_cols, [F.col(s) for s in side_keys])
-    if n_keys <= broadcast_keys:
-        return rows.join(F.broadcast(side), on_side, "left").drop(*side_keys)
-
-    heavy_keys = [f"_hk{i}" for i in range(len(table_keys))]
-    if weight is None:
-        counted = rows.groupBy(*[F.col(k).alias(h) for k, h in zip(keys, heavy_keys, strict=True)]).agg(
-            F.count(F.lit(1)).alias("_n"))
-    else:
-        counted = table.select(*[F.col(k).alias(h) for k, h in zip(table_keys, heavy_keys, strict=True)],
-                               F.col(weight).alias("_n"))
-    heavy = counted.where(F.col("_n") >= hot_rows).orderBy(F.desc("_n")).limit(hot_keys).select(
-        *heavy_keys, F.lit(True).alias("_hot"))
-    heavy_cols = [F.col(h) for h in heavy_keys]
-    salt = F.pmod(F.xxhash64(*(spread or rows.columns)), F.lit(SALTS)).cast("int") + 1
-    salted = rows.join(F.broadcast(heavy), same_keys(key_cols, heavy_cols), "left").withColumn(
-        "_salt", F.when(F.col("_hot"), salt).otherwise(F.lit(0))).drop(*heavy_keys, "_hot")
-    salts = F.when(F.col("_hot"), F.sequence(F.lit(1), F.lit(SALTS))).otherwise(F.array(F.lit(0)))
-    repeated = side.join(F.broadcast(heavy), same_keys([F.col(s) for s in side_keys], heavy_cols), "left").withColumn(
-        "_side_salt", F.explode(salts)).drop(*heavy_keys, "_hot")
-    joined = salted.join(repeated, on_side & (F.col("_salt") == F.col("_side_salt")), "left")
-    return joined.drop("_salt", "_side_salt", *side_keys)
+    on = same_keys([F.col(k) for k in keys], [F.col(s) for s in side_keys])
+    if profile.distinct <= broadcast_keys:
+        return rows.join(F.broadcast(side), on, "left").drop(*side_keys)
+    if not profile.hot:
+        return rows.join(side, on, "left").drop(*side_keys)
+
+    for k, s in zip(keys, side_keys, strict=True):
+        if rows.schema[k].dataType != side.schema[s].dataType:  # equal values have to hash alike
+            raise ValueError(f"cast the key {k!r} to one type on both sides first")
+    hot = f"IN ({', '.join(f'{h}L' for h in profile.hot)})"
+    salted = rows.withColumn("_salt", F.expr(
+        f"CASE WHEN xxhash64({_names(keys)}) {hot} "
+        f"THEN cast(pmod(xxhash64({_names(spread or rows.columns)}), {SALTS}) AS int) ELSE 0 END"))
+    repeated = side.withColumn("_side_salt", F.expr(
+        f"explode(CASE WHEN xxhash64({_names(side_keys)}) {hot} THEN sequence(0, {SALTS - 1}) ELSE array(0) END)"))
+    return salted.join(repeated, on & (F.col("_salt") == F.col("_side_salt")), "left").drop(
+        "_salt", "_side_salt", *side_keys)
