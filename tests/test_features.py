@@ -12,7 +12,7 @@ from weft.operators import model as M
 from weft.operators import profile as P
 from weft.operators import sampling as S
 from weft.operators import selection as SEL
-from weft.operators.encode import apply_codes, cat_to_long, code_table, combination_codes, encode_prefixes
+from weft.operators.encode import apply_codes, cat_to_long, code_table, combination_codes, encode, encode_prefixes
 from weft.operators.gated import gated_counts, gated_pair_counts
 from weft.operators.pairs import PairFeature, PairFeatureModel, add_pair_features
 from weft.operators.scoring import hellinger_scores, mutual_info
@@ -47,6 +47,8 @@ def test_codes_and_unknown_values(spark):
     assert {r["id"]: r["code"] for r in out.collect()} == {0: 2, 1: 1, 2: 3, 3: 1, 4: -1, 9: -1}
     numbers = spark.createDataFrame([("12",), ("x",), (None,)], "c string").select(cat_to_long("c")).collect()
     assert [r[0] for r in numbers] == [12, None, None]
+    both = encode(df, {}, ["id"], counts={"c": "n"}, scope=F.col("id") > 1)
+    assert {r["id"]: r["n"] for r in both.collect()} == {0: 0, 1: 1, 2: 1, 3: 1, 4: None}
     pairs = combination_codes(df, ["c", "id"], "code", ["id"], buckets=3)
     assert [r["code"] for r in pairs.orderBy("code").collect()] == [1, 2, 3, 4, 5]
 

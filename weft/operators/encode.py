@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from weft.functions.expressions import list_prefix
 from weft.operators.ordered import OrderedRows
 from weft.operators.skew import BROADCAST_KEYS, KeyProfile, attach, key_profiles
-from weft.sources.tables import CAT, tagged
+from weft.sources.tables import CAT, NUM, tagged
 
 UNKNOWN = -1
 
@@ -20,40 +20,53 @@ def cat_to_long(column: str) -> Column:
     return F.expr(f"try_cast(`{column}` AS bigint)")
 
 
-def code_table(df: DataFrame, columns: Sequence[str], buckets: int | None = None) -> DataFrame:
+def code_table(df: DataFrame, columns: Sequence[str], buckets: int | None = None,
+               scope: Column | None = None) -> DataFrame:
     """Codes 1, 2, ... of the sorted distinct values of several columns: (feature, value, n, code).
 
-    Only distinct values are ordered, never rows, and all columns share one pass.
+    ``n`` is the number of rows with the value, of those in ``scope`` if given. Only distinct values are
+    ordered, never rows, and all columns share one pass.
     """
     pairs = F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).cast("string").alias("value"))
                       for c in columns])
-    values = df.select(F.explode(pairs).alias("p")).select("p.feature", "p.value")
+    counted = F.lit(True) if scope is None else F.coalesce(scope, F.lit(False))
+    values = df.select(counted.alias("_in"), F.explode(pairs).alias("p")).select("_in", "p.feature", "p.value")
     distinct = values.where(F.col("value").isNotNull()).groupBy("feature", "value").agg(
-        F.count(F.lit(1)).alias("n"))
+        F.count_if(F.col("_in")).alias("n"))
     return OrderedRows(distinct, ["feature"], ["value"], buckets).row_number("code").select(
         "feature", "value", "n", "code")
 
 
-def apply_codes(df: DataFrame, codes: DataFrame, columns: Mapping[str, str],
-                spread: Sequence[str] | None = None) -> DataFrame:
-    """Add the code of each column under a new name; a value the table does not know becomes -1."""
+def apply_codes(df: DataFrame, codes: DataFrame, columns: Mapping[str, str], spread: Sequence[str] | None = None,
+                *, counts: Mapping[str, str] | None = None) -> DataFrame:
+    """Add the code of each column under a new name; a value the table does not know becomes -1.
+
+    ``counts`` names columns whose value frequency is added as well, by the same join.
+    """
+    counts = counts or {}
     sizes = {r["feature"]: r["count"] for r in codes.groupBy("feature").count().collect()}  # a row per column
-    texts = {c: f"_text{i}" for i, c in enumerate(columns)}
+    texts = {c: f"_text{i}" for i, c in enumerate(dict.fromkeys((*columns, *counts)))}
     out = df.select("*", *[F.col(c).cast("string").alias(t) for c, t in texts.items()])
-    large = [c for c in columns if sizes.get(c, 0) > BROADCAST_KEYS]
+    large = [c for c in texts if sizes.get(c, 0) > BROADCAST_KEYS]
     hot = key_profiles(out, [(texts[c],) for c in large])
-    for c, name in columns.items():
-        one = codes.where(F.col("feature") == c).select(
-            F.col("value").alias("_value"), tagged(F.col("code"), name, CAT, "", origin="code"))
-        profile = KeyProfile(sizes.get(c, 0), hot[(texts[c],)].hot if c in large else ())
-        out = attach(out, one, [texts[c]], profile, table_keys=["_value"], spread=spread)
+    for c, text in texts.items():
+        found = []
+        if c in columns:
+            found.append(tagged(F.col("code"), columns[c], CAT, "", origin="code"))
+        if c in counts:
+            found.append(tagged(F.col("n"), counts[c], NUM, "", origin="count"))
+        one = codes.where(F.col("feature") == c).select(F.col("value").alias("_value"), *found)
+        profile = KeyProfile(sizes.get(c, 0), hot[(text,)].hot if c in large else ())
+        out = attach(out, one, [text], profile, table_keys=["_value"], spread=spread)
     return out.drop(*texts.values()).fillna(UNKNOWN, list(columns.values()))
 
 
 def encode(df: DataFrame, columns: Mapping[str, str], spread: Sequence[str] | None = None,
-           buckets: int | None = None) -> DataFrame:
-    """Fit codes on ``df`` and add them to it."""
-    return apply_codes(df, code_table(df, list(columns), buckets), columns, spread)
+           buckets: int | None = None, *, counts: Mapping[str, str] | None = None,
+           scope: Column | None = None) -> DataFrame:
+    """Fit codes on ``df`` and add them to it, with the frequencies named in ``counts``."""
+    used = list(dict.fromkeys((*columns, *(counts or {}))))
+    return apply_codes(df, code_table(df, used, buckets, scope), columns, spread, counts=counts)
 
 
 def with_list_prefixes(df: DataFrame, columns: Sequence[str], sizes: Sequence[int] = (1, 2, 3)) -> DataFrame:

@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 
 from weft.functions.expressions import list_lengths, row_sum, time_differences, time_parts, with_exprs
-from weft.operators.candidates import count_encodings, key_column_pairs, key_num_stats, pair_counts, pair_nuniques
+from weft.operators.candidates import key_column_pairs, key_num_stats, pair_counts, pair_nuniques
 from weft.operators.encode import encode, with_list_prefixes
 from weft.operators.grouped import GroupFeature, add_group_features
 from weft.operators.ordered import OrderedRows
@@ -85,18 +85,19 @@ def engineer(base: DataFrame, tables: TableSet, keep: Collection[str], *, label:
     df = with_list_prefixes(df, raw_lists)
     prefixes = [f"{c}_{k}" for c in raw_lists for k in (1, 2, 3)]
 
-    # Codes: categories and list prefixes as numbers.
+    # Codes and frequencies of categories, list prefixes and time parts: one table of values, one join each.
     codes = {c: f"{c}_code" for c in (*cats, *prefixes)}
     coded = {c: n for c, n in codes.items() if selected is None or n in selected}
-    if coded:
-        df = encode(df, coded, [row_id])
-        features += coded.values()
+    counts = {c: f"cnt__{c}" for c in (*part_names, *cats, *prefixes)}
+    counts = {c: n for c, n in counts.items() if selected is None or n in selected}
+    if coded or counts:
+        df = encode(df, coded, [row_id], counts=counts, scope=scope)
+        features += [*coded.values(), *counts.values()]
     df = materialize(df, "rows")
 
-    # Counts, distinct counts and group statistics.
+    # Pair counts, distinct counts and group statistics.
     key_pairs = key_column_pairs(base, tables.relations, skip=[row_id])
-    groups: list[GroupFeature] = count_encodings([*part_names, *cats, *prefixes])
-    groups += pair_counts(key_pairs) + pair_nuniques(key_pairs)
+    groups: list[GroupFeature] = pair_counts(key_pairs) + pair_nuniques(key_pairs)
     groups += [g for g in key_num_stats(base, tables.relations, skip=[row_id]) if g.value in nums]
     groups = [g for g in dict.fromkeys(groups) if selected is None or g.name in selected]
     wide = add_group_features(df, groups, [row_id], over=None if scope is None else df.where(scope))
