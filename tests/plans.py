@@ -22,6 +22,7 @@ def bad_operators(df) -> list[str]:
     out = [x for x in ("CartesianProduct", "BroadcastNestedLoopJoin", "EvalPython", "InPandas", "MapInArrow")
            if any(x in line for line in lines)]
     for i, line in enumerate(lines):
-        if "Window [" in line and " AS _seen#" not in line and any("Exchange SinglePartition" in below for below in lines[i + 1:i + 4]):
+        near = lines[i + 1:i + 4]
+        if "Window [" in line and " AS _seen#" not in line and any("Exchange SinglePartition" in x for x in near):
             out.append(line.strip())
     return out

@@ -104,7 +104,8 @@ def planted(spark):
 
 
 def test_planted_pair_ranks_first(planted):
-    model = PairFeatureModel.fit(planted, ["a", "b", "c"], "label", codes=["a_code", "b_code", "c_code"], pairs_per_job=2)
+    model = PairFeatureModel.fit(planted, ["a", "b", "c"], "label", codes=["a_code", "b_code", "c_code"],
+                                 pairs_per_job=2)
     assert {model.features[0].a, model.features[0].b} == {"a", "b"}
     assert model.features[0].kind in ("count", "ratio") and len(model.features) <= 9
     assert all(s > model.threshold for s in model.scores) and list(model.scores) == sorted(model.scores, reverse=True)

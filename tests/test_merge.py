@@ -81,8 +81,8 @@ def test_union_lengths_equal_the_texts(spark):
 
 def test_similar_table_names_do_not_mix(spark):
     one, ten = graph(spark), graph(spark, name="table_10")
-    both = TableSet({**one.tables, "table_10": ten.tables["table_10"]}, {**one.specs, "table_10": ten.specs["table_10"]},
-                    one.relations + ten.relations, main="main", row_id="id", time_col="t")
+    both = TableSet({**one.tables, "table_10": ten.tables["table_10"]},
+                    {**one.specs, "table_10": ten.specs["table_10"]}, one.relations + ten.relations, main="main", row_id="id", time_col="t")
     m = merge_graph(both)
     assert set(columns_of(m, NUM, table="table_1")) == {f"table_1__{s}__x" for s in ("mean", "sum")} | {
         f"table_1__union_length__{c}" for c in ("c", "m")}

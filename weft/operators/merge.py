@@ -79,9 +79,9 @@ def aggregate_side(right: DataFrame, keys: Sequence[str], table: str, order: Seq
                    unions: str = "length", last: bool = True, times: bool = False) -> DataFrame:
     """One row per key of a to-many table: numeric mean and sum, category and list "last" and union.
 
-    The key itself is not aggregated, and times only with ``times`` (their first and last). ``unions`` chooses what a union becomes: ``"length"``
-    (its number of characters, all that the later features use, without building the text), ``"text"``
-    (one cell per key; see ``whole_text``) or ``"none"``.
+    The key itself is not aggregated, and times only with ``times`` (their first and last). ``unions``
+    chooses what a union becomes: ``"length"`` (its number of characters, all that the later features use,
+    without building the text), ``"text"`` (one cell per key; see ``whole_text``) or ``"none"``.
     """
     if unions not in ("length", "text", "none"):
         raise ValueError(f"unknown union form {unions!r}")

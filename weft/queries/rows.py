@@ -16,7 +16,7 @@ EVENT_COLUMNS = ("event_id", "ts", "user_id", "value", "k")
 
 
 def time_parts(spark: SparkSession, sf: str) -> DataFrame:
-    """Parts of the event time, and the weekday of the order date as a side time would get it."""
+    """Parts of the event time."""
     e = X.events(spark, sf).select("event_id", "ts")
     return E.with_exprs(e, E.time_parts("ts")).drop("ts")
 

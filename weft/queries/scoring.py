@@ -93,8 +93,9 @@ def collinear(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def feature_report(spark: SparkSession, sf: str) -> DataFrame:
-    return report_of(materialize(_wide_with_nulls(spark, sf).select(*PROFILED, "constant"), "wide"), [*PROFILED, "constant"], PROFILED,
-                     missing_threshold=0.01, correlation_threshold=0.9)
+    columns = [*PROFILED, "constant"]
+    wide = materialize(_wide_with_nulls(spark, sf).select(*columns), "wide")
+    return report_of(wide, columns, PROFILED, missing_threshold=0.01, correlation_threshold=0.9)
 
 
 _COUNTS_SQL = """r AS (SELECT feature, min(value) AS lo, max(value) AS hi FROM v GROUP BY feature),

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterable, Mapping
-from dataclasses import dataclass, field, replace
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -71,7 +71,6 @@ class TableSet:
     row_id: str
     time_col: str | None = None
     label: str | None = None
-    extra: Mapping[str, object] = field(default_factory=dict)
 
     def __post_init__(self) -> None:
         if self.main not in self.tables:
