@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weft.llm import bpe, exact, mixing
+from weft.llm import bpe, exact, jaccard, mixing, quality, warc
 from weft.llm.common import materialize, read
+from weft.sources.workspace import shared_folder
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
 
@@ -39,6 +41,42 @@ FROM (SELECT doc_id, sha256(coalesce(text, '')) AS text_sha256 FROM documents)
 WINDOW w AS (PARTITION BY text_sha256)"""
 
 
+def op5_jaccard_join(spark: SparkSession, sf: str) -> DataFrame:
+    """The component of every document under links of like shingle sets."""
+    return jaccard.similar_documents(read(spark, sf, "documents").select("doc_id", "text"))
+
+
+def op6_quality(spark: SparkSession, sf: str) -> DataFrame:
+    """Scores of all documents, learnt from the labelled ones outside the held-out fold."""
+    docs = read(spark, sf, "documents").select("doc_id", "text")
+    labels = read(spark, sf, "labels").select("doc_id", "quality")
+    model = quality.train(docs, labels.where(~quality.held_out(F.col("doc_id"))))
+    scored = quality.score(docs.select("doc_id", quality.held_out(F.col("doc_id")).alias("held_out"), "text"), model)
+    return scored.select("doc_id", "held_out", "score",
+                         (F.col("score") >= quality.THRESHOLD).cast("int").alias("predicted"))
+
+
+def op7_warc(spark: SparkSession, sf: str) -> DataFrame:
+    """Every page written to archives, and what the archives give back."""
+    path = f"{shared_folder(spark)}/weft/archive-{uuid.uuid4().hex}"
+    warc.write_archive(read(spark, sf, "pages").select("page_id", "url", "html"), path)
+    out = warc.read_archive(spark, path)
+    return out.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+#: The 32 letters of base32 stand for five bits each: five hexadecimal digits give four letters.
+OP7_SQL = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS body, sha1(coalesce(html, '')) AS h FROM pages),
+d AS (SELECT page_id, octet_length(encode(body)) AS payload_bytes, max(page_id) OVER (PARTITION BY h) AS winner,
+    list_aggregate(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+        (((('0x' || substr(h, (i // 4) * 5 + 1, 5))::BIGINT) >> (5 * (3 - i % 4))) & 31)::INT + 1, 1)), 'string_agg', '')
+        AS payload_digest FROM p)
+SELECT page_id, payload_bytes, payload_digest,
+       CASE WHEN page_id = winner THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id <> winner THEN winner END AS refers_to
+FROM d"""
+
+
 def op10_byte_bpe(spark: SparkSession, sf: str) -> DataFrame:
     """Ids of every text, and the text that the ids give back."""
     ranks = bpe.load_ranks(spark, public_tokenizers.path(RANKS))
@@ -52,5 +90,8 @@ def op10_byte_bpe(spark: SparkSession, sf: str) -> DataFrame:
 QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {
     "op2_mix_sources": (op2_mix_sources, None),
     "op4_exact_dedup": (op4_exact_dedup, OP4_SQL),
+    "op5_jaccard_join": (op5_jaccard_join, None),
+    "op6_quality": (op6_quality, None),
+    "op7_warc": (op7_warc, OP7_SQL),
     "op10_byte_bpe": (op10_byte_bpe, None),
 }
