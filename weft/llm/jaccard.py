@@ -7,9 +7,10 @@ shingle, and without words the set is empty and linked with nothing. Two sets ar
 1. Shingles are put in one order for all documents: those of frequent hash buckets last, the others by value. Two linked
    sets share a shingle among their first fifth (the prefix). Equal sets are one set from here on.
 2. Sets with the same prefix and the same size are one group; the index holds each prefix shingle once per group.
-3. In each shingle's list and size class, every group meets the smallest one there. The pairs that pass the size and
-   position filters are expanded to a member of each, and verified on the full sets, as are the members of a group against
-   its first. Their links give first components.
+3. In each shingle's list and size class, every group meets the first one there and the one before it, in an order of the
+   list's own. The group pairs that pass the size and position filters are expanded to a member of each, and verified on
+   the full sets, as are the members of a group against its first. Their links give first components; members of different
+   components that come within ``LOOK_BACK`` places in a list meet again in ``ROUNDS`` more rounds.
 4. What is left are pairs of sets in different components. All of those that share an index entry and pass the filters are
    expanded to members and verified too, so that no link between components is lost. Pairs inside a component need no more
    work: its documents are the same whichever further links it holds.
@@ -35,6 +36,8 @@ from weft.llm.kernels import shingle_sets, text_runs
 WIDTH = 5
 PERCENT = 80
 BUCKET_BITS = 20
+ROUNDS = 1
+LOOK_BACK = 8
 #: A bucket is frequent in a task when it holds this many times the mean, and this many shingles.
 FREQUENT_TIMES, FREQUENT_LEAST = 4, 8
 _SETS = "doc_id long, n long, sid long, bucket int, hits long"
@@ -141,12 +144,18 @@ def shared_entries(index: DataFrame, percent: int) -> DataFrame:
     size_class = F.floor(F.log(F.col("n").cast("double")) / float(np.log(100 / percent))).cast("int")
     out = once.withColumn("_least", F.min("gid").over(by_token)).withColumn("_most", F.max("gid").over(by_token)).where(
         "_least <> _most or place < 0").withColumn("class", size_class)
-    first = F.first(F.struct("gid", "n", "place")).over(Window.partitionBy("token", "class").orderBy("n", "gid", "place"))
-    return out.select("token", "gid", "n", "place", "class", first.alias("first"))
+    # an order of its own for each list, so that a group meets another one in each
+    in_class = Window.partitionBy("token", "class").orderBy(F.xxhash64("token", "gid"), "gid", "place")
+    entry = F.struct("gid", "n", "place")
+    return out.select("token", "gid", "n", "place", "class", F.first(entry).over(in_class).alias("first"),
+                      F.lag(entry).over(in_class).alias("before"))
 
 
-def verify(pairs: DataFrame, reps: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
-    """The pairs (a, b) of set ids that are linked; ``reps`` (sid, doc_id) names a document of each set."""
+def fetch_sets(ids: DataFrame, docs: DataFrame, width: int) -> DataFrame:
+    """The sets (sid, shingles) of the documents with these doc_ids.
+
+    A table of at most ``2**BUCKET_BITS`` hash buckets of the ids goes out first, so that few other texts are shuffled.
+    """
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -155,81 +164,130 @@ def verify(pairs: DataFrame, reps: DataFrame, docs: DataFrame, width: int, perce
                 yield pa.record_batch({"sid": pa.array(map(set_id, own), pa.int64()),
                                        "shingles": pa.array([x.tobytes() for x in own], pa.binary())})
 
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            linked = np.zeros(batch.num_rows, bool)
-            for i, (x, y) in enumerate(zip(batch.column("x"), batch.column("y"), strict=True)):
-                one, two = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                both = len(np.intersect1d(one, two, True))
-                linked[i] = 100 * both >= percent * (len(one) + len(two) - both)
-            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(linked))
-
-    needed = pairs.select(F.col("a").alias("sid")).unionByName(pairs.select(F.col("b").alias("sid"))).distinct()
-    ids = needed.join(reps, "sid").select(F.col("rep").alias("doc_id"))
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(ids, "doc_id", "left_semi").select("text")
-    made = materialize(texts.mapInArrow(make, "sid long, shingles binary"), "shingles")
+    bucket = F.pmod(F.xxhash64("doc_id"), F.lit(1 << BUCKET_BITS))
+    buckets = ids.select(bucket.alias("_b")).distinct()
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    texts = texts.join(F.broadcast(buckets), bucket == F.col("_b"), "left_semi").join(ids, "doc_id", "left_semi")
     # a repeated doc_id may bring other sets and equal ones
-    made = made.dropDuplicates(["sid"])
-    x = made.select(F.col("sid").alias("a"), F.col("shingles").alias("x"))
-    y = made.select(F.col("sid").alias("b"), F.col("shingles").alias("y"))
-    rows = pairs.join(y, "b").join(x, "a").select("a", "b", "x", "y")
-    return rows.mapInArrow(compare, "a long, b long")
+    made = texts.select("text").mapInArrow(make, "sid long, shingles binary")
+    return materialize(made.dropDuplicates(["sid"]), "shingles")
+
+
+class Verifier:
+    """Verifies pairs of sets; a set is made from its text when a pair first needs it."""
+
+    def __init__(self, docs: DataFrame, reps: DataFrame, width: int, percent: int) -> None:
+        self.docs, self.reps, self.width, self.percent = docs, reps, width, percent
+        self.sets: DataFrame | None = None
+
+    def linked(self, pairs: DataFrame) -> DataFrame:
+        """The pairs (a, b) of set ids that are linked."""
+        pairs = materialize(pairs.distinct(), "pairs")
+        needed = pairs.select(F.explode(F.array("a", "b")).alias("sid")).distinct()
+        if self.sets is not None:
+            needed = needed.join(self.sets, "sid", "left_anti")
+        ids = materialize(needed.join(self.reps, "sid").select(F.col("rep").alias("doc_id")).distinct(), "needed")
+        if self.sets is None:
+            self.sets = fetch_sets(ids, self.docs, self.width)
+        elif ids.limit(1).count():
+            more = fetch_sets(ids, self.docs, self.width)
+            self.sets = self.sets.unionByName(more.join(self.sets, "sid", "left_anti"))
+        percent = self.percent
+
+        def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                linked = np.zeros(batch.num_rows, bool)
+                for i, (x, y) in enumerate(zip(batch.column("x"), batch.column("y"), strict=True)):
+                    one, two = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
+                    both = len(np.intersect1d(one, two, True))
+                    linked[i] = 100 * both >= percent * (len(one) + len(two) - both)
+                yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(
+                    pa.array(linked))
+
+        x = self.sets.select(F.col("sid").alias("a"), F.col("shingles").alias("x"))
+        y = self.sets.select(F.col("sid").alias("b"), F.col("shingles").alias("y"))
+        rows = pairs.join(y, "b").join(x, "a").select("a", "b", "x", "y")
+        return materialize(rows.mapInArrow(compare, "a long, b long"), "linked")
+
+
+def merged(labels: DataFrame | None, links: DataFrame) -> DataFrame:
+    """Labels (node, root) after more links."""
+    if labels is None:
+        return components(links)
+    if not links.limit(1).count():
+        return labels
+    named = links
+    for c in ("a", "b"):
+        part = labels.select(F.col("node").alias(c), F.col("root").alias("_root"))
+        named = named.join(part, c, "left").withColumn(c, F.coalesce("_root", c)).drop("_root")
+    over = components(named)
+    moved = labels.join(over.select(F.col("node").alias("root"), F.col("root").alias("_to")), "root", "left").select(
+        "node", F.coalesce("_to", "root").alias("root"))
+    return materialize(moved.unionByName(over.join(labels, "node", "left_anti").select("node", "root")), "labels")
+
+
+def open_lists(lists: DataFrame, members: DataFrame, heads: DataFrame, labels: DataFrame) -> DataFrame:
+    """Entries (token, class, n, place, sid, part) of the lists that hold more than one component, with their members."""
+    labeled = members.join(labels.select(F.col("node").alias("sid"), "root"), "sid", "left").select(
+        "gid", "sid", "size", F.coalesce("root", "sid").alias("part"))
+    entries = lists.select("token", "gid", "n", "place", "class").join(labeled, "gid")
+    # a group's own members meet in a list of their own
+    own = labeled.join(heads.where("members > 1").select("gid"), "gid", "left_semi").select(
+        "gid", F.col("gid").alias("token"), F.col("size").alias("n"), F.lit(0).alias("place"), F.lit(-1).alias("class"),
+        "sid", "size", "part")
+    by_list = Window.partitionBy("token")
+    both = entries.unionByName(own).withColumn("_least", F.min("part").over(by_list)).withColumn(
+        "_most", F.max("part").over(by_list)).where("_least <> _most")
+    return materialize(both.select("token", "n", "place", "class", "sid", "part"), "open")
+
 
+def similar_documents(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, rounds: int = ROUNDS) -> DataFrame:
+    """Per row of (doc_id, text): doc_id, n_shingles, component_id (smallest doc_id reachable by links).
 
-def similar_documents(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
-    """Per row of (doc_id, text): doc_id, n_shingles, component_id (smallest doc_id reachable by links)."""
+    ``rounds`` of meetings between components come before the last step; they decide how much that has to do.
+    """
     sets = materialize(document_sets(docs, width), "sets")
     rows = sets.where("bucket is null").select("doc_id", "n", "sid")
     entries = materialize(shared_entries(prefix_index(docs, bucket_classes(sets), width, percent), percent), "entries")
     members = entries.where("place < 0").select("gid", F.col("token").alias("sid"), F.col("n").alias("size")).distinct()
-    heads = members.groupBy("gid").agg(F.min("sid").alias("head"), F.count(F.lit(1)).alias("members"))
-    members, heads = materialize(members, "members"), materialize(heads, "heads")
+    members = materialize(members, "members")
+    heads = materialize(members.groupBy("gid").agg(F.min("sid").alias("head"), F.count(F.lit(1)).alias("members")), "heads")
     reps = materialize(rows.where("n > 0").groupBy("sid").agg(
         F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("rows")), "reps")
+    verifier = Verifier(docs, reps, width, percent)
 
-    # every group against the smallest of its size class in each list, every member against its group's first
+    # every group against two of its size class in each list, every member against its group's first
     lists = entries.where("place >= 0")
-    first = F.col("first")
-    near = lists.where((first["gid"] != F.col("gid")) & may_match(
-        F.col("n"), F.col("place"), first["n"], first["place"], percent))
-    near = near.select(F.col("gid").alias("g"), first["gid"].alias("h")).distinct()
+    near = lists.select("gid", "n", "place", F.explode(F.array("first", "before")).alias("other")).where(
+        (F.col("other.gid") != F.col("gid")) & may_match(F.col("n"), F.col("place"), F.col("other.n"), F.col("other.place"),
+                                                         percent))
+    near = near.select(F.least("gid", "other.gid").alias("g"), F.greatest("gid", "other.gid").alias("h")).distinct()
     near = near.join(heads.select(F.col("gid").alias("g"), F.col("head").alias("a")), "g").join(
         heads.select(F.col("gid").alias("h"), F.col("head").alias("b")), "h").select("a", "b")
     inside = members.join(heads.where("members > 1"), "gid").where("sid <> head").select(
         F.col("sid").alias("a"), F.col("head").alias("b"))
-    links = materialize(verify(materialize(near.unionByName(inside), "pairs"), reps, docs, width, percent), "links")
-    labels = components(links)
-
-    # pairs between components: a list's entries with their members, lists of one component left out
-    labeled = members.join(labels.select(F.col("node").alias("sid"), "root"), "sid", "left").select(
-        "gid", "sid", F.coalesce("root", "sid").alias("part"))
-    open_lists = lists.select("token", "gid", "n", "place", "class").join(labeled, "gid")
-    # a group's own members meet in a list of their own
-    own = members.join(heads.where("members > 1").select("gid"), "gid", "left_semi").join(labeled, ["gid", "sid"]).select(
-        "gid", F.col("gid").alias("token"), F.col("size").alias("n"), F.lit(0).alias("place"), F.lit(-1).alias("class"),
-        "sid", "part")
-    by_list = Window.partitionBy("token")
-    both = open_lists.unionByName(own).withColumn("_least", F.min("part").over(by_list)).withColumn(
-        "_most", F.max("part").over(by_list)).where("_least <> _most").select("token", "n", "place", "class", "sid", "part")
-    both = materialize(both, "between")
-    left = both.withColumn("class", F.explode(F.array(F.col("class"), F.col("class") + 1)))
-    left = left.select("token", "class", *[F.col(c).alias(f"{c}1") for c in ("n", "place", "sid", "part")])
-    # the larger one is in the same size class or the next; equal classes are met once
-    met = left.join(both, ["token", "class"]).where(
+    labels = merged(None, verifier.linked(near.unionByName(inside)))
+
+    # members of different components that come close in an order by chance
+    for turn in range(rounds):
+        left = open_lists(lists, members, heads, labels)
+        chance = Window.partitionBy("token").orderBy("class", F.xxhash64(F.lit(turn), "token", "sid"), "sid")
+        seen = F.collect_list(F.struct("sid", "part", "n", "place")).over(chance.rowsBetween(-LOOK_BACK, -1))
+        others = F.filter(seen, lambda o: (o["part"] != F.col("part")) & may_match(
+            F.col("n"), F.col("place"), o["n"], o["place"], percent))
+        met = left.select("sid", others.alias("others")).select("sid", F.explode("others").alias("other"))
+        links = verifier.linked(met.select(F.least("sid", "other.sid").alias("a"), F.greatest("sid", "other.sid").alias("b")))
+        labels = merged(labels, links)
+
+    # all pairs between components that may match
+    left = open_lists(lists, members, heads, labels)
+    wide = left.withColumn("class", F.explode(F.array(F.col("class"), F.col("class") + 1)))
+    wide = wide.select("token", "class", *[F.col(c).alias(f"{c}1") for c in ("n", "place", "sid", "part")])
+    # the larger one is in the same size class or the next; equal classes meet twice
+    met = wide.join(left, ["token", "class"]).where(
         (F.col("part1") != F.col("part")) & may_match(F.col("n1"), F.col("place1"), F.col("n"), F.col("place"), percent))
-    pairs = materialize(met.select(F.least("sid1", "sid").alias("a"), F.greatest("sid1", "sid").alias("b")).distinct(),
-                        "pairs")
-    more = materialize(verify(pairs, reps, docs, width, percent), "links")
-    if more.limit(1).count():
-        # a link between two components joins them whole
-        named = more
-        for c in ("a", "b"):
-            own_part = labels.select(F.col("node").alias(c), F.col("root").alias("_root"))
-            named = named.join(own_part, c, "left").withColumn(c, F.coalesce("_root", c)).drop("_root")
-        merged = components(named)
-        labels = labels.join(merged.select(F.col("node").alias("root"), F.col("root").alias("_to")), "root", "left").select(
-            "node", F.coalesce("_to", "root").alias("root")).unionByName(
-            merged.join(labels, "node", "left_anti").select("node", "root"))
+    labels = merged(labels, verifier.linked(met.select(F.least("sid1", "sid").alias("a"), F.greatest("sid1", "sid").alias("b"))))
+
     table = reps.join(labels.select(F.col("node").alias("sid"), "root"), "sid", "left").select(
         "sid", "rep", "rows", F.coalesce("root", "sid").alias("part"))
     table = materialize(table, "parts")
