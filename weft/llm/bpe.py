@@ -307,10 +307,9 @@ def load_ranks(spark: SparkSession, path: str) -> Broadcast:
         return spark.sparkContext.broadcast(f.read())
 
 
-def encode_texts(texts: pa.Array, vocab: Vocabulary) -> tuple[pa.Array, pa.Array]:
-    """Ids and the byte offset at which each id begins, per text."""
+def encode_runs(texts: pa.Array, vocab: Vocabulary) -> Iterator[tuple[int, int, pa.Array, pa.Array]]:
+    """By runs of rows: the first row, the row after the last, ids, and the byte offset at which each id begins."""
     data, offsets = text_bytes(texts)
-    ids, begins, sizes = [np.zeros(0, np.int32)], [np.zeros(0, np.int32)], [np.zeros(1, np.int64)]
     for lo, hi in runs(offsets):
         own = offsets[lo:hi + 1]
         decoded = [data[a:b].tobytes().decode("utf-8", "replace") for a, b in zip(own[:-1], own[1:], strict=True)]
@@ -318,25 +317,18 @@ def encode_texts(texts: pa.Array, vocab: Vocabulary) -> tuple[pa.Array, pa.Array
         points = np.frombuffer(text.encode("utf-32-le"), np.uint32)
         borders = np.cumsum(np.fromiter(map(len, decoded), np.int64, len(decoded)) + 1) - 1
         starts = piece_starts(points, borders)
-        ends = np.empty_like(starts)
-        ends[:-1] = starts[1:]
-        if len(ends):
-            ends[-1] = len(points)
-        border = borders[np.searchsorted(borders, starts)] if len(starts) else starts
-        ends = np.minimum(ends, border)
+        ends = np.append(starts[1:], len(points))[:len(starts)]
+        if len(starts):
+            ends = np.minimum(ends, borders[np.searchsorted(borders, starts)])
         pieces = [text[a:b] for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
-        own_ids, size = vocab.encode(pieces)
+        ids, size = vocab.encode(pieces)
         upto = np.concatenate([[0], np.cumsum(size)])[np.searchsorted(starts, np.concatenate([[0], borders + 1]))]
-        per_text = np.diff(upto)
-        length = vocab.lengths[own_ids].astype(np.int64)
+        length = vocab.lengths[ids].astype(np.int64)
         before = np.cumsum(length) - length
-        first = np.repeat(upto[:-1], per_text)
-        ids.append(own_ids)
-        begins.append((before - before[first]).astype(np.int32) if len(own_ids) else np.zeros(0, np.int32))
-        sizes.append(per_text)
-    ends = pa.array(np.cumsum(np.concatenate(sizes)), pa.int32())
-    return (pa.ListArray.from_arrays(ends, pa.array(np.concatenate(ids))),
-            pa.ListArray.from_arrays(ends, pa.array(np.concatenate(begins))))
+        begins = before - np.repeat(np.append(before, 0)[upto[:-1]], np.diff(upto))
+        bounds = pa.array(upto, pa.int32())
+        yield (lo, hi, pa.ListArray.from_arrays(bounds, pa.array(ids)),
+               pa.ListArray.from_arrays(bounds, pa.array(begins.astype(np.int32))))
 
 
 def _with_columns(df: DataFrame, drop: list[str], new: list[T.StructField]) -> T.StructType:
@@ -354,9 +346,9 @@ def encode(df: DataFrame, ranks: Broadcast, text: str = "text", ids: str = "ids"
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            vocab = vocabulary(ranks.value)
-            a, b = encode_texts(batch.column(text), vocab)
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), a, b], [*kept, ids, offsets])
+            for lo, hi, a, b in encode_runs(batch.column(text), vocabulary(ranks.value)):
+                yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(lo, hi - lo) for c in kept), a, b],
+                                                 [*kept, ids, offsets])
 
     return df.select(*kept, text).mapInArrow(task, schema)
 
@@ -377,8 +369,8 @@ def decode(df: DataFrame, ranks: Broadcast, ids: str = "ids", offsets: str = "of
             first = np.repeat(ends[bounds[:-1]], np.diff(bounds))
             if not np.array_equal(ends[:-1] - first, begins.flatten().to_numpy()):
                 raise ValueError("offsets do not fit the ids")
-            listed = values.tolist()
-            out_rows = [vocab.decode(listed[a:b]) for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
+            out_rows = [vocab.decode(values[a:b].tolist()) for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(),
+                                                                           strict=True)]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(out_rows, pa.binary())],
                                              [*kept, out])
 
