@@ -9,7 +9,7 @@ shingle, and without words the set is empty and linked with nothing. Two sets ar
 2. Sets with the same prefix and the same size are one group; the index holds each prefix shingle once per group.
 3. In each shingle's list and size class, every group meets the first one there and the one before it, in an order of the
    list's own. The group pairs that pass the size and position filters are expanded to a member of each, and verified on
-   the full sets, as are the members of a group against its first. Their links give first components; members of different
+   the full sets after a look at their sketches, as are the members of a group against its first. Their links give first components; members of different
    components that come within ``LOOK_BACK`` places in a list meet again in ``ROUNDS`` more rounds.
 4. What is left are pairs of sets in different components. All of those that share an index entry and pass the filters are
    expanded to members and verified too, so that no link between components is lost. Pairs inside a component need no more
@@ -40,7 +40,7 @@ ROUNDS = 1
 LOOK_BACK = 8
 #: A bucket is frequent in a task when it holds this many times the mean, and this many shingles.
 FREQUENT_TIMES, FREQUENT_LEAST = 4, 8
-_SETS = "doc_id long, n long, sid long, bucket int, hits long"
+_SETS = "doc_id long, n long, sid long, sketch binary, bucket int, hits long"
 _INDEX = "token long, gid long, n int, place int"
 
 
@@ -52,28 +52,49 @@ def prefix_length(n: int, percent: int) -> int:
     return n - -(-percent * n // 100) + 1
 
 
+def sketch(shingles: np.ndarray) -> bytes:
+    """A bit for each shingle by its low digits, four bits or more per shingle."""
+    size = 1 << max(6, (4 * len(shingles) - 1).bit_length())
+    bits = np.zeros(size, bool)
+    bits[(shingles & np.uint64(size - 1)).astype(np.int64)] = True
+    return np.packbits(bits, bitorder="little").tobytes()
+
+
+def most_common(n1: int, sketch1: bytes, n2: int, sketch2: bytes) -> int:
+    """No fewer than the shingles that both sets hold: a bit that one side lacks stands for a shingle it lacks."""
+    one, two = np.frombuffer(sketch1, np.uint8), np.frombuffer(sketch2, np.uint8)
+    while len(one) > len(two):
+        one = one[:len(one) // 2] | one[len(one) // 2:]
+    while len(two) > len(one):
+        two = two[:len(two) // 2] | two[len(two) // 2:]
+    return min(n1 - int(np.bitwise_count(one & ~two).sum()), n2 - int(np.bitwise_count(two & ~one).sum()))
+
+
 def document_sets(docs: DataFrame, width: int = WIDTH) -> DataFrame:
-    """Per row (doc_id, n, sid); and per task and frequent bucket a row (bucket, hits)."""
+    """Per row (doc_id, n, sid, sketch); and per task and frequent bucket a row (bucket, hits)."""
     shift = np.uint64(64 - BUCKET_BITS)
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hits = np.zeros(1 << BUCKET_BITS, np.int64)
         for batch in batches:
-            sizes, ids = [], []
+            sizes, ids, bits = [], [], []
             for _, _, words in text_runs(batch.column("text")):
                 own = list(shingle_sets(words, width))
                 sizes += map(len, own)
                 ids += map(set_id, own)
+                bits += map(sketch, own)
                 if own:
                     hits += np.bincount((np.concatenate(own) >> shift).astype(np.int64), minlength=len(hits))
             none = pa.nulls(len(sizes))
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(ids, pa.int64()),
-                 none.cast(pa.int32()), none.cast(pa.int64())], ["doc_id", "n", "sid", "bucket", "hits"])
+                 pa.array(bits, pa.binary()), none.cast(pa.int32()), none.cast(pa.int64())],
+                ["doc_id", "n", "sid", "sketch", "bucket", "hits"])
         at = np.flatnonzero(hits >= max(FREQUENT_LEAST, FREQUENT_TIMES * hits.mean()))
         none = pa.nulls(len(at), pa.int64())
-        yield pa.RecordBatch.from_arrays([none, none, none, pa.array(at.astype(np.int32)), pa.array(hits[at])],
-                                         ["doc_id", "n", "sid", "bucket", "hits"])
+        yield pa.RecordBatch.from_arrays(
+            [none, none, none, pa.nulls(len(at), pa.binary()), pa.array(at.astype(np.int32)), pa.array(hits[at])],
+            ["doc_id", "n", "sid", "sketch", "bucket", "hits"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(task, _SETS)
 
@@ -136,19 +157,34 @@ def may_match(n1: Column, place1: Column, n2: Column, place2: Column, percent: i
     return sizes & (F.least(n1 - place1, n2 - place2) * (100 + percent) >= (n1 + n2) * percent)
 
 
-def shared_entries(index: DataFrame, percent: int) -> DataFrame:
-    """Entries of lists with two or more groups, each with the smallest entry of its size class; and all member rows."""
+def shared_entries(index: DataFrame) -> DataFrame:
+    """Entries (token, gid, n, place, class) of lists with two or more groups, and all member rows (place -1).
+
+    Of lists with the same groups only the first in the order of shingles stays: whatever two groups share there comes before
+    what they share in the others.
+    """
     by_token = Window.partitionBy("token")
-    ordered = by_token.orderBy("n", "gid", "place")
+    ordered = by_token.orderBy("gid", "place")
     once = index.withColumn("_before", F.lag("gid").over(ordered)).where("_before is null or _before <> gid")
-    size_class = F.floor(F.log(F.col("n").cast("double")) / float(np.log(100 / percent))).cast("int")
-    out = once.withColumn("_least", F.min("gid").over(by_token)).withColumn("_most", F.max("gid").over(by_token)).where(
-        "_least <> _most or place < 0").withColumn("class", size_class)
-    # an order of its own for each list, so that a group meets another one in each
+    marks = once.select("token", "gid", "n", "place", F.first("gid").over(ordered).alias("_least"),
+                        F.max("gid").over(by_token).alias("_most"), F.count("gid").over(by_token).alias("_groups"),
+                        F.bit_xor(F.xxhash64("gid")).over(by_token).alias("_all"),
+                        F.first("place").over(ordered).alias("_at"))
+    shared = marks.where("_least <> _most or place < 0")
+    # a member row is a list of its own
+    alone = F.when(F.col("place") < 0, F.col("token")).otherwise(F.lit(0))
+    alike = Window.partitionBy("_least", "_most", "_groups", "_all", "_alone").orderBy("_at", "token")
+    first = shared.withColumn("_alone", alone).withColumn("_turn", F.dense_rank().over(alike)).where("_turn = 1")
+    size_class = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(1.25))).cast("int")
+    return first.select("token", "gid", "n", "place", size_class.alias("class"))
+
+
+def neighbours(lists: DataFrame) -> DataFrame:
+    """Each entry with the first one of its list and size class and the one before it, in an order of the list's own."""
     in_class = Window.partitionBy("token", "class").orderBy(F.xxhash64("token", "gid"), "gid", "place")
     entry = F.struct("gid", "n", "place")
-    return out.select("token", "gid", "n", "place", "class", F.first(entry).over(in_class).alias("first"),
-                      F.lag(entry).over(in_class).alias("before"))
+    return lists.select("gid", "n", "place", F.first(entry).over(in_class).alias("first"),
+                        F.lag(entry).over(in_class).alias("before"))
 
 
 def fetch_sets(ids: DataFrame, docs: DataFrame, width: int) -> DataFrame:
@@ -181,19 +217,17 @@ class Verifier:
         self.sets: DataFrame | None = None
 
     def linked(self, pairs: DataFrame) -> DataFrame:
-        """The pairs (a, b) of set ids that are linked."""
-        pairs = materialize(pairs.distinct(), "pairs")
-        needed = pairs.select(F.explode(F.array("a", "b")).alias("sid")).distinct()
-        if self.sets is not None:
-            needed = needed.join(self.sets, "sid", "left_anti")
-        ids = materialize(needed.join(self.reps, "sid").select(F.col("rep").alias("doc_id")).distinct(), "needed")
-        if self.sets is None:
-            self.sets = fetch_sets(ids, self.docs, self.width)
-        elif ids.limit(1).count():
-            more = fetch_sets(ids, self.docs, self.width)
-            self.sets = self.sets.unionByName(more.join(self.sets, "sid", "left_anti"))
+        """The pairs (a, b) of set ids that are linked: what the sketches leave is compared on the full sets."""
         percent = self.percent
 
+        def possible(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                stay = np.zeros(batch.num_rows, bool)
+                sides = (batch.column(c).to_pylist() for c in ("n1", "x", "n2", "y"))
+                for i, (n1, x, n2, y) in enumerate(zip(*sides, strict=True)):
+                    stay[i] = most_common(n1, x, n2, y) * (100 + percent) >= percent * (n1 + n2)
+                yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(stay))
+
         def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 linked = np.zeros(batch.num_rows, bool)
@@ -204,6 +238,20 @@ class Verifier:
                 yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(
                     pa.array(linked))
 
+        x = self.reps.select(F.col("sid").alias("a"), F.col("n").alias("n1"), F.col("sketch").alias("x"))
+        y = self.reps.select(F.col("sid").alias("b"), F.col("n").alias("n2"), F.col("sketch").alias("y"))
+        pairs = materialize(pairs.distinct().join(y, "b").join(x, "a").select("a", "n1", "x", "b", "n2", "y").mapInArrow(
+            possible, "a long, b long"), "pairs")
+        needed = pairs.select(F.explode(F.array("a", "b")).alias("sid")).distinct()
+        if self.sets is not None:
+            needed = needed.join(self.sets, "sid", "left_anti")
+        ids = needed.join(self.reps.select("sid", "rep"), "sid").select(F.col("rep").alias("doc_id")).distinct()
+        ids = materialize(ids, "needed")
+        if self.sets is None:
+            self.sets = fetch_sets(ids, self.docs, self.width)
+        elif ids.limit(1).count():
+            more = fetch_sets(ids, self.docs, self.width)
+            self.sets = self.sets.unionByName(more.join(self.sets, "sid", "left_anti"))
         x = self.sets.select(F.col("sid").alias("a"), F.col("shingles").alias("x"))
         y = self.sets.select(F.col("sid").alias("b"), F.col("shingles").alias("y"))
         rows = pairs.join(y, "b").join(x, "a").select("a", "b", "x", "y")
@@ -248,17 +296,18 @@ def similar_documents(docs: DataFrame, width: int = WIDTH, percent: int = PERCEN
     """
     sets = materialize(document_sets(docs, width), "sets")
     rows = sets.where("bucket is null").select("doc_id", "n", "sid")
-    entries = materialize(shared_entries(prefix_index(docs, bucket_classes(sets), width, percent), percent), "entries")
+    entries = materialize(shared_entries(prefix_index(docs, bucket_classes(sets), width, percent)), "entries")
     members = entries.where("place < 0").select("gid", F.col("token").alias("sid"), F.col("n").alias("size")).distinct()
     members = materialize(members, "members")
     heads = materialize(members.groupBy("gid").agg(F.min("sid").alias("head"), F.count(F.lit(1)).alias("members")), "heads")
-    reps = materialize(rows.where("n > 0").groupBy("sid").agg(
-        F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("rows")), "reps")
+    reps = materialize(sets.where("n > 0").groupBy("sid").agg(
+        F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("rows"), F.first("n").alias("n"),
+        F.first("sketch").alias("sketch")), "reps")
     verifier = Verifier(docs, reps, width, percent)
 
     # every group against two of its size class in each list, every member against its group's first
     lists = entries.where("place >= 0")
-    near = lists.select("gid", "n", "place", F.explode(F.array("first", "before")).alias("other")).where(
+    near = neighbours(lists).select("gid", "n", "place", F.explode(F.array("first", "before")).alias("other")).where(
         (F.col("other.gid") != F.col("gid")) & may_match(F.col("n"), F.col("place"), F.col("other.n"), F.col("other.place"),
                                                          percent))
     near = near.select(F.least("gid", "other.gid").alias("g"), F.greatest("gid", "other.gid").alias("h")).distinct()
