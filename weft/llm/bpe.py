@@ -19,7 +19,7 @@ import heapq
 import unicodedata
 import zlib
 from collections.abc import Iterator
-from functools import cache
+from functools import cache, cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -39,8 +39,10 @@ WHITE_POINTS = (*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x2
                 0x3000)
 ROW = 256
 #: Pieces kept per Python worker, about 150 bytes each.
-CACHE = 600_000
+CACHE = 250_000
 LONG_PIECE = 64
+#: Bytes of text that are cut into pieces at a time.
+CHUNK = 1 << 20
 
 
 @cache
@@ -149,26 +151,36 @@ class Vocabulary:
             self.pieces[rank] = piece
         self.lengths = np.array([len(p) for p in self.pieces], np.int32)
         self.single = np.array([self.ranks[bytes([b])] for b in range(256)], np.int64)
-        joins = {}
+        self._forget()
+
+    @cached_property
+    def joins(self) -> dict[int, int]:
+        """Rank by the two ids that make it."""
+        out = {}
         for piece, rank in self.ranks.items():
             for i in range(1, len(piece)):
                 a, b = self.ranks.get(piece[:i]), self.ranks.get(piece[i:])
                 if a is not None and b is not None:
-                    joins[a << 32 | b] = rank
-        self.joins = joins
-        # open addressing: a key lies within ``reach`` slots of its own
-        self.bits = max(4, (len(joins) * 4).bit_length())
-        self.keys = np.full((1 << self.bits) + 64, -1, np.int64)
-        self.joined = np.zeros(len(self.keys), np.int64)
-        self.reach = 1
-        keys = np.array(sorted(joins), np.int64)
+                    out[a << 32 | b] = rank
+        return out
+
+    @cached_property
+    def table(self) -> tuple[np.ndarray, np.ndarray, int]:
+        """The joins with open addressing: keys, ranks, and how many slots from its own a key may lie."""
+        held = np.full((1 << self.bits) + 64, -1, np.int64)
+        joined, reach = np.zeros(len(held), np.int64), 1
+        keys = np.array(sorted(self.joins), np.int64)
         for key, slot in zip(keys.tolist(), self._slot(keys).tolist(), strict=True):
             at = slot
-            while self.keys[at] >= 0:
+            while held[at] >= 0:
                 at += 1
-            self.keys[at], self.joined[at] = key, joins[key]
-            self.reach = max(self.reach, at - slot + 1)
-        self._forget()
+            held[at], joined[at] = key, self.joins[key]
+            reach = max(reach, at - slot + 1)
+        return held, joined, reach
+
+    @cached_property
+    def bits(self) -> int:
+        return max(4, (len(self.joins) * 4).bit_length())
 
     def _slot(self, key: np.ndarray) -> np.ndarray:
         return ((key.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)).astype(np.int64)
@@ -183,9 +195,10 @@ class Vocabulary:
         key = np.where(right >= 0, left << 32 | right, -2)
         slot = self._slot(key)
         out = np.full(key.shape, np.iinfo(np.int64).max)
-        for i in range(self.reach):
-            hit = self.keys[slot + i] == key
-            out[hit] = self.joined[slot + i][hit]
+        keys, joined, reach = self.table
+        for i in range(reach):
+            hit = keys[slot + i] == key
+            out[hit] = joined[slot + i][hit]
         return out
 
     def _merge_table(self, ids: np.ndarray) -> np.ndarray:
@@ -310,7 +323,7 @@ def load_ranks(spark: SparkSession, path: str) -> Broadcast:
 def encode_runs(texts: pa.Array, vocab: Vocabulary) -> Iterator[tuple[int, int, pa.Array, pa.Array]]:
     """By runs of rows: the first row, the row after the last, ids, and the byte offset at which each id begins."""
     data, offsets = text_bytes(texts)
-    for lo, hi in runs(offsets):
+    for lo, hi in runs(offsets, CHUNK):
         own = offsets[lo:hi + 1]
         decoded = [data[a:b].tobytes().decode("utf-8", "replace") for a, b in zip(own[:-1], own[1:], strict=True)]
         text = "\0".join(decoded) + "\0"
