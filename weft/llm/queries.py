@@ -9,13 +9,18 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weft.llm import bpe, exact, jaccard, mixing, quality, warc
+from weft.llm import bpe, chains, exact, jaccard, mixing, neighbours, pseudo, quality, templates, warc
 from weft.llm.common import materialize, read
 from weft.sources.workspace import shared_folder
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
 
 
+def op1_neighbours(spark: SparkSession, sf: str) -> DataFrame:
+    """The 20 nearest of every vector whose id is divisible by 20."""
+    return neighbours.nearest(read(spark, sf, "embeddings"), F.col("id") % 20 == 0)
+
+
 def op2_mix_sources(spark: SparkSession, sf: str) -> DataFrame:
     """Every document with the words that the mix takes of it."""
     mixed = mixing.mix_sources(read(spark, sf, "documents").select("doc_id", "source", "text"))
@@ -24,6 +29,39 @@ def op2_mix_sources(spark: SparkSession, sf: str) -> DataFrame:
                        "source", "copies")
 
 
+def op3_line_templates(spark: SparkSession, sf: str) -> DataFrame:
+    """Every document without the lines whose template recurs."""
+    return templates.drop_template_lines(read(spark, sf, "documents").select("doc_id", "text"))
+
+
+OP3_SQL = f"""
+WITH raw AS (SELECT doc_id, text, string_split(text, chr(10)) AS ls FROM documents),
+parts AS (SELECT doc_id, text, unnest(ls) AS line, unnest(range(0, len(ls))) AS place FROM raw),
+masked AS (SELECT doc_id, text, place, list_transform(regexp_extract_all(line, '[^\\x20\\x09-\\x0D]+'),
+    lambda w: CASE WHEN regexp_matches(w, '[0-9]') THEN '<*>' ELSE w END) AS words FROM parts),
+lines AS (SELECT *, len(words) AS size, words[1:{templates.LEADING}] AS head FROM masked WHERE len(words) > 0),
+leaves AS (SELECT size, head FROM lines GROUP BY ALL HAVING count(DISTINCT doc_id) >= {templates.MIN_DOCS}),
+found AS (SELECT l.* FROM lines l JOIN leaves v ON l.size = v.size AND l.head = v.head),
+d AS (SELECT size, head, words, count(DISTINCT doc_id) AS docs, min(doc_id) AS first FROM found GROUP BY ALL),
+placed AS (SELECT size, head, words, docs, unnest(words) AS word, unnest(range(0, size)) AS i FROM d),
+known AS (SELECT size, head, i, word FROM placed WHERE word <> '<*>' GROUP BY ALL HAVING sum(docs) >= {templates.MIN_DOCS}),
+marked AS (SELECT a.*, k.word IS NOT NULL AS fixed FROM placed a LEFT JOIN known k USING (size, head, i, word)),
+t AS (SELECT size, head, words, list(CASE WHEN fixed THEN word ELSE '<*>' END ORDER BY i) AS template,
+    count(*) FILTER (fixed) AS constants, count(*) FILTER (word = '<*>') AS fields FROM marked GROUP BY ALL),
+good AS (SELECT d.*, t.template FROM t JOIN d USING (size, head, words) WHERE constants = size
+    OR constants >= greatest({templates.CONSTANT} * size, {templates.LEAST_CONSTANT})
+    OR (constants + fields = size AND constants >= {templates.MASKED} * size)),
+rec AS (SELECT size, head, template, min(first) AS keeper FROM good GROUP BY ALL HAVING sum(docs) >= {templates.MIN_DOCS}),
+gone AS (SELECT DISTINCT f.doc_id, f.place FROM found f JOIN good g USING (size, head, words)
+    JOIN rec r USING (size, head, template) WHERE f.doc_id <> r.keeper),
+kept AS (SELECT p.doc_id, string_agg(p.line, chr(10) ORDER BY p.place) FILTER (g.place IS NULL) AS text,
+    count(*) AS n_lines, count(g.place) AS n_dropped
+    FROM parts p LEFT JOIN gone g ON p.doc_id = g.doc_id AND p.place = g.place GROUP BY p.doc_id)
+SELECT r.doc_id, CASE WHEN r.text IS NULL THEN NULL ELSE coalesce(k.text, '') END AS text,
+       coalesce(k.n_lines, 0) AS n_lines, coalesce(k.n_dropped, 0) AS n_dropped
+FROM raw r LEFT JOIN kept k USING (doc_id)"""
+
+
 def op4_exact_dedup(spark: SparkSession, sf: str) -> DataFrame:
     """Documents up to the middle of the ids are the history, the others arrive against it."""
     docs = read(spark, sf, "documents")
@@ -77,6 +115,17 @@ SELECT page_id, payload_bytes, payload_digest,
 FROM d"""
 
 
+def op8_shared_passages(spark: SparkSession, sf: str) -> DataFrame:
+    """Passages of 50 words and more that documents share up to small changes."""
+    return chains.shared_passages(read(spark, sf, "documents").select("doc_id", "text"))
+
+
+def op9_pseudo_likelihood(spark: SparkSession, sf: str) -> DataFrame:
+    """Every document's log-probability under a model that sees both sides of each word."""
+    docs = read(spark, sf, "documents").select("doc_id", "text")
+    return pseudo.score(docs, pseudo.train(docs))
+
+
 def op10_byte_bpe(spark: SparkSession, sf: str) -> DataFrame:
     """Ids of every text, and the text that the ids give back."""
     ranks = bpe.load_ranks(spark, public_tokenizers.path(RANKS))
@@ -88,10 +137,14 @@ def op10_byte_bpe(spark: SparkSession, sf: str) -> DataFrame:
 
 
 QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {
+    "op1_neighbours": (op1_neighbours, None),
     "op2_mix_sources": (op2_mix_sources, None),
+    "op3_line_templates": (op3_line_templates, OP3_SQL),
     "op4_exact_dedup": (op4_exact_dedup, OP4_SQL),
     "op5_jaccard_join": (op5_jaccard_join, None),
     "op6_quality": (op6_quality, None),
     "op7_warc": (op7_warc, OP7_SQL),
+    "op8_shared_passages": (op8_shared_passages, None),
+    "op9_pseudo_likelihood": (op9_pseudo_likelihood, None),
     "op10_byte_bpe": (op10_byte_bpe, None),
 }
