@@ -35,11 +35,13 @@ from weft.llm.kernels import shingle_sets, text_runs
 
 WIDTH = 5
 PERCENT = 80
-BUCKET_BITS = 20
+BUCKET_BITS = 22
+#: Hash buckets of the ids whose texts are read again; their table is broadcast.
+ID_BUCKETS = 1 << 20
 ROUNDS = 1
 LOOK_BACK = 8
 #: A bucket is frequent in a task when it holds this many times the mean, and this many shingles.
-FREQUENT_TIMES, FREQUENT_LEAST = 4, 8
+FREQUENT_TIMES, FREQUENT_LEAST = 4, 5
 _SETS = "doc_id long, n long, sid long, sketch binary, bucket int, hits long"
 _INDEX = "token long, gid long, n int, place int"
 
@@ -75,7 +77,7 @@ def document_sets(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     shift = np.uint64(64 - BUCKET_BITS)
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hits = np.zeros(1 << BUCKET_BITS, np.int64)
+        hits = np.zeros(1 << BUCKET_BITS, np.int32)
         for batch in batches:
             sizes, ids, bits = [], [], []
             for _, _, words in text_runs(batch.column("text")):
@@ -84,7 +86,8 @@ def document_sets(docs: DataFrame, width: int = WIDTH) -> DataFrame:
                 ids += map(set_id, own)
                 bits += map(sketch, own)
                 if own:
-                    hits += np.bincount((np.concatenate(own) >> shift).astype(np.int64), minlength=len(hits))
+                    at, n = np.unique(np.concatenate(own) >> shift, return_counts=True)
+                    hits[at.astype(np.int64)] += n.astype(np.int32)
             none = pa.nulls(len(sizes))
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(ids, pa.int64()),
@@ -93,7 +96,7 @@ def document_sets(docs: DataFrame, width: int = WIDTH) -> DataFrame:
         at = np.flatnonzero(hits >= max(FREQUENT_LEAST, FREQUENT_TIMES * hits.mean()))
         none = pa.nulls(len(at), pa.int64())
         yield pa.RecordBatch.from_arrays(
-            [none, none, none, pa.nulls(len(at), pa.binary()), pa.array(at.astype(np.int32)), pa.array(hits[at])],
+            [none, none, none, pa.nulls(len(at), pa.binary()), pa.array(at.astype(np.int32)), pa.array(hits[at].astype(np.int64))],
             ["doc_id", "n", "sid", "sketch", "bucket", "hits"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(task, _SETS)
@@ -101,7 +104,7 @@ def document_sets(docs: DataFrame, width: int = WIDTH) -> DataFrame:
 
 def bucket_classes(sets: DataFrame) -> np.ndarray:
     """Frequency class of each hash bucket; at most ``2**BUCKET_BITS`` rows are read."""
-    out = np.zeros(1 << BUCKET_BITS, np.uint64)
+    out = np.zeros(1 << BUCKET_BITS, np.uint8)
     for r in sets.where("bucket is not null").groupBy("bucket").agg(F.sum("hits").alias("hits")).toLocalIterator():
         out[r["bucket"]] = min(63, r["hits"].bit_length())
     return out
@@ -109,7 +112,8 @@ def bucket_classes(sets: DataFrame) -> np.ndarray:
 
 def in_order(shingles: np.ndarray, classes: np.ndarray) -> np.ndarray:
     """The shingles (sorted by value) in the order all documents share."""
-    key = classes[(shingles >> np.uint64(64 - BUCKET_BITS)).astype(np.int64)] << np.uint64(58) | shingles >> np.uint64(6)
+    high = classes[(shingles >> np.uint64(64 - BUCKET_BITS)).astype(np.int64)].astype(np.uint64)
+    key = high << np.uint64(58) | shingles >> np.uint64(6)
     return shingles[np.argsort(key, kind="stable")]
 
 
@@ -118,10 +122,10 @@ def prefix_index(docs: DataFrame, classes: np.ndarray, width: int, percent: int)
 
     A task makes the rows of a group and of a member once.
     """
-    sent = docs.sparkSession.sparkContext.broadcast(classes.astype(np.uint8))
+    sent = docs.sparkSession.sparkContext.broadcast(classes)
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, groups, members = sent.value.astype(np.uint64), set(), set()
+        held, groups, members = sent.value, set(), set()
         for batch in batches:
             for _, _, words in text_runs(batch.column("text")):
                 tokens, gids, sizes, places = [], [], [], []
@@ -190,7 +194,7 @@ def neighbours(lists: DataFrame) -> DataFrame:
 def fetch_sets(ids: DataFrame, docs: DataFrame, width: int) -> DataFrame:
     """The sets (sid, shingles) of the documents with these doc_ids.
 
-    A table of at most ``2**BUCKET_BITS`` hash buckets of the ids goes out first, so that few other texts are shuffled.
+    A table of at most ``ID_BUCKETS`` hash buckets of the ids goes out first, so that few other texts are shuffled.
     """
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -200,7 +204,7 @@ def fetch_sets(ids: DataFrame, docs: DataFrame, width: int) -> DataFrame:
                 yield pa.record_batch({"sid": pa.array(map(set_id, own), pa.int64()),
                                        "shingles": pa.array([x.tobytes() for x in own], pa.binary())})
 
-    bucket = F.pmod(F.xxhash64("doc_id"), F.lit(1 << BUCKET_BITS))
+    bucket = F.pmod(F.xxhash64("doc_id"), F.lit(ID_BUCKETS))
     buckets = ids.select(bucket.alias("_b")).distinct()
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     texts = texts.join(F.broadcast(buckets), bucket == F.col("_b"), "left_semi").join(ids, "doc_id", "left_semi")
