@@ -43,6 +43,8 @@ CACHE = 250_000
 LONG_PIECE = 64
 #: Bytes of text that are cut into pieces at a time.
 CHUNK = 1 << 20
+#: Rows that are decoded at a time.
+DECODE_ROWS = 128
 
 
 @cache
@@ -372,19 +374,20 @@ def decode(df: DataFrame, ranks: Broadcast, ids: str = "ids", offsets: str = "of
     schema = _with_columns(df, [ids, offsets, out], [T.StructField(out, T.BinaryType())])
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for whole in batches:
             vocab = vocabulary(ranks.value)
-            column, begins = batch.column(ids), batch.column(offsets)
-            values = column.flatten().to_numpy()
-            length = vocab.lengths[values].astype(np.int64)
-            ends = np.concatenate([[0], np.cumsum(length)])
-            bounds = np.concatenate([[0], np.cumsum(column.value_lengths().fill_null(0).to_numpy())])
-            first = np.repeat(ends[bounds[:-1]], np.diff(bounds))
-            if not np.array_equal(ends[:-1] - first, begins.flatten().to_numpy()):
-                raise ValueError("offsets do not fit the ids")
-            out_rows = [vocab.decode(values[a:b].tolist()) for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(),
-                                                                           strict=True)]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(out_rows, pa.binary())],
-                                             [*kept, out])
+            for at in range(0, whole.num_rows, DECODE_ROWS):
+                batch = whole.slice(at, DECODE_ROWS)
+                column, begins = batch.column(ids), batch.column(offsets)
+                values = column.flatten().to_numpy()
+                ends = np.concatenate([[0], np.cumsum(vocab.lengths[values], dtype=np.int64)])
+                bounds = np.concatenate([[0], np.cumsum(column.value_lengths().fill_null(0).to_numpy())])
+                if not np.array_equal(ends[:-1] - np.repeat(ends[bounds[:-1]], np.diff(bounds)),
+                                      begins.flatten().to_numpy()):
+                    raise ValueError("offsets do not fit the ids")
+                rows = [vocab.decode(values[a:b].tolist()) for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(),
+                                                                          strict=True)]
+                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(rows, pa.binary())],
+                                                 [*kept, out])
 
     return df.select(*kept, ids, offsets).mapInArrow(task, schema)
