@@ -7,7 +7,8 @@ meets the next. Documents are dealt into blocks of about ``BLOCK``; each block f
 leftovers to one of the next level, and so on to one per source. About ``CLOSING`` documents of each source, chosen by
 hash, wait outside the tree: the leftover meets all of them as one partner, then the largest meets the rest, and so on
 down to the smallest, which alone is rounded by itself. So a source's words miss the target by about its smallest
-document, and each document has exactly its chance.
+document, or by less than one document where fewer words than it holds are to be left out or added in all; and each document
+has exactly its chance.
 
 The randomness is a hash of the document and the level: reruns agree. Rows that repeat doc_id, source and size are one
 document with their words added up, and are all taken alike. Documents without words are not taken.

@@ -29,8 +29,9 @@ WINDOW = 3
 WIDTH = 8
 HIDDEN = 32
 ROUNDS = 2
-BLOCK = 4_096
-RATE = 4e-3
+BLOCK = 512
+SCORE_BLOCK = 8_192
+RATE = 1e-2
 VOCABULARY = BASE * BASE
 #: The number of places outside the text, as an input only.
 OUTSIDE = VOCABULARY
@@ -100,12 +101,12 @@ def forward(net: Network, context: np.ndarray, high: np.ndarray) -> tuple[np.nda
 def log_probabilities(net: Network, ids: np.ndarray, context: np.ndarray) -> np.ndarray:
     """Natural logarithm of the probability of each number given its neighbours."""
     out = np.zeros(len(ids))
-    for lo in range(0, len(ids), 2 * BLOCK):
-        own = ids[lo:lo + 2 * BLOCK]
+    for lo in range(0, len(ids), SCORE_BLOCK):
+        own = ids[lo:lo + SCORE_BLOCK]
         high, low = own // BASE, own % BASE
-        *_, p, q = forward(net, context[lo:lo + 2 * BLOCK], high)
+        *_, p, q = forward(net, context[lo:lo + SCORE_BLOCK], high)
         row = np.arange(len(own))
-        out[lo:lo + 2 * BLOCK] = np.log(p[row, high] + 1e-30) + np.log(q[row, low] + 1e-30)
+        out[lo:lo + SCORE_BLOCK] = np.log(p[row, high] + 1e-30) + np.log(q[row, low] + 1e-30)
     return out
 
 
