@@ -4,6 +4,7 @@ import math
 import random
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -234,3 +235,26 @@ def test_search_space_and_draws():
     assert draws == M.draw_params(50, 3) and draws != M.draw_params(50, 4)
     assert all(0.01 <= d.stepSize <= 0.2 and d.maxDepth in (5, 6, 7) and 1 <= d.minInstancesPerNode <= 10
                for d in draws)
+
+
+def test_correlations_do_not_depend_on_the_number_of_columns(spark):
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(400, 30))
+    x[:, 1] = x[:, 0] + 0.1 * x[:, 1]
+    x[rng.random(x.shape) < 0.3] = np.nan
+    names = [f"c{i}" for i in range(30)]
+    rows = [tuple(None if np.isnan(v) else float(v) for v in r) for r in x]
+    df = spark.createDataFrame(rows, ", ".join(f"{c} double" for c in names))
+    want = pd.DataFrame(x, columns=names).corr()
+    got = P.correlations(df, names).collect()
+    assert len(got) == 435
+    for r in got:
+        assert abs(r["corr_value"] - want.loc[r["corr_feature"], r["drop_feature"]]) < 1e-9
+
+
+@pytest.mark.parametrize("share", [0.0, 1e-6, 0.2, 1.0])
+def test_split_shares(spark, share):
+    df = spark.range(20_000)
+    train, val = S.train_val_split(df, "id", share)
+    assert train.count() + val.count() == 20_000
+    assert abs(val.count() - 20_000 * share) <= (0 if share in (0.0, 1.0) else 300)

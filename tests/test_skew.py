@@ -107,11 +107,15 @@ def test_profiles_and_size_check(spark, rows):
     assert is_small(df, 900) and not is_small(df, 899)
 
 
-def test_hot_keys_of_two_types_are_refused(rows):
-    df, _ = rows
-    table = df.select(F.col("k").cast("int").alias("kk"), "x").dropDuplicates(["kk"])
-    with pytest.raises(ValueError, match="one type"):
-        attach(df, table, ["k"], KeyProfile(10**6, (1,)), table_keys=["kk"])
+def test_hot_keys_of_two_types_meet(spark, rows):
+    df, pdf = rows
+    table = df.groupBy(F.col("k").cast("int").alias("kk")).agg(F.count(F.lit(1)).alias("n"))
+    zero = spark.range(1).select(F.xxhash64(F.col("id")).alias("h")).first()["h"]
+    got = attach(df, table, ["k"], KeyProfile(10**6, (zero,)), table_keys=["kk"])
+    assert got.count() == len(pdf)
+    counts = pdf.k.value_counts(dropna=False)
+    assert {(r["k"], r["n"]) for r in got.select("k", "n").distinct().collect() if r["k"] is not None} == {
+        (int(k), int(n)) for k, n in counts.items() if k == k}
 
 
 def test_one_aggregation_and_one_join_per_key_set(rows):

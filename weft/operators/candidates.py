@@ -11,8 +11,6 @@ from pyspark.sql import DataFrame
 from weft.operators.grouped import NUM_STATS, GroupFeature, count_of, mode_of, nunique_of, stats_of
 from weft.sources.tables import CAT, NUM, Relation, columns_of, table_of
 
-# Fixed value: how many pairs a random draw of pairs keeps.
-RANDOM_PAIRS = 20
 
 
 def key_column_pairs(df: DataFrame, relations: Sequence[Relation], kind: str = CAT,
@@ -43,14 +41,14 @@ def all_pairs(df: DataFrame) -> list[tuple[str, str]]:
     return list(combinations(columns_of(df, CAT, key=False), 2))
 
 
-def main_pairs(df: DataFrame, main: str, max_pairs: int = RANDOM_PAIRS, seed: int = 1) -> list[tuple[str, str]]:
-    """A seeded draw of pairs of the main table's own non-key categories."""
+def main_pairs(df: DataFrame, main: str, max_pairs: int | None = None, seed: int = 1) -> list[tuple[str, str]]:
+    """All pairs of the main table's own non-key categories, or a seeded draw of ``max_pairs``."""
     return draw(list(combinations(columns_of(df, CAT, table=main, key=False), 2)), max_pairs, seed)
 
 
 def cross_table_pairs(df: DataFrame, relations: Sequence[Relation], main: str,
-                      max_pairs: int = RANDOM_PAIRS, seed: int = 1) -> list[tuple[str, str]]:
-    """A seeded draw of pairs of categories from two related tables; to-many "last" columns are left out."""
+                      max_pairs: int | None = None, seed: int = 1) -> list[tuple[str, str]]:
+    """Pairs of categories from two related tables, all or a seeded draw; to-many "last" columns are left out."""
     pairs = []
     for a, b in sorted({(r.left, r.right) for r in relations}):
         left = columns_of(df, CAT, table=a, key=False)
@@ -62,9 +60,9 @@ def cross_table_pairs(df: DataFrame, relations: Sequence[Relation], main: str,
     return draw(pairs, max_pairs, seed)
 
 
-def draw(pairs: Sequence[tuple[str, str]], n: int, seed: int) -> list[tuple[str, str]]:
-    """Up to ``n`` candidates, the same ones for the same seed."""
-    return list(pairs) if len(pairs) <= n else sorted(random.Random(seed).sample(list(pairs), n))
+def draw(pairs: Sequence[tuple[str, str]], n: int | None, seed: int) -> list[tuple[str, str]]:
+    """Up to ``n`` candidates, the same ones for the same seed; all without ``n``."""
+    return list(pairs) if n is None or len(pairs) <= n else sorted(random.Random(seed).sample(list(pairs), n))
 
 
 def count_encodings(columns: Sequence[str]) -> list[GroupFeature]:

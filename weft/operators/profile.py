@@ -5,15 +5,13 @@ from __future__ import annotations
 from collections.abc import Sequence
 from itertools import combinations
 
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.stat import Correlation
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weft.operators.skew import BROADCAST_KEYS
 
-# Above this many columns the correlations come from one matrix instead of one aggregate per pair.
-PAIRWISE_COLUMNS = 24
+# Pairs of columns whose correlations share one pass over the rows.
+PAIRS_PER_PASS = 300
 
 
 def _long(df: DataFrame, columns: Sequence[str], value: str, fns) -> DataFrame:
@@ -39,20 +37,22 @@ def single_unique(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 
 def correlations(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """(corr_feature, drop_feature, corr_value) for each pair of columns, the later one to be dropped."""
+    """(corr_feature, drop_feature, corr_value) for each pair of columns, the later one to be dropped.
+
+    A pair's correlation is taken over the rows that hold both values, however many columns there are.
+    """
     pairs = list(combinations(columns, 2))
-    if len(columns) <= PAIRWISE_COLUMNS:
+    out = None
+    for lo in range(0, len(pairs), PAIRS_PER_PASS):
+        own = pairs[lo:lo + PAIRS_PER_PASS]
         one = df.agg(*[F.corr(F.col(a).cast("double"), F.col(b).cast("double")).alias(f"_p{i}")
-                       for i, (a, b) in enumerate(pairs)])
+                       for i, (a, b) in enumerate(own)])
         rows = F.array(*[F.struct(F.lit(a).alias("corr_feature"), F.lit(b).alias("drop_feature"),
-                                  F.col(f"_p{i}").alias("corr_value")) for i, (a, b) in enumerate(pairs)])
-        return one.select(F.explode(rows).alias("r")).select("r.*")
-    vectors = VectorAssembler(inputCols=list(columns), outputCol="_v", handleInvalid="skip").transform(
-        df.select(*[F.col(c).cast("double").alias(c) for c in columns])).select("_v")
-    matrix = Correlation.corr(vectors, "_v").first()[0].toArray()  # columns x columns
-    at = {c: i for i, c in enumerate(columns)}
-    rows = [(a, b, float(matrix[at[a], at[b]])) for a, b in pairs]
-    return df.sparkSession.createDataFrame(rows, "corr_feature string, drop_feature string, corr_value double")
+                                  F.col(f"_p{i}").alias("corr_value")) for i, (a, b) in enumerate(own)])
+        part = one.select(F.explode(rows).alias("r")).select("r.*")
+        out = part if out is None else out.unionByName(part)
+    return out if out is not None else df.sparkSession.createDataFrame(
+        [], "corr_feature string, drop_feature string, corr_value double")
 
 
 def collinear(df: DataFrame, columns: Sequence[str], threshold: float) -> DataFrame:

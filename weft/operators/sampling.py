@@ -8,11 +8,13 @@ class is ever sorted as a whole.
 from __future__ import annotations
 
 from collections.abc import Mapping
+from fractions import Fraction
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+SHARE_DIGITS = 15  # hex digits of the hash that a share is compared with
 PREFIX = 4  # hex digits of the hash that make a bin: 65,536 bins
 
 # Fixed values of the size rules: caps, skew limits, shares and multiples.
@@ -136,9 +138,14 @@ def row_sample(df: DataFrame, row_id: str, rows: int, seed: int = 1) -> DataFram
 
 
 def in_validation(row_id: str, share: float, seed: int = 1) -> Column:
-    """Whether a row belongs to the validation part; the same row always gets the same answer."""
-    limit = f"{int(round(share * 16 ** PREFIX)):0{PREFIX}x}"
-    return F.substring(hash_order(row_id, seed), 1, PREFIX) < F.lit(limit)
+    """Whether a row belongs to the validation part; the same row always gets the same answer.
+
+    Shares count to one in 2**60; 0 takes no row and 1 takes all.
+    """
+    if share <= 0 or share >= 1:
+        return F.lit(share >= 1)
+    limit = f"{int(Fraction(share) * 16 ** SHARE_DIGITS):0{SHARE_DIGITS}x}"
+    return F.substring(hash_order(row_id, seed), 1, SHARE_DIGITS) < F.lit(limit)
 
 
 def train_val_split(df: DataFrame, row_id: str, share: float = 0.2, seed: int = 1) -> tuple[DataFrame, DataFrame]:

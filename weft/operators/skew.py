@@ -80,14 +80,15 @@ def attach(rows: DataFrame, table: DataFrame, keys: Sequence[str], profile: KeyP
     if not profile.hot:
         return rows.join(side, on, "left").drop(*side_keys)
 
-    for k, s in zip(keys, side_keys, strict=True):
-        if rows.schema[k].dataType != side.schema[s].dataType:  # equal values have to hash alike
-            raise ValueError(f"cast the key {k!r} to one type on both sides first")
+    # equal values have to hash alike: the table's keys are hashed in the rows' types, where one that does not
+    # fit equals no row's key
+    hashed = ", ".join(f"try_cast({s} AS {rows.schema[k].dataType.simpleString()})"
+                       for k, s in zip(keys, side_keys, strict=True))
     hot = f"IN ({', '.join(f'{h}L' for h in profile.hot)})"
     salted = rows.withColumn("_salt", F.expr(
         f"CASE WHEN xxhash64({_names(keys)}) {hot} "
         f"THEN cast(pmod(xxhash64({_names(spread or rows.columns)}), {SALTS}) AS int) ELSE 0 END"))
     repeated = side.withColumn("_side_salt", F.expr(
-        f"explode(CASE WHEN xxhash64({_names(side_keys)}) {hot} THEN sequence(0, {SALTS - 1}) ELSE array(0) END)"))
+        f"explode(CASE WHEN xxhash64({hashed}) {hot} THEN sequence(0, {SALTS - 1}) ELSE array(0) END)"))
     return salted.join(repeated, on & (F.col("_salt") == F.col("_side_salt")), "left").drop(
         "_salt", "_side_salt", *side_keys)

@@ -84,5 +84,5 @@ QUERIES = {
     "row_sample": (row_sample, f"SELECT o_orderkey, label FROM ({_ROWS}) b"
                                " ORDER BY md5(o_orderkey || ':5'), o_orderkey LIMIT 5000"),
     "train_val_split": (train_val_split, f"""SELECT o_orderkey, label,
- CASE WHEN substr(md5(o_orderkey || ':1'), 1, 4) < '3333' THEN 'val' ELSE 'train' END AS part FROM ({_ROWS}) b"""),
+ CASE WHEN substr(md5(o_orderkey || ':1'), 1, 15) < '333333333333333' THEN 'val' ELSE 'train' END AS part FROM ({_ROWS}) b"""),
 }

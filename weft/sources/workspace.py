@@ -2,20 +2,17 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The session's checkpoint folder; a temporary one only on a local master that has none."""
+    """The session's checkpoint folder, which every executor has to reach."""
     sc = spark.sparkContext
     folder = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if folder is None:
-        if not sc.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
-        folder = tempfile.mkdtemp(prefix="weft-")
+        raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(folder)
     return folder
