@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from weft.llm.common import attach, materialize, same
 
-WORD = r"[^\x20\x09-\x0D]+"
+BETWEEN = r"[\x20\x09-\x0D]+"
 FIELD = "<*>"
 LEADING = 3
 MIN_DOCS = 10
@@ -30,28 +30,34 @@ CONSTANT, LEAST_CONSTANT, MASKED = 0.75, 4, 0.5
 _LAST = (1 << 63) - 1
 
 
-def masked_words(line: Column) -> Column:
-    """The line's words, with a field in place of each that holds a digit."""
-    return F.transform(F.regexp_extract_all(line, F.lit(WORD), F.lit(0)),
-                       lambda w: F.when(w.rlike("[0-9]"), F.lit(FIELD)).otherwise(w))
+def line_words(line: Column) -> Column:
+    """The line's words; white space at its ends makes none."""
+    return F.array_remove(F.split(line, BETWEEN), "")
+
+
+def masked(words: Column) -> Column:
+    """A field in place of each word that holds a digit."""
+    return F.transform(words, lambda w: F.when(w.rlike("[0-9]"), F.lit(FIELD)).otherwise(w))
 
 
 def _leaf(words: Column) -> Column:
-    return F.xxhash64(F.size(words), F.slice(words, 1, LEADING))
+    """The leaf of a line's words: only the leading ones are masked for it."""
+    return F.xxhash64(F.size(words), masked(F.slice(words, 1, LEADING)))
 
 
 def template_lines(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
     """The lines to drop, from rows (doc_id, text): doc_id, text_hash, places (of the lines, from 0)."""
     key = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), "text")
     lines = key.select("doc_id", "text_hash", F.posexplode(F.split("text", "\n")).alias("place", "line"))
-    lines = lines.select("doc_id", "text_hash", "place", masked_words(F.col("line")).alias("words")).where(F.size("words") > 0)
+    lines = lines.select("doc_id", "text_hash", "place", line_words(F.col("line")).alias("words")).where(F.size("words") > 0)
 
     leaves = key.select("doc_id", F.explode(F.array_distinct(F.transform(
-        F.split("text", "\n"), lambda x: _leaf(masked_words(x))))).alias("leaf"))
+        F.split("text", "\n"), lambda x: _leaf(line_words(x))))).alias("leaf"))
     reached = leaves.groupBy("leaf").agg(F.count(F.lit(1)).alias("docs")).where(F.col("docs") >= min_docs)
     found = lines.withColumn("leaf", _leaf(F.col("words"))).join(materialize(reached.select("leaf"), "leaves"), "leaf",
                                                                  "left_semi")
-    found = materialize(found, "lines")
+    # few lines lie in such leaves: the others are never masked
+    found = materialize(found.withColumn("words", masked(F.col("words"))), "lines")
 
     # distinct masked lines with the number of documents that have them
     per_doc = found.select("leaf", "words", "doc_id").distinct()
