@@ -35,6 +35,8 @@ HIDDEN = 64
 EPOCHS = 60
 RECALL = 0.97
 BLOCK = 512
+#: Queries of one block; a candidate is sent once to each of them.
+ASKERS = 4_096
 
 
 @dataclass
@@ -245,7 +247,7 @@ def nearest(vectors: DataFrame, is_query: Column, id_col: str = "vec_id", vec_co
     asked = placed.where("query").dropDuplicates(["id"]).select("id", "vec").mapInArrow(
         route, "id long, vec array<double>, part int, block int")
     per_part = placed.where("query").count()
-    query_blocks = max(1, -(-per_part // BLOCK))
+    query_blocks = max(1, -(-per_part // ASKERS))
     salt = F.pmod(F.xxhash64(F.lit(2), "id"), F.lit(query_blocks)).cast("int")
     asked = asked.withColumn("asker", salt)
     size = F.element_at(F.array(*[F.lit(int(b)) for b in blocks]), F.col("part") + 1)
