@@ -9,14 +9,15 @@ out of the fit found ``RECALL`` of their neighbours, and goes on until those par
 is ranked by the exact inner product in double precision.
 
 Parts are cut into blocks of bounded size by a hash of the id, and a block of candidates meets a block of queries per task
-group: a part may hold any share of the rows. Vectors that are null, zero, of another length than most, or hold null or
+group: a part may hold any share of the rows. A query first meets the blocks of its most probable part; its k-th best score
+there is the bound that candidates of the other parts must reach to be handed on. Vectors that are null, zero, of another length than most, or hold null or
 non-finite components take no part. Rows that repeat a vec_id are candidates of their own, and queries with that id get one
 answer.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -224,32 +225,36 @@ def nearest(vectors: DataFrame, is_query: Column, id_col: str = "vec_id", vec_co
     repeats = own_rows.agg(F.max("own")).first()[0] or 1
     blocks = np.maximum(1, -(-count // BLOCK))
 
-    def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            p = sent.value.probabilities(_matrix(batch.column("vec")))
-            order = np.argsort(-p, 1, kind="stable")
-            share = np.take_along_axis(p, order, 1)
-            before = np.cumsum(share, 1) - share
-            enough = np.cumsum(count[order], 1) - count[order] < k + repeats
-            row, at = np.nonzero((before < sent.value.mass) | enough)
-            visited = order[row, at]
-            # each block of a visited part
-            times = blocks[visited]
-            block = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
-            take = pa.array(np.repeat(row, times))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("id").take(take), batch.column("vec").take(take),
-                 pa.array(np.repeat(visited, times).astype(np.int32)), pa.array(block.astype(np.int32))],
-                ["id", "vec", "part", "block"])
-
-    asked = placed.where("query").dropDuplicates(["id"]).select("id", "vec").mapInArrow(
-        route, "id long, vec array<double>, part int, block int")
+    def route(home: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+        """Sends queries to the blocks of their most probable part, or to those of the others that they visit."""
+
+        def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                if not batch.num_rows:
+                    continue
+                p = sent.value.probabilities(_matrix(batch.column("vec")))
+                order = np.argsort(-p, 1, kind="stable")
+                share = np.take_along_axis(p, order, 1)
+                before = np.cumsum(share, 1) - share
+                enough = np.cumsum(count[order], 1) - count[order] < k + repeats
+                row, at = np.nonzero(((before < sent.value.mass) | enough) & ((np.arange(p.shape[1]) == 0) == home))
+                visited = order[row, at]
+                # each block of a visited part
+                times = blocks[visited]
+                block = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
+                take = pa.array(np.repeat(row, times))
+                yield pa.RecordBatch.from_arrays(
+                    [*[batch.column(c).take(take) for c in ("id", "vec", "bound")],
+                     pa.array(np.repeat(visited, times).astype(np.int32)), pa.array(block.astype(np.int32))],
+                    ["id", "vec", "bound", "part", "block"])
+
+        return task
+
+    # of the rows that repeat a vec_id the least vector asks, in both steps and on every run
+    asking = materialize(placed.where("query").groupBy("id").agg(F.min("vec").alias("vec")), "asking")
     per_part = placed.where("query").count()
     query_blocks = max(1, -(-per_part // ASKERS))
     salt = F.pmod(F.xxhash64(F.lit(2), "id"), F.lit(query_blocks)).cast("int")
-    asked = asked.withColumn("asker", salt)
     size = F.element_at(F.array(*[F.lit(int(b)) for b in blocks]), F.col("part") + 1)
     held = placed.withColumn("block", F.pmod(F.xxhash64(F.lit(3), "id"), size).cast("int")).withColumn(
         "asker", F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1)))).select("id", "vec", "part", "block", "asker")
@@ -266,6 +271,7 @@ def nearest(vectors: DataFrame, is_query: Column, id_col: str = "vec_id", vec_co
                 s[names[:, None] == ids[None, :]] = -np.inf
                 top = min(k, s.shape[1])
                 least = np.partition(s, s.shape[1] - top, 1)[:, s.shape[1] - top]
+                least = np.fmax(least, queries["bound"].to_numpy(np.float64)[lo:lo + 1024])
                 row, at = np.nonzero((s >= least[:, None] - 1e-9 * np.abs(least[:, None])) & np.isfinite(s))
                 out["query_id"].append(names[row])
                 out["id"].append(ids[at])
@@ -275,7 +281,16 @@ def nearest(vectors: DataFrame, is_query: Column, id_col: str = "vec_id", vec_co
                              for c, v in out.items()})
 
     keys = ["part", "block", "asker"]
-    found = asked.groupBy(*keys).cogroup(held.groupBy(*keys)).applyInPandas(meet, "query_id long, id long, score double")
+
+    def found(home: bool, queries: DataFrame) -> DataFrame:
+        asked = queries.mapInArrow(route(home), "id long, vec array<double>, bound double, part int, block int")
+        return asked.withColumn("asker", salt).groupBy(*keys).cogroup(held.groupBy(*keys)).applyInPandas(
+            meet, "query_id long, id long, score double")
+
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
-    ranked = found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+    near = found(True, asking.withColumn("bound", F.lit(None).cast("double"))).withColumn("rank", F.row_number().over(best))
+    near = materialize(near.where(F.col("rank") <= k), "near")
+    bounds = near.where(F.col("rank") == k).select(F.col("query_id").alias("id"), F.col("score").alias("bound"))
+    far = found(False, asking.join(bounds, "id", "left").select("id", "vec", "bound"))
+    ranked = near.drop("rank").unionByName(far).withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
     return ranked.select("query_id", F.col("rank").cast("int").alias("rank"), F.col("id").alias(id_col), "score")
