@@ -35,13 +35,13 @@ from weft.llm.kernels import shingle_sets, text_runs
 
 WIDTH = 5
 PERCENT = 80
-BUCKET_BITS = 22
+BUCKET_BITS = 24
 #: Hash buckets of the ids whose texts are read again; their table is broadcast.
 ID_BUCKETS = 1 << 20
 ROUNDS = 1
 LOOK_BACK = 8
 #: A bucket is frequent in a task when it holds this many times the mean, and this many shingles.
-FREQUENT_TIMES, FREQUENT_LEAST = 4, 5
+FREQUENT_TIMES, FREQUENT_LEAST = 4, 3
 _SETS = "doc_id long, n long, sid long, sketch binary, bucket int, hits long"
 _INDEX = "token long, gid long, n int, place int"
 
