@@ -409,6 +409,29 @@ def test_chain_is_collinear():
     assert sorted(everything) == list(range(6))
 
 
+def test_unlike_middles_do_not_cost_the_passages_around_them(spark, docs):
+    rng = random.Random(11)
+    fresh = lambda n: prose(rng, n, 10 ** 7)
+    one, two, three = fresh(60), fresh(60), fresh(400)
+    rows = [(1, f"{fresh(20)} {one} {fresh(200)} {two} {fresh(20)}"), (2, f"{fresh(40)} {one} {fresh(230)} {two} {fresh(5)}"),
+            (11, f"{three} {fresh(500)} {one}"), (12, f"{three} {fresh(480)} {one}")]
+    got = {(r["doc_id"], r["match_doc_id"], r["start"], r["end"], r["match_start"], r["match_end"], r["agree"])
+           for r in chains.shared_passages(docs(rows)).collect()}
+    assert {(2, 1, 40, 100, 20, 80, 60), (2, 1, 330, 390, 280, 340, 60)} <= got
+    assert {(12, 11, 0, 400, 0, 400, 400), (12, 11, 880, 940, 900, 960, 60)} <= got
+
+
+def test_cut_chain_keeps_the_longest_run_that_passes():
+    rng = random.Random(12)
+    new = iter(range(10 ** 6))
+    same = [next(new) for _ in range(200)]
+    # two runs of 40 words pass together over 15 other words, and neither alone; a third lies too far off
+    one = same[:40] + [next(new) for _ in range(15)] + same[40:80] + [next(new) for _ in range(90)] + same[80:120]
+    two = same[:40] + [next(new) for _ in range(15)] + same[40:80] + [next(new) for _ in range(90)] + same[80:120]
+    xs = sorted(rng.sample(range(0, 30), 4)) + [56, 70, 85] + [186, 200]
+    assert chains.align(one, two, xs, xs) == [(0, 95, 0, 95, 80)]
+
+
 # 9 language model
 
 def test_pseudo_likelihood_prefers_what_it_has_seen(spark, docs):
