@@ -448,6 +448,27 @@ def test_pseudo_likelihood_prefers_what_it_has_seen(spark, docs):
     assert pseudo.score(docs([]), pseudo.train(docs([]))).count() == 0
 
 
+@pytest.mark.parametrize("near", [0, 900, 1 << 16])
+def test_rare_words_have_probabilities_of_their_own(spark, docs, monkeypatch, near):
+    monkeypatch.setattr(pseudo, "NEAR", near)
+    rng = random.Random(13)
+    often = {f"w{i}": 1 + 3000 // (i + 1) for i in range(2500)}
+    every = [w for w, n in often.items() for _ in range(n)]
+    rng.shuffle(every)
+    model = pseudo.train(docs([(i, " ".join(every[i::100])) for i in range(100)]))
+    rows = [*enumerate(often), (5000, "never"), (5001, "never"), (5002, "seen w2000 never W2000 w1"), (5003, None)]
+    got = {r["doc_id"]: r for r in pseudo.score(docs(rows), model).collect()}
+    assert len(got) == len(rows) and got[5003]["log_prob"] == 0
+    # of one place without neighbours: all words that were seen, and per shared number what is kept for the others
+    seen = sum(np.exp(got[i]["log_prob"]) for i in range(2500))
+    numbers = np.arange(pseudo.VOCABULARY, dtype=np.int32)
+    each = np.exp(pseudo.log_probabilities(model.net, numbers, np.full((len(numbers), 2 * pseudo.WINDOW), pseudo.OUTSIDE)))
+    assert seen + (each / (model.shared + 1))[pseudo.TOP:].sum() == pytest.approx(1.0, abs=1e-3)
+    word = np.array([kernels.Words(np.frombuffer(b"never", np.uint8), np.array([0, 5])).hashes()[0]])
+    number = int(pseudo.numbers(word, model.known, model.place)[0])
+    assert got[5000]["log_prob"] == got[5001]["log_prob"] == pytest.approx(np.log(each[number] / (model.shared[number] + 1)), abs=1e-3)
+
+
 def test_probabilities_sum_to_one_and_ignore_the_place_itself():
     net = pseudo.new_network()
     ids = np.array([3, 70, 900, 5, 6], np.int32)

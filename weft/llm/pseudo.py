@@ -1,7 +1,9 @@
 """Document scores by a bidirectional language model: the log-probability of each word given its neighbours on both sides.
 
 The vocabulary is counted over all documents: the ``TOP`` commonest words (A-Z lowered) have a number of their own, the others
-share numbers by hash. A network looks at the ``WINDOW`` numbers before and after a place, never at the place itself, and
+share numbers by hash. The probability of one of those is that of its number times its share among all occurrences of the
+number's words, counted over the whole corpus; one occurrence more is kept for words that were never seen. The shares of up to
+``NEAR`` common words are sent to the tasks, those of all others are joined. A network looks at the ``WINDOW`` numbers before and after a place, never at the place itself, and
 predicts the number there in two steps of ``BASE`` outcomes each: the high digit, then the low digit given the high one.
 Places beyond the text's ends have a number of their own. A document's score is the sum of the log-probabilities of its
 words, each predicted from both sides.
@@ -14,16 +16,20 @@ input, and the driver holds one network. Null and empty texts have no words and
 from __future__ import annotations
 
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weft.llm.common import materialize
+from weft.llm.common import attach, materialize
 from weft.llm.kernels import mix, text_runs
 
 TOP = 640
+#: Words whose counts go to every task, and steps per doubling in which their least count is found.
+NEAR = 65_536
+STEPS = 8
 BASE = 32
 WINDOW = 3
 WIDTH = 8
@@ -38,6 +44,19 @@ OUTSIDE = VOCABULARY
 Network = list[np.ndarray]
 
 
+class Model(NamedTuple):
+    """``known`` words (sorted) with their ``place`` numbers, ``near`` words (sorted) with their counts, all words' ``counts``,
+    and the occurrences of the words that share a number."""
+
+    net: Network
+    known: np.ndarray
+    place: np.ndarray
+    near: np.ndarray
+    near_n: np.ndarray
+    shared: np.ndarray
+    counts: DataFrame
+
+
 def word_counts(docs: DataFrame) -> DataFrame:
     """Rows (word, n) over all documents, a word being its 64-bit value."""
 
@@ -60,6 +79,36 @@ def numbers(words: np.ndarray, known: np.ndarray, order: np.ndarray) -> np.ndarr
     return out
 
 
+def near_words(counts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Up to ``NEAR`` of the commonest words, sorted by value, with their counts: all above a count."""
+    step = F.floor(F.log2("n") * STEPS)
+    sizes = sorted(counts.groupBy(step.alias("step")).agg(F.count(F.lit(1)).alias("words")).collect(), reverse=True)
+    total = np.cumsum([r["words"] for r in sizes])
+    taken = [r["step"] for r, t in zip(sizes, total, strict=True) if t <= NEAR]
+    rows = counts.where(step >= min(taken)).collect() if taken else []
+    values = np.array([r["word"] for r in rows], np.int64).view(np.uint64)
+    order = np.argsort(values)
+    return values[order], np.array([r["n"] for r in rows], np.int64)[order]
+
+
+def shared_counts(counts: DataFrame, known: np.ndarray) -> np.ndarray:
+    """Occurrences of all words of each number that words share; 0 for the numbers of one word."""
+    place = np.zeros(len(known), np.int32)
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(VOCABULARY, np.int64)
+        for batch in batches:
+            np.add.at(total, numbers(batch.column("word").to_numpy().view(np.uint64), known, place), batch.column("n").to_numpy())
+        total[:len(known)] = 0
+        at = np.flatnonzero(total)
+        yield pa.record_batch({"number": pa.array(at.astype(np.int32)), "n": pa.array(total[at])})
+
+    out = np.zeros(VOCABULARY, np.int64)
+    for r in counts.mapInArrow(task, "number int, n long").groupBy("number").agg(F.sum("n").alias("n")).collect():
+        out[r["number"]] = r["n"]
+    return out
+
+
 def new_network(seed: int = 1) -> Network:
     """Embeddings by place in the window, hidden layer, and the two output layers with the embedding of the high digit."""
     rng = np.random.default_rng(seed)
@@ -160,9 +209,10 @@ def unpack(data: bytes) -> Network:
     return out
 
 
-def train(docs: DataFrame, rounds: int = ROUNDS) -> tuple[Network, np.ndarray, np.ndarray]:
-    """The network, and the known words with their numbers."""
-    top = materialize(word_counts(docs), "words").orderBy(F.desc("n"), "word").limit(TOP).collect()
+def train(docs: DataFrame, rounds: int = ROUNDS) -> Model:
+    """The network, the known words with their numbers, and the counts of all words."""
+    counts = materialize(word_counts(docs), "words")
+    top = counts.orderBy(F.desc("n"), "word").limit(TOP).collect()
     values = np.array([r["word"] for r in top], np.int64).view(np.uint64)
     order = np.argsort(values)
     known, place = values[order], order.astype(np.int32)
@@ -207,27 +257,79 @@ def train(docs: DataFrame, rounds: int = ROUNDS) -> tuple[Network, np.ndarray, n
             summed.sort(key=lambda r: r["slice"])
             flat = np.concatenate([np.frombuffer(r["weights"]) / r["seen"] for r in summed]).astype(np.float32)
             net = unpack(flat.tobytes())
-    return net, known, place
+    return Model(net, known, place, *near_words(counts), shared_counts(counts, known), counts)
 
 
-def score(docs: DataFrame, model: tuple[Network, np.ndarray, np.ndarray]) -> DataFrame:
+def find(words: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which words a sorted table holds, and where."""
+    if not len(table):
+        return np.zeros(len(words), bool), np.zeros(len(words), np.int64)
+    at = np.minimum(np.searchsorted(table, words), len(table) - 1)
+    return table[at] == words, at
+
+
+def far_shares(docs: DataFrame, model: Model) -> DataFrame:
+    """Rows (text_hash, far, copies): the summed log shares of the words that are neither known nor near, and the rows with the
+    text. Texts without such words have no row."""
+    sent = docs.sparkSession.sparkContext.broadcast((model.known, model.place, model.near, model.shared))
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, place, near, shared = sent.value
+        for batch in batches:
+            for lo, hi, words in text_runs(batch.column("text")):
+                h = words.hashes()
+                ids = numbers(h, known, place)
+                at = np.flatnonzero(ids >= len(known))
+                at = at[~find(h[at], near)[0]]
+                row = np.searchsorted(words.first, at, "right") - 1
+                by = np.lexsort((h[at], row))
+                at, row = at[by], row[by]
+                new = np.ones(len(at), bool)
+                new[1:] = (row[1:] != row[:-1]) | (h[at[1:]] != h[at[:-1]])
+                begin = np.flatnonzero(new)
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column("text_hash").slice(lo, hi - lo).take(pa.array(row[begin])),
+                     pa.array(h[at[begin]].view(np.int64)), pa.array(np.diff([*begin, len(at)]).astype(np.int64)),
+                     pa.array(shared[ids[at[begin]]] + 1)], ["text_hash", "word", "times", "of"])
+
+    found = docs.select("text", F.xxhash64("text").alias("text_hash")).mapInArrow(
+        task, "text_hash long, word long, times long, of long")
+    # rows with the same text count once
+    found = found.groupBy("text_hash", "word", "times", "of").agg(F.count(F.lit(1)).alias("copies"))
+    share = F.log(F.coalesce("n", F.lit(1)) / F.col("of"))
+    return found.join(model.counts, "word", "left").groupBy("text_hash").agg(
+        F.sum(F.col("times") * share).alias("far"), F.max("copies").alias("copies"))
+
+
+def score(docs: DataFrame, model: Model) -> DataFrame:
     """``docs`` without ``text`` and with n_words, log_prob (the sum) and mean_log_prob (0 without words)."""
-    sent = docs.sparkSession.sparkContext.broadcast((pack(model[0]), model[1], model[2]))
+    near_share = np.log(model.near_n / (model.shared[numbers(model.near, model.known, model.place)] + 1.0))
+    sent = docs.sparkSession.sparkContext.broadcast((pack(model.net), model.known, model.place, model.near, near_share))
     new = ("n_words", "log_prob", "mean_log_prob")
     kept = [c for c in docs.columns if c not in ("text", *new)]
-    schema = docs.select(*kept).schema.add("n_words", "long").add("log_prob", "double").add("mean_log_prob", "double")
+    rows = docs.select(*kept, F.xxhash64("text").alias("_text"))
+    schema = rows.schema.add("n_words", "long").add("log_prob", "double")
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        data, known, place = sent.value
+        data, known, place, near, share = sent.value
         net = unpack(data)
         for batch in batches:
             for lo, hi, words in text_runs(batch.column("text")):
-                ids = numbers(words.hashes(), known, place)
-                total = np.concatenate([[0.0], np.cumsum(log_probabilities(net, ids, contexts(ids, words.first)))])
+                h = words.hashes()
+                ids = numbers(h, known, place)
+                value = log_probabilities(net, ids, contexts(ids, words.first))
+                tail = np.flatnonzero(ids >= len(known))
+                hit, at = find(h[tail], near)
+                value[tail[hit]] += share[at[hit]]
+                total = np.concatenate([[0.0], np.cumsum(value)])
                 n = np.diff(words.first)
                 value = np.where(n > 0, total[words.first[1:]] - total[words.first[:-1]], 0.0)
                 yield pa.RecordBatch.from_arrays(
-                    [*(batch.column(c).slice(lo, hi - lo) for c in kept), pa.array(n, pa.int64()), pa.array(value),
-                     pa.array(value / np.maximum(n, 1))], [*kept, *new])
-
-    return docs.select(*kept, "text").mapInArrow(task, schema)
+                    [*(batch.column(c).slice(lo, hi - lo) for c in (*kept, "_text")), pa.array(n, pa.int64()), pa.array(value)],
+                    [*kept, "_text", "n_words", "log_prob"])
+
+    scored = docs.select(*kept, F.xxhash64("text").alias("_text"), "text").mapInArrow(task, schema)
+    far = materialize(far_shares(docs, model).withColumnRenamed("text_hash", "_text"), "far")
+    total = F.col("log_prob") + F.coalesce("far", F.lit(0.0))
+    return attach(scored, far, ["_text"], "copies").select(
+        *kept, "n_words", total.alias("log_prob"), (total / F.greatest("n_words", F.lit(1))).alias("mean_log_prob"))
