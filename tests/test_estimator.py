@@ -53,6 +53,16 @@ def test_selected_features_alone_equal_all_features(spark, tables):
     assert full.df.count() == 600
 
 
+def test_key_categories_take_part_in_pair_screening(tables, monkeypatch):
+    from weft.operators.pairs import PairFeatureModel
+
+    seen, fit = [], PairFeatureModel.fit
+    monkeypatch.setattr(PairFeatureModel, "fit", lambda df, columns, *rest, **more: seen.extend(columns) or fit(
+        df, columns, *rest, **more))
+    engineer(materialize(merge_graph(tables), "merged"), tables, ["id", "label"], label="label")
+    assert {"u", "c"} <= set(seen)
+
+
 def test_misuse_is_refused(tables):
     with pytest.raises(ValueError):
         RelationalModel().predict(tables.tables["main"])

@@ -230,6 +230,13 @@ def test_training_finds_the_signal_and_repeats(planted):
     assert cut.agg(F.max("cumulative")).first()[0] == pytest.approx(1.0)
 
 
+def test_selection_fits_on_all_rows(planted, monkeypatch):
+    seen, fit = [], SEL.train
+    monkeypatch.setattr(SEL, "train", lambda vectors, *rest: seen.append(vectors.count()) or fit(vectors, *rest))
+    SEL.importance_select(planted, ["a_code", "b_code"], "id", "label", rounds=2, trials=0)
+    assert seen and set(seen) == {planted.count()}
+
+
 def test_search_space_and_draws():
     draws = M.draw_params(50, 3)
     assert draws == M.draw_params(50, 3) and draws != M.draw_params(50, 4)

@@ -9,19 +9,18 @@ from pyspark.sql import functions as F
 
 from weft.operators.model import ROUNDS, TRIALS, TreeParams, assemble, importance_table, train, tune
 from weft.operators.profile import collinear, missing_fractions, single_unique
-from weft.operators.sampling import train_val_split, tuning_sample
+from weft.operators.sampling import tuning_sample
 from weft.sources.workspace import materialize
 
-# Rounds of selection, the share left out of training, and the divisor of the tuning sample.
+# Rounds of selection, and the divisor of the tuning sample.
 SELECTION_ROUNDS = 2
-LEFT_OUT = 0.1
 TUNING_PART = 6
 
 
 def importance_select(df: DataFrame, columns: Sequence[str], row_id: str, label: str, *,
                       max_features: int | None = None, rounds: int = ROUNDS, trials: int = TRIALS,
                       seed: int = 1) -> tuple[list[str], DataFrame]:
-    """Keep columns of more than mean importance, then the same again among the rest.
+    """Keep columns of more than mean importance in a fit on all rows, then the same again among the rest.
 
     Returns the kept columns, best round first, and the table (round, feature, importance, kept).
     """
@@ -30,12 +29,11 @@ def importance_select(df: DataFrame, columns: Sequence[str], row_id: str, label:
     if trials > 0:
         sample = tuning_sample(base, row_id, label, max(base.count() // TUNING_PART, 1), seed)
         params, _ = tune(assemble(sample, columns, [row_id, label]), label, trials, rounds, seed)
-    fit_rows, _ = train_val_split(base, row_id, LEFT_OUT, seed)
     left, kept, record = list(columns), [], []
     for i in range(SELECTION_ROUNDS):
         if not left:
             break
-        model = train(assemble(fit_rows, left, [row_id, label]), label, params, rounds, seed)
+        model = train(assemble(base, left, [row_id, label]), label, params, rounds, seed)
         weight = dict(zip(left, map(float, model.featureImportances.toArray()), strict=True))
         mean = sum(weight.values()) / len(weight)
         best = sorted((c for c in left if weight[c] > mean), key=lambda c: (-weight[c], c))

@@ -13,7 +13,7 @@ from weft.operators.encode import encode, with_list_prefixes
 from weft.operators.grouped import GroupFeature, add_group_features
 from weft.operators.ordered import OrderedRows
 from weft.operators.pairs import PairFeatureModel
-from weft.sources.tables import CAT, MULTI_CAT, NUM, TIME, TableSet, columns_of, is_key, table_of
+from weft.sources.tables import CAT, MULTI_CAT, NUM, TIME, TableSet, columns_of, table_of
 from weft.sources.workspace import materialize
 
 # Fixed value: what a missing group statistic becomes.
@@ -105,9 +105,8 @@ def engineer(base: DataFrame, tables: TableSet, keep: Collection[str], *, label:
     features += [g.name for g in groups]
 
     # Pair features by score.
-    plain = [c for c in cats if not is_key(base, c)] or cats
     if pairs is None:
-        pairs = PairFeatureModel.fit(df, plain, label, codes=[codes[c] for c in plain])
+        pairs = PairFeatureModel.fit(df, cats, label, codes=[codes[c] for c in cats])
     chosen = _wanted([f.name for f in pairs.features], selected)
     wide = pairs.transform(wide, [row_id], only=chosen, scope=scope)
     features += chosen
