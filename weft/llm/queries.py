@@ -9,7 +9,20 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weft.llm import bpe, chains, exact, jaccard, mixing, neighbours, pseudo, quality, templates, warc
+from weft.llm import (
+    bpe,
+    chains,
+    exact,
+    jaccard,
+    langid,
+    mixing,
+    neighbours,
+    pseudo,
+    quality,
+    templates,
+    warc,
+    whitening,
+)
 from weft.llm.common import materialize, read
 from weft.sources.workspace import shared_folder
 
@@ -136,6 +149,20 @@ def op10_byte_bpe(spark: SparkSession, sf: str) -> DataFrame:
     return back.select("doc_id", "n_tokens", "ids_sha256", F.sha2("bytes", 256).alias("decoded_sha256"))
 
 
+def op12_whiten(spark: SparkSession, sf: str) -> DataFrame:
+    """The first four whitened components of every embedding."""
+    out = whitening.whiten(read(spark, sf, "embeddings").select("vec_id", "embedding"))
+    return out.select("vec_id", "component", "n", "deviation", "whitened", "explained", "identity_error")
+
+
+def op13_language(spark: SparkSession, sf: str) -> DataFrame:
+    """The language of every document, learnt from the documents outside the held-out fold."""
+    docs = read(spark, sf, "documents").select("doc_id", "text", "lang")
+    model = langid.train(docs.where(~langid.held_out(F.col("doc_id"))))
+    out = langid.predict(docs.select("doc_id", langid.held_out(F.col("doc_id")).alias("held_out"), "text"), model)
+    return out.select("doc_id", "held_out", "lang_pred", "score")
+
+
 QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {
     "op1_neighbours": (op1_neighbours, None),
     "op2_mix_sources": (op2_mix_sources, None),
@@ -147,4 +174,6 @@ QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]]
     "op8_shared_passages": (op8_shared_passages, None),
     "op9_pseudo_likelihood": (op9_pseudo_likelihood, None),
     "op10_byte_bpe": (op10_byte_bpe, None),
+    "op12_whiten": (op12_whiten, None),
+    "op13_language": (op13_language, None),
 }
