@@ -17,6 +17,7 @@ from weft.llm import (
     langid,
     mixing,
     neighbours,
+    prefix_trie,
     pseudo,
     quality,
     templates,
@@ -149,6 +150,44 @@ def op10_byte_bpe(spark: SparkSession, sf: str) -> DataFrame:
     return back.select("doc_id", "n_tokens", "ids_sha256", F.sha2("bytes", 256).alias("decoded_sha256"))
 
 
+def op11_prefix_trie(spark: SparkSession, sf: str) -> DataFrame:
+    """Every node of the prefix trie of the rebuilt conversations."""
+    return prefix_trie.prefix_trie(read(spark, sf, "conversations").select("conv_id", "turn", "role", "text"))
+
+
+#: The CRC is taken bit by bit: SQL has no function for it.
+OP11_SQL = r"""
+WITH t AS (SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text, row_number() OVER (PARTITION BY conv_id
+    ORDER BY turn NULLS FIRST, sha256(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, ''))) AS pos
+    FROM conversations WHERE conv_id IS NOT NULL),
+ids AS (SELECT conv_id, conv_id - conv_id % 20 AS origin, count(*) AS n, string_split(CAST(conv_id AS VARCHAR), '') AS digits
+    FROM t GROUP BY conv_id),
+c AS (SELECT conv_id, origin, n, xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(digits,
+        lambda x: CAST(ascii(x) AS BIGINT))),
+    lambda a, b: list_reduce(list_prepend(xor(a, b), [0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[]),
+        lambda v, z: CASE WHEN v & 1 = 1 THEN xor(v >> 1, 3988292384) ELSE v >> 1 END)), 4294967295) % 4 AS h FROM ids),
+m AS (SELECT c.conv_id, c.origin, c.h, least(c.h, coalesce(o.n, 0)) AS m FROM c LEFT JOIN c o ON o.conv_id = c.origin),
+r AS (SELECT m.conv_id, t.pos AS depth, t.role, t.text FROM m JOIN t ON t.conv_id = m.origin AND t.pos <= m.m
+    UNION ALL SELECT m.conv_id, t.pos - m.h + m.m, t.role, t.text FROM m JOIN t ON t.conv_id = m.conv_id AND t.pos > m.h),
+s AS (SELECT m.conv_id, coalesce(list({'role': r.role, 'text': r.text} ORDER BY r.depth) FILTER (r.depth IS NOT NULL), [])
+    AS turns FROM m LEFT JOIN r ON r.conv_id = m.conv_id GROUP BY m.conv_id),
+p AS (SELECT conv_id, len(turns) AS size, unnest(range(0, len(turns) + 1)) AS depth, turns FROM s),
+n AS (SELECT depth, turns[1:depth] AS prefix, min(conv_id) AS conv_id, count(*) AS n_convs,
+    coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (size = depth), '') AS ends
+    FROM p GROUP BY depth, turns[1:depth]),
+w AS (SELECT *, CASE WHEN depth = 0 THEN 0 ELSE (n_convs - 1) * len(regexp_extract_all(prefix[depth].text,
+    '[^\x20\x09-\x0D]+')) END AS own FROM n),
+kids AS (SELECT depth - 1 AS depth, prefix[1:depth - 1] AS prefix, count(*) AS n_children FROM n WHERE depth > 0 GROUP BY ALL),
+f AS (SELECT w.*, coalesce(k.n_children, 0) AS n_children FROM w LEFT JOIN kids k ON k.depth = w.depth AND k.prefix = w.prefix),
+ups AS (SELECT unnest(range(0, depth + 1)) AS up, prefix, own, n_children FROM f),
+sums AS (SELECT up AS depth, prefix[1:up] AS prefix, sum(own) AS saved, count(*) FILTER (n_children = 0) AS n_leaves
+    FROM ups GROUP BY up, prefix[1:up])
+SELECT f.conv_id, f.depth, u.conv_id AS parent_conv_id, f.n_convs, f.n_children, s.n_leaves,
+    CAST(s.saved AS BIGINT) AS saved_tokens, sha256(f.ends) AS ends_sha256
+FROM f JOIN sums s ON s.depth = f.depth AND s.prefix = f.prefix
+LEFT JOIN n u ON f.depth > 0 AND u.depth = f.depth - 1 AND u.prefix = f.prefix[1:f.depth - 1]"""
+
+
 def op12_whiten(spark: SparkSession, sf: str) -> DataFrame:
     """The first four whitened components of every embedding."""
     out = whitening.whiten(read(spark, sf, "embeddings").select("vec_id", "embedding"))
@@ -174,6 +213,7 @@ QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]]
     "op8_shared_passages": (op8_shared_passages, None),
     "op9_pseudo_likelihood": (op9_pseudo_likelihood, None),
     "op10_byte_bpe": (op10_byte_bpe, None),
+    "op11_prefix_trie": (op11_prefix_trie, OP11_SQL),
     "op12_whiten": (op12_whiten, None),
     "op13_language": (op13_language, None),
 }
