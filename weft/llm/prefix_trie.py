@@ -259,7 +259,8 @@ def extents(asked: DataFrame, order: DataFrame, total: int, block: int) -> DataF
         depth, back = ask["depth"].to_numpy(np.int64), ask["sign"].to_numpy() < 0
         whole = np.full(len(ask), n, np.int64)
         at = np.where(back, lcps.run_start(whole, depth) - 1, lcps.run_end(0 * whole, depth) - 1)
-        least = np.where(back, ids.least(at, whole - 1), ids.least(0 * whole, at))
+        # looking ahead, the run may stop before the block's first position
+        least = np.where(back, ids.least(np.maximum(at, 0), whole - 1), ids.least(0 * whole, at))
         return pd.DataFrame({"to": ask["block"], "depth": depth, "sign": ask["sign"], "at": at + base, "least_there": least})
 
     asked_there, held_there = _sliced(routed.where(F.col("to") <= last).select(
