@@ -1,8 +1,8 @@
 """Group features: statistics of the rows that share a key, put back on each row.
 
-Counts, distinct counts, modes and numeric statistics are all ``GroupFeature``s. Features with the same
-key are computed by one aggregation and put back by one join. Everything is aggregated before it is
-shuffled, so a key holding a large part of the rows costs no more than any other.
+Counts, distinct counts, modes and numeric statistics are all ``GroupFeature``s. Features of one key are
+computed by one aggregation and put back by one join; those of several keys come from one table of frequencies (see
+``lattice``). Everything is aggregated before it is shuffled, so a key holding a large part of the rows costs no more than any other.
 """
 
 from __future__ import annotations
@@ -13,7 +13,8 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weft.operators.skew import BROADCAST_KEYS, HOT_ROWS, KeyProfile, attach, key_profiles, same_keys
+from weft.operators.lattice import Statistic, add_statistics
+from weft.operators.skew import BROADCAST_KEYS, HOT_ROWS, KeyProfile, attach, key_profiles
 from weft.sources.tables import NUM, tagged
 
 ROWS = "_rows"
@@ -21,7 +22,7 @@ ROWS = "_rows"
 # The group statistics of a numeric column.
 NUM_STATS = ("sum", "mean", "var", "max", "min")
 
-_AGGS = {"nunique": F.count_distinct, "sum": F.sum, "mean": F.avg, "var": F.var_samp,
+_AGGS = {"sum": F.sum, "mean": F.avg, "var": F.var_samp,
          "std": F.stddev_samp, "max": F.max, "min": F.min}
 
 
@@ -35,7 +36,7 @@ class GroupFeature:
     value: str | None = None
 
     def __post_init__(self) -> None:
-        if self.fn not in ("count", "mode") and self.fn not in _AGGS:
+        if self.fn not in ("count", "nunique", "mode") and self.fn not in _AGGS:
             raise ValueError(f"unknown group statistic {self.fn!r}")
         if (self.value is None) != (self.fn == "count"):
             raise ValueError(f"{self.fn} and value {self.value!r} do not go together")
@@ -58,55 +59,43 @@ def stats_of(key: str, value: str, stats: Sequence[str] = NUM_STATS) -> list[Gro
     return [GroupFeature(f"{s}__{key}__{value}", (key,), s, value) for s in stats]
 
 
-def frequencies(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Number of rows of each distinct key."""
-    return rows.groupBy(*keys).agg(F.count(F.lit(1)).alias(ROWS))
-
-
 def _stat_table(rows: DataFrame, keys: tuple[str, ...], features: Sequence[GroupFeature]) -> DataFrame:
-    """One row per key with every statistic of that key, the keys named ``_key0``, ``_key1``, ..."""
+    """One row per key with every count and numeric statistic of that key, the keys named ``_key0``, ``_key1``, ..."""
     names = [f"_key{i}" for i in range(len(keys))]
     named = [F.col(k).alias(n) for k, n in zip(keys, names, strict=True)]
-    plain = [f for f in features if f.fn not in ("count", "mode")]
-    table = rows.groupBy(*named).agg(F.count(F.lit(1)).alias(ROWS), *[_AGGS[f.fn](f.value).alias(f.name)
-                                                                      for f in plain])
-    for f in features:
-        if f.fn == "mode":
-            other = _mode_table(rows, f)
-            on = same_keys([F.col(n) for n in names], [F.col(f"_mode{i}") for i in range(len(keys))])
-            table = table.join(other, on, "left").drop(*[f"_mode{i}" for i in range(len(keys))])
+    table = rows.groupBy(*named).agg(F.count(F.lit(1)).alias(ROWS), *[
+        _AGGS[f.fn](f.value).alias(f.name) for f in features if f.fn != "count"])
     return table.select(*names, *[
         tagged(F.col(ROWS if f.fn == "count" else f.name), f.name, NUM, "", origin=f.fn) for f in features])
 
 
-def _mode_table(rows: DataFrame, f: GroupFeature) -> DataFrame:
-    """Most frequent value per key, the smallest one on a tie, from the (key, value) frequencies."""
-    freq = frequencies(rows, [*f.keys, f.value])
-    best = F.min(F.when(F.col(f.value).isNotNull(), F.struct((-F.col(ROWS)).alias("n"), F.col(f.value).alias("v"))))
-    return freq.groupBy(*[F.col(k).alias(f"_mode{i}") for i, k in enumerate(f.keys)]).agg(best["v"].alias(f.name))
-
-
 def add_group_features(rows: DataFrame, features: Sequence[GroupFeature],
                        spread: Sequence[str] | None = None, *, over: DataFrame | None = None,
                        broadcast_keys: int = BROADCAST_KEYS, hot_rows: int = HOT_ROWS) -> DataFrame:
     """Add each feature as a column of ``rows``.
 
     ``over`` is the table the statistics are taken from when it is not ``rows`` itself (training rows
-    only, say). One pass over the key columns of ``rows`` measures how many keys there are and which are
-    hot, which decides between a broadcast and a shuffle; ``spread`` names columns that tell rows apart.
+    only, say). How many keys there are and which are hot decides between a broadcast and a shuffle;
+    ``spread`` names columns that tell rows apart.
     """
-    source = rows if over is None else over
+    if not features:
+        return rows
     by_keys: dict[tuple[str, ...], list[GroupFeature]] = {}
     for f in features:
         by_keys.setdefault(f.keys, []).append(f)
-    profiles = key_profiles(rows, by_keys, hot_rows)
+    plain = all(f.fn not in ("nunique", "mode") for f in features)
+    if len(by_keys) > 1 or not plain:
+        stats = [Statistic(f"_f{i}", f.keys, f.fn, f.value) for i, f in enumerate(features)]
+        out = add_statistics(rows, stats, _AGGS, over=over, broadcast_keys=broadcast_keys, hot_rows=hot_rows)
+        return out.select(*rows.columns, *[
+            tagged(F.col(s.name), f.name, NUM, "", origin=f.fn) for s, f in zip(stats, features, strict=True)])
+    keys = features[0].keys
+    profile = key_profiles(rows, [keys], hot_rows)[keys]
     if over is not None:
-        sizes = key_profiles(over, by_keys, hot_rows)
-        profiles = {k: KeyProfile(sizes[k].distinct, p.hot) for k, p in profiles.items()}
-    out = rows
-    for keys, fs in by_keys.items():
-        out = attach(out, _stat_table(source, keys, fs), keys, profiles[keys], spread=spread,
-                     table_keys=[f"_key{i}" for i in range(len(keys))], broadcast_keys=broadcast_keys)
+        profile = KeyProfile(key_profiles(over, [keys], hot_rows)[keys].distinct, profile.hot)
+    source = rows if over is None else over
+    out = attach(rows, _stat_table(source, keys, features), keys, profile, spread=spread,
+                 table_keys=[f"_key{i}" for i in range(len(keys))], broadcast_keys=broadcast_keys)
     return out.select(*rows.columns, *[f.name for f in features])
 
 
