@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from weft.operators import aggregate as A
 from weft.operators.asof import asof_join, asof_rolling
 from weft.operators.clean import clean_fill, project, take_split, union_split
-from weft.operators.merge import depths, join_to_one, merge_graph, require_unique
+from weft.operators.merge import branches, depths, join_to_one, merge_graph, merge_with_unions, require_unique
 from weft.sources.tables import (
     CAT,
     MULTI_CAT,
@@ -112,6 +112,84 @@ def test_repeated_to_one_key_is_reported(spark):
         join_to_one(left, side, ["k"], ["k"], "s", check_unique=True)
 
 
+def diamond(spark):
+    main = spark.createDataFrame([(1, "a", "p"), (2, "b", None), (3, "c", "q")], "id long, ka string, kb string")
+    a = spark.createDataFrame([("a", "x", 1.0), ("b", "y", 2.0)], "ka string, kc string, va double")
+    b = spark.createDataFrame([("p", "y", 3.0), ("q", "z", 4.0)], "kb string, kc string, vb double")
+    c = spark.createDataFrame([("x", 10.0, "d1"), ("y", 20.0, "d2")], "kc string, vc double, kd string")
+    d = spark.createDataFrame([("d1", "one"), ("d2", "two")], "kd string, vd string")
+    return TableSet(
+        {"main": main, "a": a, "b": b, "c": c, "d": d},
+        {"main": TableSpec({"ka": CAT, "kb": CAT}, keys=("ka", "kb")), "a": TableSpec({"va": NUM}), "b": TableSpec({"vb": NUM}),
+         "c": TableSpec({"vc": NUM}), "d": TableSpec({"vd": CAT})},
+        (Relation("main", "a", ("ka",), ("ka",), "many_to_one"), Relation("main", "b", ("kb",), ("kb",), "many_to_one"),
+         Relation("a", "c", ("kc",), ("kc",), "many_to_one"), Relation("b", "c", ("kc",), ("kc",), "many_to_one"),
+         Relation("c", "d", ("kd",), ("kd",), "many_to_one")), main="main", row_id="id")
+
+
+def test_a_diamond_names_columns_by_their_paths(spark):
+    m = merge_graph(diamond(spark), fill="none")
+    assert m.columns == ["id", "ka", "kb", "a__va", "a__c__vc", "a__c__d__vd", "b__vb", "b__c__vc", "b__c__d__vd"]
+    assert set(columns_of(m, NUM, table="c")) == {"a__c__vc", "b__c__vc"}
+    got = {r["id"]: tuple(r)[3:] for r in m.collect()}
+    assert got == {1: (1.0, 10.0, "one", 3.0, 20.0, "two"), 2: (2.0, 20.0, "two", None, None, None),
+                   3: (None, None, None, 4.0, None, None)}
+
+
+def test_a_table_met_twice_is_computed_once(spark, monkeypatch):
+    from weft.operators import merge
+
+    written = []
+    keep = merge.materialize
+    monkeypatch.setattr(merge, "materialize", lambda df, name="table": written.append(name) or keep(df, name))
+    merge_graph(diamond(spark)).collect()
+    assert written == ["c"]
+
+
+def test_paths_to_tables_that_are_as_near(spark):
+    g = diamond(spark)
+    more = (*g.relations, Relation("a", "b", ("ka",), ("kb",), "many_to_one"))
+    steps = lambda branch: {(s, steps(c)) if c.joined else s for _, s, c in branch.joined} and tuple(
+        (s, steps(c)) if c.joined else s for _, s, c in branch.joined)
+    assert steps(branches(more, "main")) == (("a", (("c", ("d",)),)), ("b", (("c", ("d",)),)))
+    assert steps(branches(more, "main", "all")) == (("a", (("c", ("d",)), ("b", (("c", ("d",)),)))), ("b", (("c", ("d",)),)))
+    with pytest.raises(ValueError):
+        branches(more, "main", "some")
+
+
+def test_unions_of_any_length_ride_with_the_rows(spark):
+    """Lists of tags of visits of people of a town: unions of unions, found from the main rows over a to-one relation."""
+    homes = spark.createDataFrame([(1, "t1"), (2, "t2"), (3, None)], "id long, town string")
+    towns = spark.createDataFrame([("t1", 1.0), ("t2", 2.0)], "town string, size double")
+    people = spark.createDataFrame([("t1", "ann", 1), ("t1", "bob", 2), ("t2", "cat", 1)], "town string, who string, o int")
+    visits = spark.createDataFrame([("ann", i, f"a{i},x", f"c{i % 3}") for i in range(5)] + [("bob", 1, "0", "c9"), ("cat", 1, "z,z", None)]
+                                   + [("bob", 0, "b0,y", "c8")], "who string, o int, tags string, c string")
+    g = TableSet(
+        {"homes": homes, "towns": towns, "people": people, "visits": visits},
+        {"homes": TableSpec({}), "towns": TableSpec({"size": NUM}), "people": TableSpec({}, order=("o",)),
+         "visits": TableSpec({"tags": MULTI_CAT, "c": CAT}, order=("o",))},
+        (Relation("homes", "towns", ("town",), ("town",), "many_to_one"), Relation("towns", "people", ("town",), ("town",), "one_to_many"),
+         Relation("people", "visits", ("who",), ("who",), "one_to_many")), main="homes", row_id="id")
+    for piece_rows in (2, 10_000):
+        m = merge_with_unions(g, piece_rows=piece_rows)
+
+        def whole(name, m=m):
+            out = {}
+            for r in sorted(m.unions[name].of(m.rows, "id").collect()):
+                out.setdefault(r["id"], []).append(r["text"])
+            return {i: ",".join(t) for i, t in out.items()}, max(len(t) for t in out.values())
+
+        texts, most = whole("visits__union__union__tags")
+        assert texts == {1: "a0,x,a1,x,a2,x,a3,x,a4,x,b0,y", 2: "z,z"}
+        assert (most > 1) == (piece_rows == 2)
+        assert whole("visits__union__union__c")[0] == {1: "c0,c1,c2,c8,c9", 2: "0"}
+        assert whole("visits__last__union__tags")[0] == {1: "b0,y", 2: "z,z"}
+        assert whole("visits__union__last__tags")[0] == {1: "a4,x,b0,y", 2: "z,z"}
+        assert {r["id"]: r["visits__union_pieces__union__tags"] for r in m.rows.collect()} == {1: most, 2: 1, 3: -1}
+    flat = merge_graph(g, unions="pieces")
+    assert not [c for c in flat.columns if c.startswith("_")] and flat.count() == 3
+
+
 def test_reverse_relations_and_depths(spark):
     r = Relation("orders", "lines", ("a",), ("b",), "one_to_many")
     assert r.flipped() == Relation("lines", "orders", ("b",), ("a",), "many_to_one") and r.to_many

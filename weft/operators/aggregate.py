@@ -97,6 +97,14 @@ def list_union_pieces(df: DataFrame, keys: Sequence[str], value: str, order: Seq
     return _fill_empty(df, keys, found)
 
 
+def joined_pieces(df: DataFrame, texts: DataFrame, keys: Sequence[str], order: Sequence[str], value: str,
+                  piece_rows: int = PIECE_ROWS, buckets: int | None = None) -> DataFrame:
+    """All texts per key joined in the order given, in numbered pieces of ``piece_rows`` texts; ``df`` has all the keys."""
+    by = list(dict.fromkeys((*keys, *order, value)))
+    counted = texts.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"))
+    return _fill_empty(df, keys, _pieces(counted, keys, [*order, value], value, piece_rows, buckets))
+
+
 def _fill_empty(df: DataFrame, keys: Sequence[str], found: DataFrame) -> DataFrame:
     """Add the keys that have no usable value."""
     lone = df.select(*keys).distinct().join(found.select(*keys).distinct(), list(keys), "left_anti")

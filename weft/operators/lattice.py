@@ -1,8 +1,7 @@
 """Group features of many key sets from one table of frequencies.
 
 Every feature asks about some set of columns: a count about its keys, a distinct count or a mode about its keys and its value.
-One pass over the rows gives the frequency of every combination of values of every such set, in one exploded table (set, values,
-n). Counts are its rows; distinct counts and modes are roll-ups of it along the value. Numeric statistics of all key sets
+One pass over the rows gives the frequency of every combination of values of every such set, by grouping sets in one table. Counts are its rows; distinct counts and modes are roll-ups of it along the value. Numeric statistics of all key sets
 come from one more pass in the same form. The result has a row per key with all statistics of that key, so however many
 pairs are asked for, it takes the same number of scans and exchanges.
 
@@ -25,11 +24,14 @@ from pyspark.sql import types as T
 from weft.operators.skew import BROADCAST_KEYS, HOT_ROWS
 from weft.sources.workspace import materialize
 
-#: A broadcast table of statistics has at most this many characters of keys and values, besides its number of rows.
+#: The key sets that share a broadcast table hold at most this many characters, ``ROW_CHARS`` for a row besides its text.
 BROADCAST_CHARS = 64 << 20
+ROW_CHARS = 64
 #: Keys with more than this part of the rows are served by broadcast; there are fewer than this many in a key set.
 HOT_PARTS = 2000
 _SALTS = 1 << 20
+#: Columns whose sets are grouped at once: a grouping id has a bit for each.
+MASK_COLUMNS = 60
 
 _INTEGRAL = (T.ByteType, T.ShortType, T.IntegerType, T.LongType)
 _REAL = (T.FloatType, T.DoubleType, T.DecimalType)
@@ -49,10 +51,10 @@ class Statistic:
         return tuple(sorted(set(self.keys)))
 
 
-def text_of(df: DataFrame, column: str) -> Column:
-    """The string by which equal values of a column meet; both zeros are one."""
+def text_of(df: DataFrame, column: str, name: str | None = None) -> Column:
+    """The string by which equal values of a column meet, now under ``name``; both zeros are one."""
     kind = df.schema[column].dataType
-    c = F.col(column)
+    c = F.col(name or column)
     if isinstance(kind, (T.FloatType, T.DoubleType)):
         c = c + F.lit(0).cast(kind)
     return c if isinstance(kind, T.StringType) else c.cast("string")
@@ -76,26 +78,43 @@ class Lattice:
         self.rolls = {r: i for i, r in enumerate(rolled)}
         self.sets = sorted(set(self.slots) | {tuple(sorted({*slot, value})) for slot, value in rolled})
         self.moments = sorted({(s.fn, s.value) for s in self.stats if s.fn not in ("count", "nunique", "mode")})
-        self.width = max(len(s) for s in self.sets)
+        self.columns = {c: i for i, c in enumerate(sorted({c for s in self.sets for c in s}))}
 
     def frequencies(self) -> DataFrame:
-        """(set, k0, k1, .., n): one scan and one exchange for all sets."""
-        text = {c: text_of(self.source, c).alias(f"_t{i}") for i, c in enumerate(sorted({c for s in self.sets for c in s}))}
-        name = {c: f"_t{i}" for i, c in enumerate(text)}
-        null = F.lit(None).cast("string")
-        parts = [F.struct(F.lit(i).alias("set"), *[
-            (F.col(name[s[j]]) if j < len(s) else null).alias(f"k{j}") for j in range(self.width)])
-            for i, s in enumerate(self.sets)]
-        keys = ["set", *[f"k{j}" for j in range(self.width)]]
-        return self.source.select(*text.values()).select(F.explode(F.array(*parts)).alias("x")).select("x.*").groupBy(
-            *keys).agg(F.count(F.lit(1)).alias("n"))
+        """(columns, n, set): one scan and one exchange for all sets, for each ``MASK_COLUMNS`` columns."""
+        out = None
+        for batch in self._batches():
+            cols = sorted({c for i in batch for c in self.sets[i]})
+            names = {c: f"_c{self.columns[c]}" for c in cols}
+            rows = self.source.select(*[F.col(c).alias(n) for c, n in names.items()])
+            keys = [F.col(n) for n in names.values()]
+            found = rows.groupingSets([[F.col(names[c]) for c in self.sets[i]] for i in batch], *keys).agg(
+                F.grouping_id(*names.values()).alias("_mask"), F.count(F.lit(1)).alias("n"))
+            number = F.create_map(*[F.lit(x) for i in batch for x in (self._mask(cols, i), i)])
+            part = found.select(*names.values(), "n", number[F.col("_mask")].alias("set"))
+            out = part if out is None else out.unionByName(part, allowMissingColumns=True)
+        return out
+
+    def _mask(self, columns: list[str], i: int) -> int:
+        """The grouping id of a set: a bit for each column that it leaves out, the first column's highest."""
+        return sum(1 << (len(columns) - 1 - j) for j, c in enumerate(columns) if c not in self.sets[i])
+
+    def _batches(self) -> list[list[int]]:
+        batches: list[list[int]] = []
+        held: set[str] = set()
+        for i, s in enumerate(self.sets):
+            if not batches or len(held | set(s)) > MASK_COLUMNS:
+                batches, held = [*batches, []], set()
+            batches[-1].append(i)
+            held |= set(s)
+        return batches
 
     def _entries(self) -> list[tuple[int, Column]]:
         """Per set what its rows are entries of: (set, (slot, roll, key, n, v, o, x)); roll -1 is the plain count."""
         out = []
         n = F.col("n")
         for i, s in enumerate(self.sets):
-            at = {c: F.col(f"k{j}") for j, c in enumerate(s)}
+            at = {c: text_of(self.source, c, f"_c{self.columns[c]}") for c in s}
             if s in self.slot_id:
                 out.append((i, self._entry(s, -1, at, n, F.lit(None).cast("string"), T.StringType())))
             for (slot, value), roll in self.rolls.items():
@@ -117,14 +136,23 @@ class Lattice:
         by_set: dict[int, list[Column]] = {}
         for i, e in self._entries():
             by_set.setdefault(i, []).append(e)
-        chosen = reduce(lambda c, item: c.when(F.col("set") == item[0], F.array(*item[1])), list(by_set.items())[1:],
-                        F.when(F.col("set") == next(iter(by_set)), F.array(*by_set[next(iter(by_set))])))
+        (first, entries), *rest = by_set.items()
+        chosen = reduce(lambda c, item: c.when(F.col("set") == item[0], F.array(*item[1])), rest,
+                        F.when(F.col("set") == first, F.array(*entries)))
         rows = self.frequencies().select(F.explode(chosen).alias("e")).select("e.*")
-        best = F.min(F.when(F.col("v").isNotNull(), F.struct((-F.col("n")).alias("m"), "o", "x", "v")))
-        rolled = rows.groupBy("slot", "key", "roll").agg(F.sum("n").alias("n"), F.count("v").alias("u"), best["v"].alias("v"))
+        nothing = F.lit(None).cast("string")
+        if not self.rolls:  # every row of the frequencies is a key
+            return rows.select("slot", "key", "n", F.array().cast("array<struct<roll:int,u:bigint,v:string>>").alias("vals"))
+        keys = ("slot", "key", "roll")
+        modes = sorted({self.rolls[s.slot, s.value] for s in self.stats if s.fn == "mode"})
+        number = [F.sum("n").alias("n"), F.count("v").alias("u")]
+        # numbers combine in hash tables; texts of modes need sorted groups and go by themselves
+        rolled = rows.where(~F.col("roll").isin(modes)).groupBy(*keys).agg(*number).withColumn("v", nothing)
+        if modes:
+            best = F.min(F.when(F.col("v").isNotNull(), F.struct((-F.col("n")).alias("m"), "o", "x", "v")))
+            rolled = rolled.unionByName(rows.where(F.col("roll").isin(modes)).groupBy(*keys).agg(*number, best["v"].alias("v")))
         return rolled.groupBy("slot", "key").agg(
-            F.max("n").alias("n"),
-            F.array_sort(F.collect_list(F.struct("roll", "u", "v"))).alias("vals"))
+            F.max("n").alias("n"), F.array_sort(F.collect_list(F.struct("roll", "u", "v"))).alias("vals"))
 
     def numbers(self) -> DataFrame | None:
         """(key, m0, m1, ..): the numeric statistics, for all key sets that need any, in one scan and one exchange."""
@@ -182,15 +210,15 @@ def add_statistics(rows: DataFrame, stats: Sequence[Statistic], aggregates: dict
     """``rows`` with every statistic as a column, taken over ``over`` or the rows themselves; null keys meet null keys."""
     lattice = Lattice(rows if over is None else over, stats, aggregates)
     table = materialize(lattice.table(), "statistics")
-    chars = F.length("key") + F.coalesce(F.aggregate("vals", F.lit(0), lambda a, v: a + 24 + F.coalesce(
+    chars = ROW_CHARS + F.length("key") + F.coalesce(F.aggregate("vals", F.lit(0), lambda a, v: a + 24 + F.coalesce(
         F.length(v["v"]), F.lit(0))), F.lit(0))
     sizes = sorted((r["count"], r["slot"], r["chars"], r["rows"]) for r in table.groupBy("slot").agg(
         F.count(F.lit(1)).alias("count"), F.sum(chars).alias("chars"), F.sum("n").alias("rows")).collect())
-    small, taken, room = [], 0, BROADCAST_CHARS
+    small, room = [], BROADCAST_CHARS
     for count, slot, size, _ in sizes:  # the smallest key sets share one broadcast
-        if taken + count > broadcast_keys or size > room:
+        if count > broadcast_keys or size > room:
             break
-        small, taken, room = [*small, slot], taken + count, room - size
+        small, room = [*small, slot], room - size
     present = {slot for _, slot, _, _ in sizes}
     large = [slot for slot in range(len(lattice.slots)) if slot not in small and slot in present]
     keys = {i: _key(F.lit(i), [text_of(rows, c) for c in lattice.slots[i]]) for i in (*small, *large)}

@@ -106,6 +106,43 @@ def customer_graph(spark: SparkSession, sf_dir: str) -> TableSet:
                     main="orders", row_id="o_orderkey", time_col="o_orderdate", label="label")
 
 
+def line_graph(spark: SparkSession, sf_dir: str) -> TableSet:
+    """Lines as the main table: nation and region are met by way of the customer and of the supplier."""
+    lines = read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_suppkey", "l_returnflag", "l_quantity")
+    supplier = read(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey", hundredths("s_acctbal"))
+    tables = {"lineitem": lines, "orders": orders(spark, sf_dir).drop("label"), "customer": customer(spark, sf_dir),
+              "supplier": supplier, "nation": read(spark, sf_dir, "nation"), "region": read(spark, sf_dir, "region")}
+    specs = {"lineitem": TableSpec({"l_suppkey": CAT, "l_returnflag": CAT, "l_quantity": NUM}, keys=("l_suppkey",)),
+             "orders": TableSpec({"o_orderpriority": CAT, "o_totalprice": NUM, "o_orderdate": TIME}),
+             "customer": ORDER_SPECS["customer"],
+             "supplier": TableSpec({"s_nationkey": CAT, "s_acctbal": NUM}, keys=("s_nationkey",)),
+             "nation": TableSpec({"n_name": CAT}), "region": TableSpec({"r_name": CAT})}
+    relations = (Relation("lineitem", "orders", ("l_orderkey",), ("o_orderkey",), "many_to_one"),
+                 Relation("orders", "customer", ("o_custkey",), ("c_custkey",), "many_to_one"),
+                 Relation("customer", "nation", ("c_nationkey",), ("n_nationkey",), "many_to_one"),
+                 Relation("lineitem", "supplier", ("l_suppkey",), ("s_suppkey",), "many_to_one"),
+                 Relation("supplier", "nation", ("s_nationkey",), ("n_nationkey",), "many_to_one"),
+                 Relation("nation", "region", ("n_regionkey",), ("r_regionkey",), "many_to_one"))
+    return TableSet(tables, specs, relations, main="lineitem", row_id="l_orderkey")
+
+
+def trade_graph(spark: SparkSession, sf_dir: str) -> TableSet:
+    """Orders with the nations they go from and to: two relations to one table. Small orders have no origin."""
+    lines = read(spark, sf_dir, "lineitem")
+    first = lines.groupBy("l_orderkey").agg(F.min("l_suppkey").alias("s_suppkey"))
+    sent = first.join(read(spark, sf_dir, "supplier"), "s_suppkey").select(
+        F.col("l_orderkey").alias("o_orderkey"), F.col("s_nationkey").alias("origin"))
+    c = read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("o_custkey"), F.col("c_nationkey").alias("target"))
+    main = orders(spark, sf_dir).join(sent, "o_orderkey", "left").join(c, "o_custkey", "left").select(
+        "o_orderkey", F.when(F.col("o_totalprice") >= 1_000_000, F.col("origin")).alias("origin"), "target", "o_totalprice")
+    specs = {"trade": TableSpec({"o_totalprice": NUM}), "nation": TableSpec({"n_name": CAT}), "region": TableSpec({"r_name": CAT})}
+    relations = (Relation("trade", "nation", ("origin",), ("n_nationkey",), "many_to_one", "origin"),
+                 Relation("trade", "nation", ("target",), ("n_nationkey",), "many_to_one", "target"),
+                 Relation("nation", "region", ("n_regionkey",), ("r_regionkey",), "many_to_one"))
+    tables = {"trade": main, "nation": read(spark, sf_dir, "nation"), "region": read(spark, sf_dir, "region")}
+    return TableSet(tables, specs, relations, main="trade", row_id="o_orderkey")
+
+
 _NUMS = [("lineitem", c) for c in ("l_quantity", "l_extendedprice", "l_discount", "l_tax")] + [
     ("part", c) for c in ("p_size", "p_retailprice")]
 _CATS = [("lineitem", c) for c in ("l_partkey", "l_returnflag", "l_linestatus")] + [

@@ -9,7 +9,7 @@ from weft.operators import aggregate as A
 from weft.operators.asof import asof_join, asof_rolling
 from weft.operators.clean import clean_fill, project, take_split, union_split
 from weft.operators.encode import encode
-from weft.operators.merge import join_to_many, join_to_one, merge_graph
+from weft.operators.merge import join_to_many, join_to_one, merge_graph, merge_with_unions
 from weft.queries import fixtures as X
 from weft.sources.tables import CAT, NUM, TIME, read_tables, tag_table, write_scores
 from weft.sources.workspace import shared_folder
@@ -88,6 +88,51 @@ def merge_graph_query(spark: SparkSession, sf: str) -> DataFrame:
     return merge_graph(X.order_graph(spark, sf))
 
 
+def merge_paths(spark: SparkSession, sf: str) -> DataFrame:
+    """Lines with all that is related to them: two ways lead to nation and region, one of them by a table as near."""
+    return merge_graph(X.line_graph(spark, sf), paths="all")
+
+
+def merge_two_relations(spark: SparkSession, sf: str) -> DataFrame:
+    """Two relations to one table, which has one itself."""
+    return merge_graph(X.trade_graph(spark, sf))
+
+
+_UNIONS = ("lineitem__union__l_partkey", "lineitem__union__l_returnflag", "lineitem__union__l_linestatus",
+           "part__union__p_brand", "part__union__p_type", "part__union__p_names")
+
+
+def join_to_many_unions(spark: SparkSession, sf: str) -> DataFrame:
+    """The unions of the merged orders with all their pieces, two elements each."""
+    merged = merge_with_unions(X.order_graph(spark, sf), piece_rows=2)
+    out = None
+    for c in _UNIONS:
+        one = merged.unions[c].of(merged.rows, "o_orderkey").withColumn("name", F.lit(c))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def join_to_many_first_pieces(spark: SparkSession, sf: str) -> DataFrame:
+    """The merged rows themselves: the first piece of each union and how many there are."""
+    rows = merge_with_unions(X.order_graph(spark, sf), piece_rows=2).rows
+    return rows.select("o_orderkey", *_UNIONS, *[c.replace("__union__", "__union_pieces__") for c in _UNIONS])
+
+
+def _piece_sql(column: str) -> str:
+    """Pieces of one union as SQL: distinct values in their order, lists in the order of the lines."""
+    table, _, c = column.split("__")
+    if c == "p_names":
+        inner = f"SELECT l_orderkey AS k, {c} AS v, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_shipdate, l_linenumber, {c}) AS r FROM l"
+    else:
+        inner = f"SELECT k, v, row_number() OVER (PARTITION BY k ORDER BY v) AS r FROM (SELECT DISTINCT l_orderkey AS k, {c} AS v FROM l)"
+    return (f"SELECT k AS o_orderkey, CAST((r - 1) // 2 AS INTEGER) AS piece, '{column}' AS name, "
+            f"string_agg(CAST(v AS VARCHAR), ',' ORDER BY r) AS text FROM ({inner}) GROUP BY k, (r - 1) // 2")
+
+
+_PIECES_SQL = f"""l AS (SELECT * FROM ({X.LINEITEM_SQL}) LEFT JOIN ({X.PART_SQL}) ON l_partkey = p_partkey),
+ p AS ({' UNION ALL '.join(_piece_sql(c) for c in _UNIONS)})"""
+
+
 def merge_fill_before(spark: SparkSession, sf: str) -> DataFrame:
     """Nulls filled before aggregation: the fills count in means and sums."""
     o = X.orders(spark, sf)
@@ -192,6 +237,33 @@ QUERIES = {
  FROM ({X.ORDERS_SQL}) o LEFT JOIN ({X.CUSTOMER_SQL}) c ON o_custkey = c_custkey"""),
     "join_to_many": (join_to_many_query, X.TO_MANY_SQL),
     "merge_graph": (merge_graph_query, X.MERGED_SQL),
+    "merge_paths": (merge_paths, f"""SELECT l_orderkey, l_linenumber, l_suppkey, l_returnflag, l_quantity,
+ coalesce(o_orderpriority, '0') AS orders__o_orderpriority, coalesce(o_totalprice, -1) AS orders__o_totalprice,
+ coalesce(o_orderdate, TIMESTAMP '1970-01-01 00:00:00') AS orders__o_orderdate,
+ coalesce(c_nationkey, 0) AS customer__c_nationkey, coalesce(c_mktsegment, '0') AS customer__c_mktsegment,
+ coalesce(c_acctbal, -1) AS customer__c_acctbal, coalesce(s_nationkey, 0) AS supplier__s_nationkey,
+ coalesce(round(s_acctbal * 100), -1) AS supplier__s_acctbal,
+ coalesce(n1.n_name, '0') AS orders__customer__nation__n_name, coalesce(r1.r_name, '0') AS orders__customer__nation__region__r_name,
+ coalesce(n2.n_name, '0') AS supplier__nation__n_name, coalesce(r2.r_name, '0') AS supplier__nation__region__r_name
+ FROM lineitem LEFT JOIN ({X.ORDERS_SQL}) ON l_orderkey = o_orderkey LEFT JOIN ({X.CUSTOMER_SQL}) ON o_custkey = c_custkey
+ LEFT JOIN nation n1 ON c_nationkey = n1.n_nationkey LEFT JOIN region r1 ON n1.n_regionkey = r1.r_regionkey
+ LEFT JOIN supplier ON l_suppkey = s_suppkey LEFT JOIN nation n2 ON s_nationkey = n2.n_nationkey
+ LEFT JOIN region r2 ON n2.n_regionkey = r2.r_regionkey"""),
+    "merge_two_relations": (merge_two_relations, f"""WITH s AS (SELECT l_orderkey, s_nationkey FROM
+ (SELECT l_orderkey, min(l_suppkey) AS k FROM lineitem GROUP BY l_orderkey) JOIN supplier ON k = s_suppkey),
+ t AS (SELECT o_orderkey, CASE WHEN o_totalprice >= 1000000 THEN s_nationkey END AS origin, c_nationkey AS target, o_totalprice
+  FROM ({X.ORDERS_SQL}) LEFT JOIN s ON o_orderkey = l_orderkey LEFT JOIN customer ON o_custkey = c_custkey)
+ SELECT o_orderkey, origin, target, o_totalprice, coalesce(n1.n_name, '0') AS origin__nation__n_name,
+ coalesce(r1.r_name, '0') AS origin__nation__region__r_name, coalesce(n2.n_name, '0') AS target__nation__n_name,
+ coalesce(r2.r_name, '0') AS target__nation__region__r_name FROM t
+ LEFT JOIN nation n1 ON origin = n1.n_nationkey LEFT JOIN region r1 ON n1.n_regionkey = r1.r_regionkey
+ LEFT JOIN nation n2 ON target = n2.n_nationkey LEFT JOIN region r2 ON n2.n_regionkey = r2.r_regionkey"""),
+    "join_to_many_unions": (join_to_many_unions, f"WITH {_PIECES_SQL} SELECT o_orderkey, piece, text, name FROM p "
+                            "WHERE o_orderkey IN (SELECT o_orderkey FROM orders)"),
+    "join_to_many_first_pieces": (join_to_many_first_pieces, f"WITH {_PIECES_SQL} SELECT o.o_orderkey, " + ", ".join(
+        f"coalesce(max(text) FILTER (name = '{c}' AND piece = 0), '0') AS {c}, "
+        f"CAST(coalesce(max(piece) FILTER (name = '{c}') + 1, -1) AS BIGINT) AS {c.replace('__union__', '__union_pieces__')}"
+        for c in _UNIONS) + " FROM orders o LEFT JOIN p ON o.o_orderkey = p.o_orderkey GROUP BY o.o_orderkey"),
     "merge_fill_before": (merge_fill_before, """WITH a AS (SELECT l_orderkey,
  avg(CASE WHEN l_quantity >= 10 THEN l_quantity ELSE -1 END) AS m,
  sum(CASE WHEN l_quantity >= 10 THEN l_quantity ELSE -1 END) AS s FROM lineitem GROUP BY l_orderkey)

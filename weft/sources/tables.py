@@ -22,6 +22,7 @@ _KIND = "weft.kind"
 _TABLE = "weft.table"
 _KEY = "weft.key"
 _ORIGIN = "weft.origin"
+_PATH = "weft.path"
 
 
 @dataclass(frozen=True)
@@ -44,6 +45,8 @@ class Relation:
     left_keys: tuple[str, ...]
     right_keys: tuple[str, ...]
     kind: str
+    #: Tells apart several relations between the same two tables; their keys do, without it.
+    name: str | None = None
 
     def __post_init__(self) -> None:
         if self.kind not in RELATION_KINDS:
@@ -53,7 +56,7 @@ class Relation:
 
     def flipped(self) -> Relation:
         a, _, b = self.kind.split("_")
-        return Relation(self.right, self.left, self.right_keys, self.left_keys, f"{b}_to_{a}")
+        return Relation(self.right, self.left, self.right_keys, self.left_keys, f"{b}_to_{a}", self.name)
 
     @property
     def to_many(self) -> bool:
@@ -104,9 +107,12 @@ class TableSet:
 
 
 def tagged(column: Column, name: str, kind: str | None, table: str, key: bool = False,
-           origin: str = "raw") -> Column:
-    """``column`` under ``name``, carrying its semantic type and lineage."""
+           origin: str = "raw", path: str = "") -> Column:
+    """``column`` under ``name``, carrying its semantic type and lineage: the table it is from, and the relations
+    that lead there from the rows it is on."""
     meta: dict[str, object] = {_TABLE: table, _KEY: key, _ORIGIN: origin}
+    if path:
+        meta[_PATH] = path
     if kind is not None:
         meta[_KIND] = kind
     return column.alias(name, metadata=meta)
@@ -150,6 +156,15 @@ def table_of(df: DataFrame, column: str) -> str | None:
     return (df.schema[column].metadata or {}).get(_TABLE)
 
 
+def path_of(df: DataFrame, column: str) -> str:
+    """The relations from the rows to the column's table, ``/`` between them; empty for the rows' own columns."""
+    return (df.schema[column].metadata or {}).get(_PATH, "")
+
+
+def origin_of(df: DataFrame, column: str) -> str:
+    return (df.schema[column].metadata or {}).get(_ORIGIN, "raw")
+
+
 def is_key(df: DataFrame, column: str) -> bool:
     return bool((df.schema[column].metadata or {}).get(_KEY))
 
