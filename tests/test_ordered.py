@@ -1,5 +1,8 @@
 """Range-wise windows against brute force: many ranges, short ranges, one very long group."""
 
+import datetime as dt
+import decimal
+import math
 import random
 
 import pandas as pd
@@ -104,3 +107,59 @@ def test_empty_and_single(spark):
     assert empty.differences(["x"]).count() == 0 and empty.row_number().count() == 0
     one = OrderedRows(df.where("id = 1"), ["k"], ["t", "id"], 4)
     assert one.differences(["x"]).first()["x_diff_1"] == 0.0 and one.row_number().first()["row_number"] == 1
+
+
+@pytest.mark.parametrize("seconds", [1, 120, 10**6])
+def test_trailing_sum_of_a_crowded_time(spark, seconds):
+    """All instants within one window, then windows of any length, against plain sums."""
+    rng = random.Random(8)
+    start = dt.datetime(2024, 1, 1)
+    data = [(i, start + dt.timedelta(milliseconds=rng.randrange(0, 100_000)), rng.choice([0.01, 1e9 + 0.25, -1e9, None]),
+             rng.choice([3, -2**40, None]), decimal.Decimal(rng.randrange(1000)).scaleb(-2)) for i in range(1500)]
+    data += [(5000 + i, start, 1.0, 1, decimal.Decimal(0)) for i in range(300)] + [(6000, None, 5.0, 5, decimal.Decimal(1))]
+    df = spark.createDataFrame(data, "id long, ts timestamp_ntz, x double, n long, m decimal(10,2)").repartition(6)
+    got = {r["id"]: r for r in trailing_sum(df, "ts", ["x", "n", "m"], seconds, spread=["id"], buckets=7).collect()}
+    assert len(got) == len(data)
+    for i, ts, *_ in data[::7] + data[-1:]:
+        own = [] if ts is None else [r for r in data if r[1] is not None and ts - dt.timedelta(seconds=seconds) <= r[1] <= ts]
+        for at, c in ((2, "x"), (3, "n"), (4, "m")):
+            values = [r[at] for r in own if r[at] is not None]
+            mine = got[i][f"{c}_sum_{seconds}s"]
+            assert (mine is None) == (not values)
+            if values:
+                assert mine == (pytest.approx(math.fsum(values), abs=1e-6) if c == "x" else sum(values))
+
+
+def test_trailing_sum_keeps_small_values_beside_large_ones(spark):
+    start = dt.datetime(2024, 1, 1)
+    data = [(0, start, 1e15), (1, start + dt.timedelta(seconds=500), 0.125), (2, start + dt.timedelta(seconds=501), 0.25),
+            (3, start + dt.timedelta(seconds=900), float("inf")), (4, start + dt.timedelta(seconds=2000), 2.0),
+            (5, start + dt.timedelta(seconds=3000), float("nan")), (6, start + dt.timedelta(seconds=4000), 7.0)]
+    df = spark.createDataFrame(data, "id long, ts timestamp_ntz, x double")
+    got = {r["id"]: r["x_sum_120s"] for r in trailing_sum(df, "ts", ["x"], 120, spread=["id"]).collect()}
+    assert [got[i] for i in (0, 1, 2, 3, 4, 6)] == [1e15, 0.125, 0.375, float("inf"), 2.0, 7.0] and got[5] != got[5]
+    assert trailing_sum(df.where("id < 0"), "ts", ["x"]).count() == 0
+
+
+def test_no_task_of_a_trailing_sum_has_a_large_share(spark):
+    """8,000 instants within one window over 8 ranges: every range written has about an eighth of them."""
+    start = dt.datetime(2024, 1, 1)
+    df = spark.range(8000).select("id", (F.lit(start).cast("timestamp_ntz") + F.make_dt_interval(
+        secs=F.col("id") / 100)).alias("ts"), F.lit(1.0).alias("x"))
+    made = []
+    keep = OrderedRows.__init__
+
+    def noted(self, *args, **kwargs):
+        keep(self, *args, **kwargs)
+        made.append(self)
+
+    OrderedRows.__init__ = noted
+    try:
+        out = trailing_sum(df, "ts", ["x"], 120, spread=["id"], buckets=8)
+        assert out.agg(F.sum("x_sum_120s")).first()[0] == sum(range(1, 8001))
+    finally:
+        OrderedRows.__init__ = keep
+    assert len(made) == 2
+    for ranges in made:
+        sizes = [r["count"] for r in ranges.rows.groupBy("_bucket").count().collect()]
+        assert len(sizes) == 8 and max(sizes) < 0.2 * sum(sizes)

@@ -8,12 +8,14 @@ ever holds more than one range.
 
 from __future__ import annotations
 
+import math
 from collections import defaultdict
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import IntegerType, StructField, StructType
+from pyspark.sql.types import DataType, DecimalType, DoubleType, FloatType, IntegerType, StructField, StructType
 from pyspark.sql.window import Window, WindowSpec
 
 from weft.operators.skew import attach, key_profiles, same_keys
@@ -161,23 +163,86 @@ class OrderedRows:
         return out.select(*kept, *[F.coalesce(f"_f_{c}", f"_c_{c}").alias(name.format(c=c)) for c in columns])
 
 
+# Bits of the whole numbers that doubles are summed as.
+_FIXED_BITS = 62
+
+
+@dataclass(frozen=True)
+class _Exact:
+    """A column as parts whose sums are exact, so that the difference of two running sums is the sum between them.
+
+    Doubles become whole multiples of a power of two, the largest with ``_FIXED_BITS`` bits; what is not a finite
+    number is counted.
+    """
+
+    column: str
+    kind: DataType
+    shift: int = 0
+
+    @classmethod
+    def of(cls, df: DataFrame, columns: Sequence[str]) -> list[_Exact]:
+        """The form of each column, after one pass for the largest doubles."""
+        kinds = {c: df.schema[c].dataType for c in columns}
+        real = [c for c, k in kinds.items() if isinstance(k, (FloatType, DoubleType))]
+        found = df.agg(*[F.max(F.when(F.abs(c) < float("inf"), F.abs(c))).cast("double").alias(c) for c in real]
+                       ).first() if real else {}
+        # a power that a double holds, whatever the largest value
+        shift = {c: min(_FIXED_BITS - math.frexp(found[c] or 1.0)[1], 1000) for c in real}
+        return [cls(c, k, shift.get(c, 0)) for c, k in kinds.items()]
+
+    def parts(self) -> dict[str, Column]:
+        c = F.col(self.column)
+        out = {"n": F.when(c.isNotNull(), 1).otherwise(0).cast("decimal(38,0)")}
+        if isinstance(self.kind, (FloatType, DoubleType)):
+            c = c.cast("double")
+            finite = F.abs(c) < float("inf")
+            out["s"] = F.when(finite, F.rint(c * 2.0 ** self.shift).cast("bigint").cast("decimal(38,0)")).otherwise(0)
+            for name, value in (("nan", float("nan")), ("up", float("inf")), ("down", float("-inf"))):
+                out[name] = F.when(c == F.lit(value), 1).otherwise(0).cast("decimal(38,0)")
+        else:
+            scale = self.kind.scale if isinstance(self.kind, DecimalType) else 0
+            out["s"] = F.coalesce(c.cast(f"decimal(38,{scale})"), F.lit(0).cast(f"decimal(38,{scale})"))
+        return {f"_{name}_{self.column}": e for name, e in out.items()}
+
+    def value(self, part: Callable[[str], Column]) -> Column:
+        """The sum from the sums of the parts; null where no value took part."""
+        def at(name: str) -> Column:
+            return part(f"_{name}_{self.column}")
+
+        if isinstance(self.kind, (FloatType, DoubleType)):
+            total = at("s").cast("double") * 2.0 ** -self.shift
+            odd = (at("nan") > 0) | ((at("up") > 0) & (at("down") > 0))
+            total = F.when(odd, float("nan")).when(at("up") > 0, float("inf")).when(at("down") > 0, float("-inf")).otherwise(total)
+        else:
+            total = at("s") if isinstance(self.kind, DecimalType) else at("s").cast("bigint")
+        return F.when(at("n") > 0, total)
+
+
 def trailing_sum(df: DataFrame, time_col: str, columns: Sequence[str], seconds: int = 120,
-                 name: str = "{c}_sum_{s}s", spread: Sequence[str] | None = None) -> DataFrame:
+                 name: str = "{c}_sum_{s}s", spread: Sequence[str] | None = None, buckets: int | None = None) -> DataFrame:
     """Sum of each column over the ``seconds`` up to and including the row's time, over all rows.
 
-    Rows are summed per instant first, so an instant shared by very many rows is one row in the window.
-    Each instant is then put into its own slot and the next one; a window never spans more than two.
+    Rows are summed per instant first, so an instant shared by very many rows is one row of what follows. The sum of
+    a stretch of time is the running sum at its end less the one before its start, which a look-up along the time order
+    finds. Both run over ranges of equally many instants: no task's share depends on how many fall into ``seconds``.
+    Running sums are kept exact (whole numbers of a fixed unit), so nothing is lost in the difference. Rows without a time have no sum.
     """
     micros = seconds * 1_000_000
     rows = df.withColumn("_us", epoch_micros(F.col(time_col)))
-    instants = rows.groupBy("_us").agg(*[F.sum(c).alias(f"_i_{c}") for c in columns])
-    slot = F.floor(F.col("_us") / F.lit(micros))
-    spread_out = instants.withColumn("_slot", F.explode(F.array(slot, slot + 1)))
-    w = Window.partitionBy("_slot").orderBy("_us").rangeBetween(-micros, 0)
-    sums = spread_out.select("*", *[F.sum(f"_i_{c}").over(w).alias(name.format(c=c, s=seconds))
-                                    for c in columns])
-    sums = sums.where(slot == F.col("_slot")).select(
-        "_us", *[name.format(c=c, s=seconds) for c in columns])
+    exact = _Exact.of(df, columns)
+    parts = {n: e for x in exact for n, e in x.parts().items()}
+    instants = rows.where("_us is not null").groupBy("_us").agg(*[F.sum(e).alias(n) for n, e in parts.items()])
+    ends = OrderedRows(instants, [], ["_us"], buckets).running_sum(list(parts), "_run{c}").select(
+        "_us", *[F.col(f"_run{n}").alias(n) for n in parts])
+    # one line of instants and of the times just before each window; the latest instant's running sum is carried on
+    before = [F.col(n).alias(f"_b{n}") for n in parts]
+    line = ends.select(F.col("_us").alias("_at"), F.lit(0).alias("_side"), F.lit(None).cast("bigint").alias("_of"), *before).unionByName(
+        ends.select((F.col("_us") - micros - 1).alias("_at"), F.lit(1).alias("_side"), F.col("_us").alias("_of")),
+        allowMissingColumns=True)
+    found = OrderedRows(line, [], ["_at", "_side"], buckets).forward_fill([f"_b{n}" for n in parts]).where("_side = 1")
+    both = ends.join(found.select(F.col("_of").alias("_us"), *[f"_b{n}" for n in parts]), "_us")
+    sums = both.select("_us", *[
+        x.value(lambda n: F.col(n) - F.coalesce(F.col(f"_b{n}"), F.lit(0))).alias(name.format(c=x.column, s=seconds)) for x in exact])
     return attach(rows, sums, ["_us"], key_profiles(rows, [("_us",)])[("_us",)], spread=spread).drop("_us")
 
 
