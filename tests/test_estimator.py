@@ -6,7 +6,8 @@ import random
 import pytest
 
 from weft.operators.merge import merge_graph
-from weft.operators.model import auc
+from weft.operators.model import FEATURES, TreeParams, assemble, auc, train, train_until
+from weft.operators.sampling import in_validation
 from weft.plans.estimator import RelationalModel
 from weft.plans.features import engineer
 from weft.sources.tables import CAT, MULTI_CAT, NUM, TIME, Relation, TableSet, TableSpec
@@ -63,6 +64,24 @@ def test_key_categories_take_part_in_pair_screening(tables, monkeypatch):
     assert {"u", "c"} <= set(seen)
 
 
+def test_boosting_stops_by_the_validation_rows(spark):
+    """A step in one column, with labels flipped at random: the rounds after the first few only fit the noise."""
+    r = random.Random(5)
+    rows = [(i, x, r.random(), int((x > 0.5) != (r.random() < 0.3))) for i, x in ((i, r.random()) for i in range(1500))]
+    df = spark.createDataFrame(rows, "id long, a double, b double, label int")
+    vectors = materialize(assemble(df, ["a", "b"], ["id", "label"]), "vectors")
+    fit = train_until(vectors, "id", "label", TreeParams(stepSize=0.5), rounds=40, share=0.3)
+    assert fit.stopped and 1 <= fit.rounds < 40 and fit.model.getNumTrees == fit.rounds == len(fit.losses)
+    assert fit.losses[-1] == min(fit.losses)
+    # the same rounds without a stop: the next one is no better on the rows held out
+    part = in_validation("id", 0.3, 1)
+    longer = train(vectors.where(~part), "label", TreeParams(stepSize=0.5), rounds=fit.rounds + 1)
+    losses = longer.evaluateEachIteration(vectors.where(part).select(vectors.label.cast("double").alias("label"), FEATURES))
+    assert losses[-1] >= losses[-2] - 1e-9
+    whole = train_until(vectors, "id", "label", rounds=3, share=0.0)
+    assert whole.rounds == 3 and not whole.stopped and whole.losses == ()
+
+
 def test_misuse_is_refused(tables):
     with pytest.raises(ValueError):
         RelationalModel().predict(tables.tables["main"])

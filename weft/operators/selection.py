@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weft.operators.model import ROUNDS, TRIALS, TreeParams, assemble, importance_table, train, tune
+from weft.operators.model import ROUNDS, TRIALS, TreeParams, assemble, importance_table, train, train_until, tune
 from weft.operators.profile import collinear, missing_fractions, single_unique
 from weft.operators.sampling import tuning_sample
 from weft.sources.workspace import materialize
@@ -19,10 +19,11 @@ TUNING_PART = 6
 
 def importance_select(df: DataFrame, columns: Sequence[str], row_id: str, label: str, *,
                       max_features: int | None = None, rounds: int = ROUNDS, trials: int = TRIALS,
-                      seed: int = 1) -> tuple[list[str], DataFrame]:
+                      seed: int = 1, stop_share: float | None = None) -> tuple[list[str], DataFrame]:
     """Keep columns of more than mean importance in a fit on all rows, then the same again among the rest.
 
-    Returns the kept columns, best round first, and the table (round, feature, importance, kept).
+    With ``stop_share`` that part of the rows is not fitted and ends each fit (see ``train_until``). Returns the kept columns, best round first, and the
+    table (round, feature, importance, kept, rounds): ``rounds`` are the boosting rounds that the fit took.
     """
     base = materialize(df.select(row_id, label, *columns), "selection")
     params = TreeParams()
@@ -33,16 +34,18 @@ def importance_select(df: DataFrame, columns: Sequence[str], row_id: str, label:
     for i in range(SELECTION_ROUNDS):
         if not left:
             break
-        model = train(assemble(base, left, [row_id, label]), label, params, rounds, seed)
+        vectors = assemble(base, left, [row_id, label])
+        model = (train(vectors, label, params, rounds, seed) if stop_share is None
+                 else train_until(vectors, row_id, label, params, rounds, stop_share, seed=seed).model)
         weight = dict(zip(left, map(float, model.featureImportances.toArray()), strict=True))
         mean = sum(weight.values()) / len(weight)
         best = sorted((c for c in left if weight[c] > mean), key=lambda c: (-weight[c], c))
-        record += [(i + 1, c, weight[c], c in best) for c in left]
+        record += [(i + 1, c, weight[c], c in best, model.getNumTrees) for c in left]
         kept += best
         left = [c for c in left if c not in best]
     if max_features is not None:
         kept = kept[:max_features]
-    table = df.sparkSession.createDataFrame(record, "round int, feature string, importance double, kept boolean")
+    table = df.sparkSession.createDataFrame(record, "round int, feature string, importance double, kept boolean, rounds int")
     return kept, table
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from weft.operators.clean import take_split, union_split
 from weft.operators.merge import merge_graph
-from weft.operators.model import ROUNDS, TRIALS, assemble, ensemble_score, train_ensemble
+from weft.operators.model import ROUNDS, STOP_SHARE, TRIALS, assemble, ensemble_score, train_ensemble
 from weft.operators.sampling import class_counts, skew_sample
 from weft.operators.selection import importance_select
 from weft.plans.features import FeatureFrame, engineer
@@ -37,6 +37,7 @@ class RelationalModel:
     fill: str = "before"
     fit_scope: str = "all"
     seed: int = 1
+    stop_share: float = STOP_SHARE
     tables: TableSet | None = None
     models: list[GBTClassificationModel] = field(default_factory=list)
     selected: list[str] = field(default_factory=list)
@@ -72,12 +73,12 @@ class RelationalModel:
         sampled: FeatureFrame = engineer(part, t, keep, label=t.label)
         self.selected, self.importances = importance_select(
             sampled.df, sampled.features, t.row_id, t.label, max_features=self.max_features,
-            rounds=self.rounds, trials=self.trials, seed=self.seed)
+            rounds=self.rounds, trials=self.trials, seed=self.seed, stop_share=self.stop_share)
         scope = F.col("split") == "train" if self.fit_scope == "train" else None
         full = engineer(merged, t, keep, pairs=sampled.pairs, selected=set(self.selected), scope=scope)
         chosen = [c for c in self.selected if c in full.features]
         rows = take_split(full.df, "train").withColumn(t.label, F.col(t.label).cast("int"))
         self.models = train_ensemble(rows, chosen, t.row_id, t.label, self.n_models, self.rounds, self.trials,
-                                     self.seed)
+                                     self.seed, stop_share=self.stop_share)
         vectors = assemble(take_split(full.df, "test"), chosen, [t.row_id])
         return ensemble_score(vectors, self.models, t.row_id)
