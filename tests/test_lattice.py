@@ -8,8 +8,18 @@ from plans import plan_of
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from weft.operators.grouped import _AGGS, add_group_features, count_of, mode_of, nunique_of, stats_of
+from weft.operators.grouped import (
+    _AGGS,
+    add_group_features,
+    count_of,
+    fit_group_features,
+    load_group_features,
+    mode_of,
+    nunique_of,
+    stats_of,
+)
 from weft.operators.lattice import Lattice, Statistic
+from weft.operators.pairs import PairFeature, PairState
 
 PATHS = {"broadcast": {}, "mixed": {"broadcast_keys": 8}, "joined": {"broadcast_keys": 0, "hot_rows": 10**9},
          "hot": {"broadcast_keys": 0, "hot_rows": 5}}
@@ -133,3 +143,39 @@ def test_one_broadcast_for_all_key_sets(typed, capsys):
     assert final.count("BroadcastHashJoin") == 10
     assert final.count("ReusedExchange") == 9
     assert "Exchange hashpartitioning" not in final
+
+
+def test_saved_statistics_do_not_depend_on_the_batch(typed, spark, tmp_path):
+    df, _ = typed
+    features = [count_of("k"), count_of("d", "s"), nunique_of("b", "w"), mode_of("s", "d"), *stats_of("k", "x", ("sum", "mean"))]
+    names = ["id", *[f.name for f in features]]
+    fit_group_features(df.where("id < 300"), features).save(str(tmp_path / "state"))
+    state = load_group_features(spark, str(tmp_path / "state"))
+    whole = state.put_on(df).select(names)
+    assert whole.schema.simpleString() == add_group_features(
+        df, features, over=df.where("id < 300")).select(names).schema.simpleString()
+    batches = [state.put_on(df.where(f"id % 3 = {i}"), broadcast_keys=b).select(names) for i, b in ((0, 10**5), (1, 0), (2, 5))]
+    joined = batches[0].unionByName(batches[1]).unionByName(batches[2])
+    rows = lambda d: sorted(map(repr, d.collect()))
+    assert rows(joined) == rows(whole) == rows(add_group_features(df, features, over=df.where("id < 300")).select(names))
+    # rows of another type meet the values of the fit
+    narrow = df.where("k < 1000").withColumn("k", F.col("k").cast("int"))
+    assert rows(state.put_on(narrow).select(names)) == rows(state.put_on(df.where("k < 1000")).select(names))
+    wide = df.where("s = 'a'").withColumn("s", F.lit("a").cast("string")).withColumn("k", F.col("k").cast("string"))
+    assert rows(state.put_on(wide).select(names)) == rows(state.put_on(df.where("s = 'a'")).select(names))
+
+
+def test_pair_state_counts_unseen_values_as_none(typed, spark, tmp_path):
+    df, rows = typed
+    features = [PairFeature("count", "s"), PairFeature("ratio", "s", "b"), PairFeature("nunique", "k", "s"),
+                PairFeature("per_nunique", "k", "b")]
+    PairState.fit(df.where("id < 20"), features).save(str(tmp_path / "pairs"))
+    state = PairState.load(spark, str(tmp_path / "pairs"))
+    assert state.features == tuple(features)
+    early = ["0" if r[2] is None else r[2] for r in rows[:20]]
+    for r in state.transform(df).collect():
+        own = "0" if r["s"] is None else r["s"]
+        assert r["fe_count__s"] == early.count(own)
+    assert state.transform(df.where("id < 0")).count() == 0
+    PairState.fit(df, []).save(str(tmp_path / "none"))
+    assert PairState.load(spark, str(tmp_path / "none")).transform(df).columns == df.columns

@@ -10,10 +10,10 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weft.operators.lattice import Statistic, add_statistics
+from weft.operators.lattice import FittedStatistics, Statistic, add_statistics
 from weft.operators.skew import BROADCAST_KEYS, HOT_ROWS, KeyProfile, attach, key_profiles
 from weft.sources.tables import NUM, tagged
 
@@ -99,6 +99,15 @@ def add_group_features(rows: DataFrame, features: Sequence[GroupFeature],
     return out.select(*rows.columns, *[f.name for f in features])
 
 
+def fit_group_features(rows: DataFrame, features: Sequence[GroupFeature]) -> FittedStatistics:
+    """The features' statistics on ``rows``, to be put on other rows; see ``FittedStatistics``."""
+    return FittedStatistics.fit(rows, [Statistic(f.name, f.keys, f.fn, f.value) for f in features], _AGGS)
+
+
+def load_group_features(spark: SparkSession, path: str) -> FittedStatistics:
+    return FittedStatistics.load(spark, path, _AGGS)
+
+
 def group_mean_deviation(rows: DataFrame, key: str, values: Sequence[str],
                          spread: Sequence[str] | None = None) -> DataFrame:
     """Group mean of each value and the row's deviation from it."""

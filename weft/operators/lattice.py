@@ -13,11 +13,12 @@ of the rows go by broadcast.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Sequence
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -53,8 +54,10 @@ class Statistic:
 
 def text_of(df: DataFrame, column: str, name: str | None = None) -> Column:
     """The string by which equal values of a column meet, now under ``name``; both zeros are one."""
-    kind = df.schema[column].dataType
-    c = F.col(name or column)
+    return _text(F.col(name or column), df.schema[column].dataType)
+
+
+def _text(c: Column, kind: T.DataType) -> Column:
     if isinstance(kind, (T.FloatType, T.DoubleType)):
         c = c + F.lit(0).cast(kind)
     return c if isinstance(kind, T.StringType) else c.cast("string")
@@ -67,7 +70,7 @@ def _key(slot: Column, parts: Sequence[Column]) -> Column:
 
 
 class Lattice:
-    """The key sets of some statistics and how each is answered."""
+    """The key sets of some statistics and how each is answered; ``source`` may have no rows left when they are only read."""
 
     def __init__(self, source: DataFrame, stats: Sequence[Statistic], aggregates: dict) -> None:
         self.source, self.stats, self.aggregates = source, list(stats), aggregates
@@ -205,11 +208,47 @@ def attach_weighted(rows: DataFrame, table: DataFrame, keys: Sequence[str], weig
     return done.select(*rows.columns, F.coalesce("_hv", "_cv").alias(out))
 
 
+@dataclass(frozen=True)
+class FittedStatistics:
+    """Statistics as a written table: what the rows of a fit say, to be put on any rows, in any number of batches."""
+
+    lattice: Lattice
+    table: DataFrame
+
+    @classmethod
+    def fit(cls, rows: DataFrame, stats: Sequence[Statistic], aggregates: dict) -> FittedStatistics:
+        lattice = Lattice(rows, stats, aggregates)
+        return cls(lattice, materialize(lattice.table(), "statistics"))
+
+    def save(self, path: str) -> None:
+        """Write the table, the statistics and the columns' types below a folder."""
+        used = [c for c in self.lattice.source.columns if c in self.lattice.columns or c in {
+            v for _, v in self.lattice.moments}]
+        spec = json.dumps({"stats": [[s.name, list(s.keys), s.fn, s.value] for s in self.lattice.stats],
+                           "schema": json.loads(self.lattice.source.select(*used).schema.json())})
+        self.table.write.parquet(f"{path}/table")
+        self.table.sparkSession.createDataFrame([(spec,)], "value string").coalesce(1).write.text(f"{path}/spec")
+
+    @classmethod
+    def load(cls, spark: SparkSession, path: str, aggregates: dict) -> FittedStatistics:
+        spec = json.loads(spark.read.text(f"{path}/spec").first()[0])
+        stats = [Statistic(n, tuple(k), fn, v) for n, k, fn, v in spec["stats"]]
+        source = spark.createDataFrame([], T.StructType.fromJson(spec["schema"]))
+        return cls(Lattice(source, stats, aggregates), spark.read.parquet(f"{path}/table"))
+
+    def put_on(self, rows: DataFrame, *, broadcast_keys: int = BROADCAST_KEYS, hot_rows: int = HOT_ROWS) -> DataFrame:
+        """``rows`` with every statistic as a column; null keys meet null keys, and keys of no row have nulls."""
+        return _put_on(rows, self.lattice, self.table, broadcast_keys, hot_rows)
+
+
 def add_statistics(rows: DataFrame, stats: Sequence[Statistic], aggregates: dict, *, over: DataFrame | None = None,
                    broadcast_keys: int = BROADCAST_KEYS, hot_rows: int = HOT_ROWS) -> DataFrame:
     """``rows`` with every statistic as a column, taken over ``over`` or the rows themselves; null keys meet null keys."""
-    lattice = Lattice(rows if over is None else over, stats, aggregates)
-    table = materialize(lattice.table(), "statistics")
+    fitted = FittedStatistics.fit(rows if over is None else over, stats, aggregates)
+    return fitted.put_on(rows, broadcast_keys=broadcast_keys, hot_rows=hot_rows)
+
+
+def _put_on(rows: DataFrame, lattice: Lattice, table: DataFrame, broadcast_keys: int, hot_rows: int) -> DataFrame:
     chars = ROW_CHARS + F.length("key") + F.coalesce(F.aggregate("vals", F.lit(0), lambda a, v: a + 24 + F.coalesce(
         F.length(v["v"]), F.lit(0))), F.lit(0))
     sizes = sorted((r["count"], r["slot"], r["chars"], r["rows"]) for r in table.groupBy("slot").agg(
@@ -221,7 +260,7 @@ def add_statistics(rows: DataFrame, stats: Sequence[Statistic], aggregates: dict
         small, room = [*small, slot], room - size
     present = {slot for _, slot, _, _ in sizes}
     large = [slot for slot in range(len(lattice.slots)) if slot not in small and slot in present]
-    keys = {i: _key(F.lit(i), [text_of(rows, c) for c in lattice.slots[i]]) for i in (*small, *large)}
+    keys = {i: _key(F.lit(i), [_as_fitted(rows, lattice, c) for c in lattice.slots[i]]) for i in (*small, *large)}
     found: dict[int, Column] = {}
 
     out = rows
@@ -236,7 +275,8 @@ def add_statistics(rows: DataFrame, stats: Sequence[Statistic], aggregates: dict
             found[i] = F.col(f"_s{i}")
     if large:
         used = sorted({c for i in large for c in lattice.slots[i]})
-        ids = [F.xxhash64(F.lit(seed), *[text_of(rows, c) for c in used], *[F.col(c).isNull() for c in used]).alias(f"_id{seed}")
+        texts = [_as_fitted(rows, lattice, c) for c in used]
+        ids = [F.xxhash64(F.lit(seed), *texts, *[t.isNull() for t in texts]).alias(f"_id{seed}")
                for seed in (1, 2)]
         out = out.select("*", *ids)
         # each distinct combination of values asks once; 128 bits tell combinations apart
@@ -256,6 +296,14 @@ def add_statistics(rows: DataFrame, stats: Sequence[Statistic], aggregates: dict
          else F.lit(None).cast(_type(lattice, s))).alias(s.name) for s in lattice.stats])
 
 
+def _as_fitted(rows: DataFrame, lattice: Lattice, column: str) -> Column:
+    """The text of a column of the rows in the type it had in the fit."""
+    kind = lattice.source.schema[column].dataType
+    if rows.schema[column].dataType == kind:
+        return text_of(rows, column)
+    return _text(F.col(column).try_cast(kind.simpleString()), kind)
+
+
 def _type(lattice: Lattice, stat: Statistic) -> T.DataType:
     """The type of a statistic of no rows."""
     if stat.fn in ("count", "nunique"):

@@ -7,14 +7,16 @@ and never put on the rows; only the accepted ones are.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Sequence
 from dataclasses import dataclass
 from itertools import combinations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weft.operators.grouped import GroupFeature, add_group_features
+from weft.operators.grouped import GroupFeature, add_group_features, fit_group_features, load_group_features
+from weft.operators.lattice import FittedStatistics
 from weft.operators.scoring import BINS, bin_counts, hellinger, hellinger_scores, mutual_information
 from weft.operators.skew import BROADCAST_KEYS
 from weft.sources.tables import NUM, tagged
@@ -168,34 +170,81 @@ class PairFeatureModel:
         return add_pair_features(df, chosen, spread, scope=scope, broadcast_keys=broadcast_keys)
 
 
-def add_pair_features(df: DataFrame, features: Sequence[PairFeature], spread: Sequence[str] | None = None,
-                      *, scope: Column | None = None, broadcast_keys: int = BROADCAST_KEYS) -> DataFrame:
-    """Add pair features to the rows, counted on the rows in ``scope`` if given; null counts as the value 0."""
-    columns = sorted({c for f in features for c in (f.a, f.b) if c is not None})
-    text = {c: f"_fe{i}" for i, c in enumerate(columns)}
-    rows = df.select("*", *[_zero_if_null(c).alias(t) for c, t in text.items()])
-    needed: dict[tuple, GroupFeature] = {}
-
-    def use(fn: str, *cols: str) -> Column:
+class _Plan:
+    """What pair features need: the columns as text, the group statistics of those, and an expression for each feature."""
+
+    def __init__(self, features: Sequence[PairFeature]) -> None:
+        self.text = {c: f"_fe{i}" for i, c in enumerate(sorted({c for f in features for c in (f.a, f.b) if c is not None}))}
+        self.needed: dict[tuple, GroupFeature] = {}
+        self.out: list[tuple[str, Column]] = []
+        for f in features:
+            if f.kind == "count":
+                c = self._use("count", f.a, f.b) if f.b else self._use("count", f.a)
+                self.out.append((f.name, c.cast("double")))
+            elif f.kind == "ratio":
+                self.out.append((f.name, count_ratio(self._use("count", f.a, f.b), self._use("count", f.a))))
+            elif f.kind == "per_nunique":
+                self.out.append((f.name, count_per_nunique(self._use("count", f.a), self._use("nunique", f.a, f.b))))
+            elif f.kind == "nunique":
+                self.out.append((f.name, self._use("nunique", f.a, f.b).cast("double")))
+            else:
+                raise ValueError(f"unknown pair feature {f.kind!r}")
+
+    def _use(self, fn: str, *cols: str) -> Column:
         """The column of a group statistic, shared by the features that need it."""
         keys, value = (cols[:1], cols[1]) if fn == "nunique" else (tuple(sorted(cols)), None)
-        f = needed.setdefault((fn, keys, value), GroupFeature(f"_g{len(needed)}", tuple(text[k] for k in keys), fn,
-                                                              text[value] if value else None))
+        f = self.needed.setdefault((fn, keys, value), GroupFeature(
+            f"_g{len(self.needed)}", tuple(self.text[k] for k in keys), fn, self.text[value] if value else None))
         return F.col(f.name)
 
-    out: list[tuple[str, Column]] = []
-    for f in features:
-        if f.kind == "count":
-            c = use("count", f.a, f.b) if f.b else use("count", f.a)
-            out.append((f.name, c.cast("double")))
-        elif f.kind == "ratio":
-            out.append((f.name, count_ratio(use("count", f.a, f.b), use("count", f.a))))
-        elif f.kind == "per_nunique":
-            out.append((f.name, count_per_nunique(use("count", f.a), use("nunique", f.a, f.b))))
-        elif f.kind == "nunique":
-            out.append((f.name, use("nunique", f.a, f.b).cast("double")))
-        else:
-            raise ValueError(f"unknown pair feature {f.kind!r}")
+    def rows(self, df: DataFrame) -> DataFrame:
+        return df.select("*", *[_zero_if_null(c).alias(t) for c, t in self.text.items()])
+
+    def finish(self, wide: DataFrame, columns: Sequence[str]) -> DataFrame:
+        return wide.select(*columns, *[tagged(c, n, NUM, "", origin="pair") for n, c in self.out])
+
+
+def add_pair_features(df: DataFrame, features: Sequence[PairFeature], spread: Sequence[str] | None = None,
+                      *, scope: Column | None = None, broadcast_keys: int = BROADCAST_KEYS) -> DataFrame:
+    """Add pair features to the rows, counted on the rows in ``scope`` if given; null counts as the value 0."""
+    plan = _Plan(features)
+    rows = plan.rows(df)
     over = None if scope is None else rows.where(scope)
-    wide = add_group_features(rows, list(needed.values()), spread, over=over, broadcast_keys=broadcast_keys)
-    return wide.select(*df.columns, *[tagged(c, n, NUM, "", origin="pair") for n, c in out])
+    wide = add_group_features(rows, list(plan.needed.values()), spread, over=over, broadcast_keys=broadcast_keys)
+    return plan.finish(wide, df.columns)
+
+
+@dataclass(frozen=True)
+class PairState:
+    """Pair features with the frequencies of the rows they were fitted on, in written tables.
+
+    A row's features depend on that state and on the row alone: rows may come in any batches. A value that the fit has not
+    seen has a count of 0.
+    """
+
+    features: tuple[PairFeature, ...]
+    statistics: FittedStatistics | None
+
+    @classmethod
+    def fit(cls, df: DataFrame, features: Sequence[PairFeature]) -> PairState:
+        plan = _Plan(features)
+        return cls(tuple(features), fit_group_features(plan.rows(df), list(plan.needed.values())) if features else None)
+
+    def save(self, path: str) -> None:
+        spec = json.dumps([[f.kind, f.a, f.b] for f in self.features])
+        SparkSession.active().createDataFrame([(spec,)], "value string").coalesce(1).write.text(f"{path}/features")
+        if self.statistics is not None:
+            self.statistics.save(f"{path}/statistics")
+
+    @classmethod
+    def load(cls, spark: SparkSession, path: str) -> PairState:
+        features = tuple(PairFeature(*f) for f in json.loads(spark.read.text(f"{path}/features").first()[0]))
+        return cls(features, load_group_features(spark, f"{path}/statistics") if features else None)
+
+    def transform(self, df: DataFrame, *, broadcast_keys: int = BROADCAST_KEYS) -> DataFrame:
+        """Add the features to the rows of a batch."""
+        if self.statistics is None:
+            return df
+        plan = _Plan(self.features)
+        wide = self.statistics.put_on(plan.rows(df), broadcast_keys=broadcast_keys)
+        return plan.finish(wide.fillna(0, [f.name for f in plan.needed.values()]), df.columns)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,9 +14,10 @@ from weft.operators.encode import encode_prefixes
 from weft.operators.grouped import add_group_features, group_mean_deviation
 from weft.operators.merge import join_to_one, merge_graph
 from weft.operators.ordered import OrderedRows
-from weft.operators.pairs import PairFeature, add_pair_features
+from weft.operators.pairs import PairFeature, PairState, add_pair_features
 from weft.queries import fixtures as X
 from weft.sources.tables import CAT, columns_of, tag_table
+from weft.sources.workspace import shared_folder
 
 ROW = ["o_orderkey"]
 
@@ -180,6 +182,46 @@ def fe_transform(spark: SparkSession, sf: str) -> DataFrame:
     return _pairs(spark, sf, FE_LIST)
 
 
+#: Orders before this date are what the state is fitted on.
+REPLAY_CUT = "1999-01-01"
+
+
+def fe_replay(spark: SparkSession, sf: str) -> DataFrame:
+    """Features fitted on the early orders, saved, loaded, and put on all orders in two batches."""
+    m = _merged(spark, sf)
+    path = f"{shared_folder(spark)}/weft/pair-state-{uuid.uuid4().hex}"
+    PairState.fit(m.where(F.col("o_orderdate") < F.lit(REPLAY_CUT)), FE_LIST).save(path)
+    state = PairState.load(spark, path)
+    odd, even = (state.transform(m.where(F.col("o_orderkey") % 2 == part)) for part in (1, 0))
+    return odd.unionByName(even).select("o_orderkey", *[f.name for f in FE_LIST])
+
+
+def _replay_sql() -> str:
+    """Counts over the early orders, 0 for values that they do not have."""
+    early = f"e AS (SELECT * FROM m WHERE o_orderdate < TIMESTAMP '{REPLAY_CUT} 00:00:00')"
+    ctes, joins, cols = [_M, early], "", ["m.o_orderkey"]
+    for i, f in enumerate(FE_LIST):
+        a, b = f.a, f.b
+        if f.kind in ("nunique", "per_nunique"):
+            ctes.append(f"t{i} AS (SELECT {a}, count(*) AS n, count(DISTINCT {b}) AS u FROM e GROUP BY {a})")
+            joins += f" LEFT JOIN t{i} ON m.{a} IS NOT DISTINCT FROM t{i}.{a}"
+            value = f"coalesce(t{i}.u, 0)"
+            cols.append((f"CAST({value} AS DOUBLE)" if f.kind == "nunique"
+                         else f"coalesce(t{i}.n, 0) / ({value} + CAST(0.01 AS DOUBLE))") + f" AS {f.name}")
+            continue
+        ctes.append(f"t{i} AS (SELECT {a}, count(*) AS n FROM e GROUP BY {a})")
+        joins += f" LEFT JOIN t{i} ON m.{a} IS NOT DISTINCT FROM t{i}.{a}"
+        if b is None:
+            cols.append(f"CAST(coalesce(t{i}.n, 0) AS DOUBLE) AS {f.name}")
+            continue
+        ctes.append(f"p{i} AS (SELECT {a}, {b}, count(*) AS n FROM e GROUP BY {a}, {b})")
+        joins += f" LEFT JOIN p{i} ON m.{a} IS NOT DISTINCT FROM p{i}.{a} AND m.{b} IS NOT DISTINCT FROM p{i}.{b}"
+        pair = f"coalesce(p{i}.n, 0)"
+        cols.append((f"CAST({pair} AS DOUBLE)" if f.kind == "count"
+                     else f"{pair} / (coalesce(t{i}.n, 0) + CAST(0.01 AS DOUBLE))") + f" AS {f.name}")
+    return f"WITH {', '.join(ctes)} SELECT {', '.join(cols)} FROM m{joins}"
+
+
 def fe_cumcount(spark: SparkSession, sf: str) -> DataFrame:
     """Position of each order among those of its priority, by row id: five long groups."""
     o = X.orders(spark, sf).select("o_orderkey", "o_orderpriority")
@@ -283,6 +325,7 @@ QUERIES = {
     "fe_count_per_nunique": (fe_count_per_nunique, _fe_sql(
         [PairFeature("per_nunique", _C, _B), PairFeature("per_nunique", "o_custkey", _A)])),
     "fe_transform": (fe_transform, _fe_sql(FE_LIST)),
+    "fe_replay": (fe_replay, _replay_sql()),
     "fe_cumcount": (fe_cumcount, """SELECT o_orderkey, o_orderpriority, CAST(row_number() OVER
  (PARTITION BY o_orderpriority ORDER BY o_orderkey) AS DOUBLE) AS cumcount FROM orders"""),
 }
