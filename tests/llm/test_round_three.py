@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from weft.llm import langid, prefix_trie, whitening
+from weft.llm import langid, mixing, prefix_trie, whitening
 from weft.llm.workers import ship
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -237,3 +237,20 @@ def test_one_language(spark):
     docs = ship(spark).createDataFrame([(1, "abc", "aa", None), (2, "xyz", None, None)], DOCS)
     out = langid.predict(docs, langid.train(docs)).collect()
     assert {r["lang_pred"] for r in out} == {"aa"} and all(0 <= r["score"] <= 1 for r in out)
+
+
+# 2 mixing of sources of few documents
+
+def test_no_change_of_one_document_brings_a_small_source_nearer(spark, docs):
+    rng = random.Random(6)
+    rows = [(s * 100 + i, "w " * rng.choice([3, 40, 400, 2000]), f"s{s:02d}") for s in range(12) for i in range(rng.randrange(1, 11))]
+    rows += [(9000 + i, "w " * 7, "s03") for i in range(2)] + [(9000, "w " * 7, "s03"), (9500, None, "s04"), (None, "w w", "s05")]
+    got = mixing.mix_sources(docs(rows)).collect()
+    assert sum(r["n"] for r in got) == len(rows) and all(0 <= r["copies"] <= 2 for r in got)
+    for s in {r["source"] for r in got}:
+        own = [r for r in got if r["source"] == s]
+        target = own[0]["target"]
+        miss = target - sum(r["size"] * r["n"] * r["copies"] for r in own)
+        steps = [d * r["size"] * r["n"] for r in own for d in (-2, -1, 1, 2) if 0 <= r["copies"] + d <= 2]
+        assert abs(miss) <= mixing.TOLERANCE * target or all(abs(miss - a) >= abs(miss) - 1e-9 for a in steps)
+    assert sorted(map(str, got)) == sorted(map(str, mixing.mix_sources(docs(rows[::-1]).repartition(5)).collect()))

@@ -10,6 +10,10 @@ down to the smallest, which alone is rounded by itself. So a source's words miss
 document, or by less than one document where fewer words than it holds are to be left out or added in all; and each document
 has exactly its chance.
 
+A source of few documents can still miss by much. Where it does by more than ``TOLERANCE`` of its target, about ``NEARER`` of
+its documents, chosen by hash, give and take whole copies (0 to ``most`` of each): up to ``EXCHANGES`` times the one change, or the
+two together, that bring the sum of words nearest to the target. There, and only there, chances are not kept exactly.
+
 The randomness is a hash of the document and the level: reruns agree. Rows that repeat doc_id, source and size are one
 document with their words added up, and are all taken alike. Documents without words are not taken.
 """
@@ -26,6 +30,9 @@ from weft.llm.common import attach, materialize, same
 WORD = r"[^\x20\x09-\x0D]+"
 BLOCK = 64
 CLOSING = 512
+NEARER = 64
+EXCHANGES = 4
+TOLERANCE = 0.005
 WEIGHTS = (5, 2, 1)
 SHARE = 1.5
 MOST = 2.0
@@ -178,6 +185,53 @@ def _settle(items: DataFrame, closing: DataFrame, level: int, levels: int, seed:
     return done.unionByName(back.select("source", F.col("left")["id"].alias("id"), "v")), closed
 
 
+def _nearer(state: Column, most: int) -> Column:
+    """The change of one document's copies, or of two documents', after which ``state.r`` words are missing least."""
+    options = F.array(*[F.lit(d) for d in range(-most, most + 1) if d])
+
+    def changes(items: Column) -> Column:
+        own = F.transform(items, lambda x, i: F.transform(
+            F.filter(options, lambda d: (x["c"] + d >= 0) & (x["c"] + d <= most)),
+            lambda d: F.struct(i.alias("i"), d.alias("d"), (d * x["w"]).alias("a"))))
+        return F.flatten(own)
+
+    def outcome(r: Column, number: int, x: Column | None = None, y: Column | None = None) -> Column:
+        none = F.lit(-1), F.lit(0)
+        (xi, xd), (yi, yd) = ((v["i"], v["d"]) if v is not None else none for v in (x, y))
+        return F.struct(F.abs(r).alias("miss"), F.lit(number).alias("number"), xi.alias("i"), xd.alias("d"), yi.alias("j"),
+                        yd.alias("e"), r.alias("r"))
+
+    def best(all_: Column) -> Column:
+        alone = F.transform(all_, lambda x: outcome(state["r"] - x["a"], 1, x))
+        both = F.transform(all_, lambda x: F.array_min(F.transform(
+            F.filter(all_, lambda y: y["i"] > x["i"]), lambda y: outcome(state["r"] - x["a"] - y["a"], 2, x, y))))
+        return F.array_min(F.concat(F.array(outcome(state["r"], 0)), alone, F.filter(both, lambda b: b.isNotNull())))
+
+    def applied(b: Column) -> Column:
+        items = F.transform(state["items"], lambda x, i: x.withField("c", x["c"] + F.when(i == b["i"], b["d"]).when(
+            i == b["j"], b["e"]).otherwise(0)))
+        return F.struct(b["r"].alias("r"), items.alias("items"))
+
+    return _let(_let(changes(state["items"]), best), applied)
+
+
+def _exchange(mixed: DataFrame, most: float, seed: int) -> DataFrame:
+    """Copies of documents of sources that miss their target by more than ``TOLERANCE``: (source, doc_id, size, c)."""
+    missing = mixed.groupBy("source").agg((F.first("target") - F.sum(F.col("size") * F.col("n") * F.col("copies"))).alias("r"),
+                                          F.first("target").alias("_t"))
+    missing = missing.where(F.abs("r") > F.col("_t") * F.lit(TOLERANCE)).select(F.col("source").alias("_s"), "r")
+    u = _uniform(seed, -4, F.col("doc_id"), F.col("size"))
+    given = mixed.where((F.col("size") > 0) & (u * F.col("atoms") < NEARER)).groupBy("source").agg(F.sort_array(F.collect_list(
+        F.struct(u.alias("u"), "doc_id", "size", (F.col("size") * F.col("n")).cast("double").alias("w"),
+                 F.col("copies").cast("int").alias("c")))).alias("items"))
+    both = given.join(missing, same([F.col("source")], [F.col("_s")]))
+    ended = F.aggregate(F.sequence(F.lit(1), F.lit(EXCHANGES)), F.struct(F.col("r"), F.col("items")),
+                        lambda state, _: _nearer(state, int(most)))
+    rows = both.select("source", F.explode(F.arrays_zip(F.col("items"), ended["items"].alias("after"))).alias("x"))
+    changed = rows.where(F.col("x")["items"]["c"] != F.col("x")["after"]["c"])
+    return changed.select("source", *[F.col("x")["after"][c].alias(c) for c in ("doc_id", "size", "c")])
+
+
 def mix_sources(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, most: float = MOST,
                 seed: int = 1) -> DataFrame:
     """Copies of each document from rows (doc_id, source, text).
@@ -211,4 +265,10 @@ def mix_sources(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: fl
     out = planned.join(settled, same([F.col(c) for c in ("source", "doc_id", "size")],
                                      [F.col(c) for c in ("_s", "_d", "_z")]), "left")
     copies = F.when(F.col("size") > 0, F.col("whole") + F.coalesce("v", F.lit(0.0)).cast("long")).otherwise(F.lit(0))
-    return out.select("doc_id", "source", "size", "n", "source_size", "target", copies.cast("long").alias("copies"))
+    mixed = materialize(out.select("doc_id", "source", "size", "n", "source_size", "target", "atoms",
+                                   copies.cast("long").alias("copies")), "mixed")
+    changed = _exchange(mixed, most, seed).select(F.col("source").alias("_s"), F.col("doc_id").alias("_d"),
+                                                  F.col("size").alias("_z"), F.col("c").cast("long").alias("_c"))
+    final = mixed.join(materialize(changed, "exchanged"), same([F.col(c) for c in ("source", "doc_id", "size")],
+                                                               [F.col(c) for c in ("_s", "_d", "_z")]), "left")
+    return final.select("doc_id", "source", "size", "n", "source_size", "target", F.coalesce("_c", "copies").alias("copies"))
