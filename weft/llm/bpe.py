@@ -41,8 +41,9 @@ ROW = 256
 #: Pieces kept per Python worker, about 150 bytes each.
 CACHE = 250_000
 LONG_PIECE = 64
+_SPREAD = 0x9E3779B97F4A7C15
 #: Bytes of text that are cut into pieces at a time.
-CHUNK = 1 << 20
+CHUNK = 1 << 19
 #: Rows that are decoded at a time.
 DECODE_ROWS = 128
 
@@ -155,9 +156,8 @@ class Vocabulary:
         self.single = np.array([self.ranks[bytes([b])] for b in range(256)], np.int64)
         self._forget()
 
-    @cached_property
-    def joins(self) -> dict[int, int]:
-        """Rank by the two ids that make it."""
+    def _joins(self) -> dict[int, int]:
+        """Rank by the two ids that make it; needed only until the table holds it."""
         out = {}
         for piece, rank in self.ranks.items():
             for i in range(1, len(piece)):
@@ -169,23 +169,29 @@ class Vocabulary:
     @cached_property
     def table(self) -> tuple[np.ndarray, np.ndarray, int]:
         """The joins with open addressing: keys, ranks, and how many slots from its own a key may lie."""
+        joins = self._joins()
+        self.bits = max(4, (len(joins) * 4).bit_length())
         held = np.full((1 << self.bits) + 64, -1, np.int64)
-        joined, reach = np.zeros(len(held), np.int64), 1
-        keys = np.array(sorted(self.joins), np.int64)
+        joined, reach = np.zeros(len(held), np.int32), 1
+        keys = np.array(sorted(joins), np.int64)
         for key, slot in zip(keys.tolist(), self._slot(keys).tolist(), strict=True):
             at = slot
             while held[at] >= 0:
                 at += 1
-            held[at], joined[at] = key, self.joins[key]
+            held[at], joined[at] = key, joins[key]
             reach = max(reach, at - slot + 1)
         return held, joined, reach
 
-    @cached_property
-    def bits(self) -> int:
-        return max(4, (len(self.joins) * 4).bit_length())
-
     def _slot(self, key: np.ndarray) -> np.ndarray:
-        return ((key.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)).astype(np.int64)
+        return ((key.astype(np.uint64) * np.uint64(_SPREAD)) >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def _join(self, a: int, b: int) -> int | None:
+        """The rank that two ids make, if they make one."""
+        held, joined, reach = self.table
+        key = a << 32 | b
+        slot = (key * _SPREAD & 0xFFFFFFFFFFFFFFFF) >> (64 - self.bits)
+        hit = np.flatnonzero(held[slot:slot + reach] == key)
+        return int(joined[slot + hit[0]]) if len(hit) else None
 
     def _forget(self) -> None:
         self.place = _Places()
@@ -194,10 +200,10 @@ class Vocabulary:
 
     def _rank(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """Rank of each join; a padded side (-1) makes a key below zero, which no slot of the table holds."""
+        keys, joined, reach = self.table
         key = np.where(right >= 0, left << 32 | right, -2)
         slot = self._slot(key)
         out = np.full(key.shape, np.iinfo(np.int64).max)
-        keys, joined, reach = self.table
         for i in range(reach):
             hit = keys[slot + i] == key
             out[hit] = joined[slot + i][hit]
@@ -237,8 +243,15 @@ class Vocabulary:
         ids = self.single[np.frombuffer(piece, np.uint8)].tolist()
         n = len(ids)
         nxt, prev = [*range(1, n), -1], [-1, *range(n - 1)]
-        joins, alive = self.joins, [True] * n
-        heap = [(r, i, ids[i], ids[i + 1]) for i in range(n - 1) if (r := joins.get(ids[i] << 32 | ids[i + 1])) is not None]
+        alive = [True] * n
+        known: dict[tuple[int, int], int | None] = {}  # long pieces repeat few pairs
+
+        def join(a: int, b: int) -> int | None:
+            if (a, b) not in known:
+                known[a, b] = self._join(a, b)
+            return known[a, b]
+
+        heap = [(r, i, ids[i], ids[i + 1]) for i in range(n - 1) if (r := join(ids[i], ids[i + 1])) is not None]
         heapq.heapify(heap)
         while heap:
             rank, i, a, b = heapq.heappop(heap)
@@ -249,7 +262,7 @@ class Vocabulary:
             if nxt[j] >= 0:
                 prev[nxt[j]] = i
             for x, y in ((prev[i], i), (i, nxt[i])):
-                if x >= 0 and y >= 0 and (r := joins.get(ids[x] << 32 | ids[y])) is not None:
+                if x >= 0 and y >= 0 and (r := join(ids[x], ids[y])) is not None:
                     heapq.heappush(heap, (r, x, ids[x], ids[y]))
         return [ids[i] for i in range(n) if alive[i]]
 
