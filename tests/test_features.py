@@ -14,7 +14,7 @@ from weft.operators import profile as P
 from weft.operators import sampling as S
 from weft.operators import selection as SEL
 from weft.operators.encode import apply_codes, cat_to_long, code_table, combination_codes, encode, encode_prefixes
-from weft.operators.gated import gated_counts, gated_pair_counts
+from weft.operators.gated import gated_counts, gated_pair_counts, search_pair_counts
 from weft.operators.pairs import PairFeature, PairFeatureModel, add_pair_features
 from weft.operators.scoring import hellinger_scores, mutual_info
 
@@ -131,6 +131,20 @@ def test_null_counts_as_zero_in_pair_features(spark):
         (1, 2.0, 1.0), (2, 2.0, 1.0), (3, 1.0, 1.0)]
 
 
+def test_best_first_search_of_pairs(planted):
+    columns, codes = ["a", "b", "c"], ["a_code", "b_code", "c_code"]
+    model, trials = search_pair_counts(planted, columns, codes, "label", threshold=0.0, batch=2)
+    assert [t.turn for t in trials] == [1, 2, 3] and [t.batch for t in trials] == [1, 1, 2]
+    assert [t.expected for t in trials] == sorted((t.expected for t in trials), reverse=True)
+    alone = gated_pair_counts(planted, columns, codes, "label", threshold=0.0)
+    assert {t.feature: t.mi for t in trials if t.accepted} == dict(zip(alone.features, alone.mi, strict=True))
+    assert set(model.features) == set(alone.features)
+    _, few = search_pair_counts(planted, columns, codes, "label", threshold=0.0, batch=2, budget=1)
+    assert few == trials[:1]
+    none, idle = search_pair_counts(planted, columns, codes, "label", threshold=9.0, batch=1, patience=2)
+    assert none.features == () and len(idle) == 2 and not any(t.accepted for t in idle)
+
+
 def test_gated_counts_scale_by_the_fitted_range(planted):
     model = gated_pair_counts(planted, ["a", "b", "c"], ["a_code", "b_code", "c_code"], "label")
     assert [f.keys for f in model.features][0] == ("a", "b")

@@ -14,10 +14,13 @@ from weft.operators.grouped import GroupFeature, add_group_features, count_of, n
 from weft.operators.pairs import pair_frequencies
 from weft.operators.scoring import BINS, bin_counts, mutual_info, mutual_information
 from weft.sources.tables import NUM, tagged
+from weft.sources.workspace import materialize
 
 # The information a feature has to exceed and the top of the scale.
 THRESHOLD = 0.01
 TOP = 100.0
+# Fixed value: candidates of a search that are tried together.
+SEARCH_BATCH = 8
 
 
 @dataclass(frozen=True)
@@ -81,6 +84,52 @@ def gated_pair_counts(df: DataFrame, columns: Sequence[str], codes: Sequence[str
     return _fit(df, {count_of(*sorted(pairs[int(i)])): mi for i, mi in found if mi > threshold})
 
 
+@dataclass(frozen=True)
+class Trial:
+    """One candidate of a search: its turn and batch, the summed information of its columns, its own, and whether it was kept."""
+
+    feature: GroupFeature
+    turn: int
+    batch: int
+    expected: float
+    mi: float
+    accepted: bool
+
+
+def search_pair_counts(df: DataFrame, columns: Sequence[str], codes: Sequence[str], label: str, *, threshold: float = THRESHOLD,
+                       batch: int = SEARCH_BATCH, budget: int | None = None, patience: int | None = None,
+                       bins: int = BINS) -> tuple[GatedModel, list[Trial]]:
+    """Pair counts tried best first by the summed information of their columns, ``batch`` at a time.
+
+    Each batch is one job over the frequencies of its pairs; what exceeds the threshold is kept before the next batch is
+    chosen. The search ends with the candidates, after ``budget`` of them, or after ``patience`` batches in a row of which
+    none was kept. Returns the model of the kept features and every trial in order.
+    """
+    pairs, base = best_pairs(df, columns, codes, label, None, bins)
+    tried: list[Trial] = []
+    idle = 0
+    most = len(pairs) if budget is None else min(budget, len(pairs))
+    for number, start in enumerate(range(0, most, batch), 1):
+        own = pairs[start:min(start + batch, most)]
+        found = _pair_information(df, own, label, bins)
+        trials = [Trial(count_of(*sorted(p)), start + i + 1, number, base[p[0]] + base[p[1]], found[i], found[i] > threshold)
+                  for i, p in enumerate(own)]
+        tried += trials
+        idle = 0 if any(t.accepted for t in trials) else idle + 1
+        if patience is not None and idle >= patience:
+            break
+    return _fit(df, {t.feature: t.mi for t in tried if t.accepted}), tried
+
+
+def _pair_information(df: DataFrame, pairs: Sequence[tuple[str, str]], label: str, bins: int) -> dict[int, float]:
+    """Mutual information of each pair's count with the label, from the written frequencies; a number per pair."""
+    freq = materialize(pair_frequencies(df, pairs, label), "pairs")
+    values = freq.groupBy(F.col("pair").cast("string").alias("feature"), F.col("n").cast("double").alias("value")
+                          ).agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
+    found = {int(i): mi for i, mi in mutual_information(bin_counts(values, bins)).collect()}
+    return {i: found.get(i, 0.0) for i in range(len(pairs))}
+
+
 def gated_pair_nuniques(df: DataFrame, columns: Sequence[str], codes: Sequence[str], label: str,
                         threshold: float = THRESHOLD, max_pairs: int | None = None,
                         bins: int = BINS) -> GatedModel:

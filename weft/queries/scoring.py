@@ -18,15 +18,16 @@ from weft.sources.workspace import materialize
 
 CATS = ("o_orderpriority", "customer__c_mktsegment", "customer__c_nationkey", "nation__n_name")
 CODES = tuple(f"{c}_code" for c in CATS)
+KEYED = ("o_custkey", *CATS)
 SCORED = ("o_totalprice", "customer__c_acctbal", "lineitem__mean__l_quantity", "lineitem__sum__l_extendedprice",
           "lineitem__mean__l_tax", "part__mean__p_size", "part__union_length__p_names")
 PROFILED = ("o_totalprice", "customer__c_acctbal", "lineitem__mean__l_quantity", "lineitem__sum__l_quantity",
             "lineitem__sum__l_extendedprice", "lineitem__sum__l_discount", "part__sum__p_size")
 
 
-def _coded(spark: SparkSession, sf: str) -> DataFrame:
-    m = merge_graph(X.customer_graph(spark, sf)).select("o_orderkey", "label", *CATS)
-    return materialize(encode(m, dict(zip(CATS, CODES, strict=True)), ["o_orderkey"]), "coded")
+def _coded(spark: SparkSession, sf: str, cats: tuple[str, ...] = CATS) -> DataFrame:
+    m = merge_graph(X.customer_graph(spark, sf)).select("o_orderkey", "label", *cats)
+    return materialize(encode(m, {c: f"{c}_code" for c in cats}, ["o_orderkey"]), "coded")
 
 
 def _merged(spark: SparkSession, sf: str) -> DataFrame:
@@ -57,13 +58,29 @@ def count_enc_mi(spark: SparkSession, sf: str) -> DataFrame:
 
 def pair_count_mi(spark: SparkSession, sf: str) -> DataFrame:
     df = _coded(spark, sf)
-    model = G.gated_pair_counts(df, CATS[:3], CODES[:3], "label", threshold=0.0)
+    model = G.gated_pair_counts(df, CATS, CODES, "label", threshold=0.0)
     return model.transform(df, ["o_orderkey"]).select("o_orderkey", *[f.name for f in model.features])
 
 
+#: The search of pair counts: pairs tried together, pairs tried in all, and the information that a count has to exceed.
+SEARCH = {"batch": 2, "budget": 5, "threshold": 0.0015}
+
+
+#: The information that a distinct count has to exceed.
+NUNIQUE_THRESHOLD = 0.0002
+
+
+def pair_count_search(spark: SparkSession, sf: str) -> DataFrame:
+    """Every pair that the best-first search tried, in its order, and whether it was kept."""
+    _, trials = G.search_pair_counts(_coded(spark, sf), CATS, CODES, "label", **SEARCH)
+    rows = [(t.feature.name, t.turn, t.batch, t.mi, t.accepted) for t in trials]
+    return spark.createDataFrame(rows, "feature string, turn int, batch int, mi double, accepted boolean")
+
+
 def pair_nunique_mi(spark: SparkSession, sf: str) -> DataFrame:
-    """The accepted direction of each pair and the range its values were scaled by."""
-    model = G.gated_pair_nuniques(_coded(spark, sf), CATS[:3], CODES[:3], "label", threshold=-1.0)
+    """The better direction of each pair, where it tells enough, and the range its values were scaled by."""
+    model = G.gated_pair_nuniques(_coded(spark, sf, KEYED), KEYED, [f"{c}_code" for c in KEYED], "label",
+                                  threshold=NUNIQUE_THRESHOLD)
     rows = [(f.name, mi, *model.ranges[f.name]) for f, mi in zip(model.features, model.mi, strict=True)]
     return spark.createDataFrame(rows, "feature string, mi double, lo double, hi double")
 
@@ -123,7 +140,7 @@ def _long_sql(table: str, columns) -> str:
         for c in columns)
 
 
-_CODED_SQL = f"""m0 AS ({X.CUSTOMER_MERGED_SQL}), m AS (SELECT o_orderkey, label, {', '.join(CATS)}, """ + ", ".join(
+_CODED_SQL = f"""m0 AS ({X.CUSTOMER_MERGED_SQL}), m AS (SELECT o_orderkey, label, {', '.join(KEYED)}, """ + ", ".join(
     f"dense_rank() OVER (ORDER BY CAST({c} AS VARCHAR)) AS {k}" for c, k in zip(CATS, CODES, strict=True)) + " FROM m0)"
 
 
@@ -162,8 +179,7 @@ def _scaled_sql(names_keys) -> str:
 
 
 def _nunique_mi_sql() -> str:
-    cats = CATS[:3]
-    pairs = [(a, b) for i, a in enumerate(cats) for b in cats[i + 1:]]
+    pairs = [(a, b) for i, a in enumerate(KEYED) for b in KEYED[i + 1:]]
     v, which, ranges = [], [], []
     for i, (a, b) in enumerate(pairs):
         for x, y in ((a, b), (b, a)):
@@ -177,7 +193,22 @@ def _nunique_mi_sql() -> str:
  s AS ({_MI_SQL}),
  k AS (SELECT feature, mi, row_number() OVER (PARTITION BY pair ORDER BY mi DESC, feature) AS n
   FROM s JOIN ({' UNION ALL '.join(which)}) USING (feature))
- SELECT feature, mi, lo, hi FROM k JOIN r2 USING (feature) WHERE n = 1"""
+ SELECT feature, mi, lo, hi FROM k JOIN r2 USING (feature) WHERE n = 1 AND mi > {NUNIQUE_THRESHOLD}"""
+
+
+def _search_sql() -> str:
+    """Information of the codes ranks the pairs; that of the pair counts decides."""
+    pairs = [(a, b) for i, a in enumerate(CATS) for b in CATS[i + 1:]]
+    listed = ", ".join(f"('cnt__{'__'.join(sorted(p))}', '{p[0]}', '{p[1]}')" for p in pairs)
+    counts = " UNION ALL ".join(f"""SELECT 'cnt__{'__'.join(sorted(p))}' AS feature, CAST(count(*) OVER (PARTITION BY {p[0]}, {p[1]})
+ AS DOUBLE) AS value, label AS pos, 1 - label AS neg FROM m""" for p in pairs)
+    return f"""WITH {_CODED_SQL}, own AS (WITH v AS ({_long_sql('m', CODES)}), {_COUNTS_SQL} {_MI_SQL}),
+ cand AS (WITH v AS ({counts}), {_COUNTS_SQL} {_MI_SQL}),
+ pairs(feature, a, b) AS (VALUES {listed}),
+ ranked AS (SELECT p.feature, row_number() OVER (ORDER BY x.mi + y.mi DESC, a, b) AS turn FROM pairs p
+  JOIN own x ON x.feature = a || '_code' JOIN own y ON y.feature = b || '_code')
+ SELECT feature, CAST(turn AS INTEGER) AS turn, CAST((turn - 1) // {SEARCH['batch']} + 1 AS INTEGER) AS batch, mi,
+  mi > {SEARCH['threshold']} AS accepted FROM ranked JOIN cand USING (feature) WHERE turn <= {SEARCH['budget']}"""
 
 
 _WIDE_SQL = f"""WITH {X.side_sql('part')}, m AS (SELECT o.*, c.c_acctbal AS customer__c_acctbal, a.* FROM o
@@ -202,8 +233,9 @@ QUERIES = {
  {_COUNTS_SQL} {_MI_SQL}"""),
     "fe_topk": (fe_topk, _TOPK_SQL),
     "count_enc_mi": (count_enc_mi, _scaled_sql({f"cnt__{c}": (c,) for c in CATS})),
-    "pair_count_mi": (pair_count_mi, _scaled_sql({"cnt__" + "__".join(sorted(p)): p for p in (
-        (CATS[0], CATS[1]), (CATS[0], CATS[2]), (CATS[1], CATS[2]))})),
+    "pair_count_mi": (pair_count_mi, _scaled_sql({"cnt__" + "__".join(sorted((a, b))): (a, b)
+                                                  for i, a in enumerate(CATS) for b in CATS[i + 1:]})),
+    "pair_count_search": (pair_count_search, _search_sql()),
     "pair_nunique_mi": (pair_nunique_mi, _nunique_mi_sql()),
     "auc": (auc, f"""WITH o AS ({X.ORDERS_SQL}), g AS (SELECT o_totalprice AS s, sum(label) AS pos,
  sum(1 - label) AS neg FROM o GROUP BY s), c AS (SELECT *, sum(neg) OVER (ORDER BY s) - neg AS below FROM g)
