@@ -70,7 +70,6 @@ def count_enc(spark: SparkSession, sf: str) -> DataFrame:
     """Frequency of each order's time parts and categories."""
     m = _merged(spark, sf)
     parts = time_parts("o_orderdate")
-    parts = {n: parts[n] for n in ("o_orderdate_day", "o_orderdate_day_of_week", "o_orderdate_day_hour")}
     wide = with_exprs(m, parts)
     feats = C.count_encodings([*parts, *columns_of(m, CAT)])
     return add_group_features(wide, feats, ROW).select("o_orderkey", *[f.name for f in feats])
@@ -282,6 +281,9 @@ _HOURS = {
     "ts_day_hour": "day(ts) * 100 + hour(ts)",
 }
 
+_ORDER_PARTS = {"o_orderdate_day": "day(o_orderdate)", "o_orderdate_day_of_week": "isodow(o_orderdate) - 1"} | {
+    n.replace("ts_", "o_orderdate_", 1): e.replace("(ts)", "(o_orderdate)") for n, e in _HOURS.items()}
+
 QUERIES = {
     "group_num_stats": (group_num_stats, f"WITH {_M} SELECT o_orderkey, "
                         + _stats_sql("o_custkey", ["o_totalprice", "customer__c_acctbal"]) + " FROM m"),
@@ -289,10 +291,9 @@ QUERIES = {
  avg(o_totalprice) OVER w AS mean__o_orderpriority__o_totalprice,
  o_totalprice - avg(o_totalprice) OVER w AS dev__o_orderpriority__o_totalprice
  FROM ({X.ORDERS_SQL}) o WINDOW w AS (PARTITION BY o_orderpriority)"""),
-    "count_enc": (count_enc, f"""WITH {_M}, t AS (SELECT *, day(o_orderdate) AS o_orderdate_day,
- isodow(o_orderdate) AS o_orderdate_day_of_week, day(o_orderdate) * 100 + hour(o_orderdate) AS o_orderdate_day_hour
- FROM m) SELECT o_orderkey, """ + ", ".join(_cnt(c) for c in (
-        "o_orderdate_day", "o_orderdate_day_of_week", "o_orderdate_day_hour", *_CATS)) + " FROM t"),
+    "count_enc": (count_enc, f"WITH {_M}, t AS (SELECT *, " + ", ".join(
+        f"{e} AS {n}" for n, e in _ORDER_PARTS.items()) + " FROM m) SELECT o_orderkey, " + ", ".join(
+        _cnt(c) for c in (*_ORDER_PARTS, *_CATS)) + " FROM t"),
     "count_enc_mv": (count_enc_mv, f"WITH t AS ({X.TAGS_SQL}) SELECT p_partkey, " + ", ".join(
         f"count(*) OVER (PARTITION BY {_prefix_sql('p_tags', k)}) AS cnt__p_tags_code{k}" for k in (1, 2, 3))
         + " FROM t"),

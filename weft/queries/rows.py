@@ -48,9 +48,9 @@ def rate_by_days(spark: SparkSession, sf: str) -> DataFrame:
 def row_sum(spark: SparkSession, sf: str) -> DataFrame:
     m = merge_graph(X.order_graph(spark, sf), unions="none")
     nums = columns_of(m, NUM)
-    exprs = {f"sum__{t}": E.row_sum([c for c in nums if table_of(m, c) == t and "__mean__" not in c])
-             for t in ("orders", "customer", "lineitem")}
-    return m.select("o_orderkey", *[e.alias(n) for n, e in exprs.items()])
+    exprs = {f"sum__{t}": E.row_sum([c for c in nums if table_of(m, c) == t])
+             for t in dict.fromkeys(table_of(m, c) for c in nums)}
+    return m.select("o_orderkey", *[F.round(e, 6).alias(n) for n, e in exprs.items()])
 
 
 def mean_center(spark: SparkSession, sf: str) -> DataFrame:
@@ -154,9 +154,10 @@ QUERIES = {
  nullif({_days_sql('l_shipdate', 'orders__o_orderdate')}, 0) AS days FROM l)
  SELECT l_orderkey, l_linenumber, l_quantity / days AS l_quantity_per_day,
  l_extendedprice / days AS l_extendedprice_per_day FROM d"""),
-    "row_sum": (row_sum, f"""WITH m AS ({X.MERGED_SQL}) SELECT o_orderkey, o_totalprice AS sum__orders,
- customer__c_acctbal AS sum__customer, lineitem__sum__l_quantity + lineitem__sum__l_extendedprice
- + lineitem__sum__l_discount + lineitem__sum__l_tax AS sum__lineitem FROM m"""),
+    "row_sum": (row_sum, f"WITH m AS ({X.MERGED_SQL}) SELECT o_orderkey, o_totalprice AS sum__orders, "
+                "customer__c_acctbal AS sum__customer, " + ", ".join(f"round({' + '.join(
+                    f'{t}__{fn}__{c}' for fn in ('mean', 'sum') for own, c in X._NUMS if own == t)}, 6) AS sum__{t}"
+                    for t in ("lineitem", "part")) + " FROM m"),
     "mean_center": (mean_center, f"""SELECT o_orderkey, o_totalprice - avg(o_totalprice) OVER ()
  AS o_totalprice_centered FROM ({X.ORDERS_SQL}) o"""),
     "minmax_scale": (minmax_scale, f"""SELECT o_orderkey, (o_totalprice - min(o_totalprice) OVER ())
