@@ -15,8 +15,10 @@ from weft.operators import sampling as S
 from weft.operators import selection as SEL
 from weft.operators.encode import apply_codes, cat_to_long, code_table, combination_codes, encode, encode_prefixes
 from weft.operators.gated import gated_counts, gated_pair_counts, search_pair_counts
+from weft.operators.model import auc_of_label_file
 from weft.operators.pairs import PairFeature, PairFeatureModel, add_pair_features
 from weft.operators.scoring import hellinger_scores, mutual_info
+from weft.sources.tables import read_label_column
 
 
 def test_time_signs(spark):
@@ -279,3 +281,28 @@ def test_split_shares(spark, share):
     train, val = S.train_val_split(df, "id", share)
     assert train.count() + val.count() == 20_000
     assert abs(val.count() - 20_000 * share) <= (0 if share in (0.0, 1.0) else 300)
+
+
+@pytest.mark.parametrize("split", ["10b", "128m"])
+def test_labels_by_position_of_their_lines(spark, tmp_path, split):
+    """Two files in splits of any size, some of them without a line's beginning."""
+    labels = [(i * 7) % 3 % 2 for i in range(101)]
+    folder = tmp_path / "labels"
+    folder.mkdir()
+    (folder / "part-0.csv").write_text("name of label\n" + "".join(f"{v}\n" for v in labels[:64]))
+    (folder / "part-1.csv").write_text("\n".join(str(v) for v in labels[64:]))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", split)
+    spark.conf.set("spark.sql.files.openCostInBytes", "1")
+    try:
+        got = read_label_column(spark, str(folder))  # the lines are read and written here
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    assert [tuple(r) for r in sorted(got.collect())] == list(enumerate(labels))
+    scores = spark.createDataFrame([(1000 - i, (i * 13) % 17 / 17) for i in range(101)], "id long, score double")
+    mine = auc_of_label_file(scores, "id", got).first()["auc"]
+    known = scores.orderBy("id").collect()
+    pos, neg = ([r["score"] for r, v in zip(known, labels, strict=True) if v == k] for k in (1, 0))
+    assert mine == pytest.approx(sum((p > n) + (p == n) / 2 for p in pos for n in neg) / (len(pos) * len(neg)))
+    with pytest.raises(Exception, match="as many labels"):
+        auc_of_label_file(scores.where("id < 990"), "id", got).collect()

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weft.operators.model import ROUNDS, TRIALS, TreeParams, assemble, importance_table, train, train_until, tune
+from weft.operators.ordered import OrderedRows
 from weft.operators.profile import collinear, missing_fractions, single_unique
 from weft.operators.sampling import tuning_sample
 from weft.sources.workspace import materialize
@@ -64,18 +65,15 @@ def mean_importances(df: DataFrame, columns: Sequence[str], row_id: str, label:
 def importance_cut(importances: DataFrame, cumulative: float = 0.95) -> DataFrame:
     """Normalised and cumulative importance, with the zero and the low-importance columns marked.
 
-    The table has a row per column, so it is summed in Python order of (importance, name).
+    The running share goes from the most important column down, equal ones by name.
     """
-    rows = sorted(importances.collect(), key=lambda r: (-r["importance"], r["feature"]))  # a row per column
-    total = sum(r["importance"] for r in rows) or 1.0
-    out, run = [], 0.0
-    for r in rows:
-        share = r["importance"] / total
-        run += share
-        out.append((r["feature"], r["importance"], share, run, r["importance"] == 0.0, run > cumulative))
-    return importances.sparkSession.createDataFrame(
-        out, "feature string, importance double, normalized double, cumulative double, "
-             "zero_importance boolean, low_importance boolean")
+    table = importances.select("feature", "importance", (-F.col("importance")).alias("_down"))
+    total = F.broadcast(table.agg(F.coalesce(F.sum("importance"), F.lit(0.0)).alias("_total")))  # one row
+    run = OrderedRows(table, [], ["_down", "feature"]).running_sum(["importance"], "_run").join(total)
+    scale = F.when(F.col("_total") > 0, F.col("_total")).otherwise(F.lit(1.0))
+    share = F.col("_run") / scale
+    return run.select("feature", "importance", (F.col("importance") / scale).alias("normalized"), share.alias("cumulative"),
+                      (F.col("importance") == 0).alias("zero_importance"), (share > cumulative).alias("low_importance"))
 
 
 def feature_report(df: DataFrame, columns: Sequence[str], numeric: Sequence[str], *,

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -10,11 +12,15 @@ from weft.operators import profile as P
 from weft.operators.encode import encode
 from weft.operators.merge import merge_graph
 from weft.operators.model import auc as auc_of
+from weft.operators.model import auc_of_label_file
 from weft.operators.pairs import PairFeatureModel
 from weft.operators.scoring import hellinger_scores, mutual_info
+from weft.operators.selection import drop_reported
 from weft.operators.selection import feature_report as report_of
+from weft.operators.selection import importance_cut as cut_of
 from weft.queries import fixtures as X
-from weft.sources.workspace import materialize
+from weft.sources.tables import read_label_column
+from weft.sources.workspace import materialize, shared_folder
 
 CATS = ("o_orderpriority", "customer__c_mktsegment", "customer__c_nationkey", "nation__n_name")
 CODES = tuple(f"{c}_code" for c in CATS)
@@ -90,6 +96,17 @@ def auc(spark: SparkSession, sf: str) -> DataFrame:
     return out.select(F.round("auc", 9).alias("auc"))
 
 
+def auc_file(spark: SparkSession, sf: str) -> DataFrame:
+    """The same area with the labels read back from a file of lines, by position."""
+    o = X.orders(spark, sf)
+    path = f"{shared_folder(spark)}/weft/labels-{uuid.uuid4().hex}"
+    by_id = o.repartitionByRange("o_orderkey").sortWithinPartitions("o_orderkey")
+    by_id.select(F.col("label").cast("string").alias("value")).write.text(path)
+    scores = o.select("o_orderkey", F.col("o_totalprice").alias("score"))
+    out = auc_of_label_file(scores, "o_orderkey", read_label_column(spark, path, header=False))
+    return out.select(F.round("auc", 9).alias("auc"))
+
+
 def _wide_with_nulls(spark: SparkSession, sf: str) -> DataFrame:
     """The merged table before the final fill: orders without lines have nulls."""
     return merge_graph(X.order_graph(spark, sf), fill="none").withColumn("constant", F.lit(1.0))
@@ -115,6 +132,29 @@ def feature_report(spark: SparkSession, sf: str) -> DataFrame:
     return report_of(wide, columns, PROFILED, missing_threshold=0.01, correlation_threshold=0.9)
 
 
+def _informative(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, list[str]]:
+    """The profiled columns with the label, and each one's information as its importance."""
+    columns = [*PROFILED, "constant"]
+    wide = materialize(_wide_with_nulls(spark, sf).select("label", *columns), "wide")
+    return wide, materialize(mutual_info(wide, columns, "label").withColumnRenamed("mi", "importance"), "importances"), columns
+
+
+def importance_shares(spark: SparkSession, sf: str) -> DataFrame:
+    """Normalised and cumulative importance of the profiled columns."""
+    cut = cut_of(_informative(spark, sf)[1])
+    return cut.select("feature", "importance", *[F.round(c, 9).alias(c) for c in ("normalized", "cumulative")],
+                      "zero_importance", "low_importance")
+
+
+def feature_report_all(spark: SparkSession, sf: str) -> DataFrame:
+    """Every reason to drop a column, and the columns that are left once the reported ones are dropped."""
+    wide, importances, columns = _informative(spark, sf)
+    report = materialize(report_of(wide, columns, PROFILED, missing_threshold=0.01, correlation_threshold=0.9,
+                                   importances=importances), "report")
+    left = [(c, "kept") for c in drop_reported(wide, report).columns if c != "label"]
+    return report.unionByName(spark.createDataFrame(left, "feature string, reason string"))
+
+
 _COUNTS_SQL = """r AS (SELECT feature, min(value) AS lo, max(value) AS hi FROM v GROUP BY feature),
  b AS (SELECT feature, CASE WHEN hi > lo THEN least(63, CAST(floor((value - lo) / (hi - lo) * 64) AS INTEGER)) ELSE 0
  END AS bin, sum(pos) AS pos, sum(neg) AS neg FROM v JOIN r USING (feature) GROUP BY 1, 2),
@@ -226,6 +266,15 @@ def _corr_sql(table: str) -> str:
         for i, a in enumerate(PROFILED) for b in PROFILED[i + 1:])
 
 
+_AUC_SQL = f"""WITH o AS ({X.ORDERS_SQL}), g AS (SELECT o_totalprice AS s, sum(label) AS pos,
+ sum(1 - label) AS neg FROM o GROUP BY s), c AS (SELECT *, sum(neg) OVER (ORDER BY s) - neg AS below FROM g)
+ SELECT round(sum(pos * (below + neg / 2)) / (sum(pos) * sum(neg)), 9) AS auc FROM c"""
+
+_IMPORTANCE_SQL = f"""{_WIDE_SQL}, q AS (SELECT *, 1.0 AS constant FROM m),
+ v AS (SELECT * FROM ({_long_sql('q', (*PROFILED, 'constant'))}) WHERE value IS NOT NULL), {_COUNTS_SQL}, i AS ({_MI_SQL}),
+ k AS (SELECT feature, mi AS importance, mi / sum(mi) OVER () AS normalized,
+  sum(mi) OVER (ORDER BY mi DESC, feature ROWS UNBOUNDED PRECEDING) / sum(mi) OVER () AS cumulative FROM i)"""
+
 QUERIES = {
     "hellinger_score": (hellinger_score, f"""WITH m AS ({X.MERGED_SQL}), v AS ({_long_sql('m', SCORED)}),
  {_COUNTS_SQL} {_HELLINGER_SQL}"""),
@@ -237,9 +286,8 @@ QUERIES = {
                                                   for i, a in enumerate(CATS) for b in CATS[i + 1:]})),
     "pair_count_search": (pair_count_search, _search_sql()),
     "pair_nunique_mi": (pair_nunique_mi, _nunique_mi_sql()),
-    "auc": (auc, f"""WITH o AS ({X.ORDERS_SQL}), g AS (SELECT o_totalprice AS s, sum(label) AS pos,
- sum(1 - label) AS neg FROM o GROUP BY s), c AS (SELECT *, sum(neg) OVER (ORDER BY s) - neg AS below FROM g)
- SELECT round(sum(pos * (below + neg / 2)) / (sum(pos) * sum(neg)), 9) AS auc FROM c"""),
+    "auc": (auc, _AUC_SQL),
+    "auc_file": (auc_file, _AUC_SQL),
     "profile_missing": (profile_missing, f"""{_WIDE_SQL} {_MISSING_SQL}
  UNION ALL SELECT 'constant', 0.0"""),
     "profile_single_unique": (profile_single_unique, f"{_WIDE_SQL} {_SINGLE_SQL} UNION ALL SELECT 'constant', TRUE"),
@@ -250,4 +298,14 @@ QUERIES = {
  SELECT feature, 'missing' AS reason FROM x WHERE missing_fraction > 0.01
  UNION ALL SELECT feature, 'single_unique' FROM y WHERE single_unique
  UNION ALL SELECT DISTINCT drop_feature, 'collinear' FROM c WHERE abs(corr_value) > 0.9"""),
+    "importance_shares": (importance_shares, f"""{_IMPORTANCE_SQL} SELECT feature, importance, round(normalized, 9) AS normalized,
+ round(cumulative, 9) AS cumulative, importance = 0 AS zero_importance, cumulative > 0.95 AS low_importance FROM k"""),
+    "feature_report_all": (feature_report_all, f"""{_IMPORTANCE_SQL}, x AS ({_MISSING_SQL}), y AS ({_SINGLE_SQL}
+ UNION ALL SELECT 'constant', TRUE), c AS ({_corr_sql('m')}),
+ found AS (SELECT feature, 'missing' AS reason FROM x WHERE missing_fraction > 0.01
+ UNION ALL SELECT feature, 'single_unique' FROM y WHERE single_unique
+ UNION ALL SELECT DISTINCT drop_feature, 'collinear' FROM c WHERE abs(corr_value) > 0.9
+ UNION ALL SELECT feature, 'zero_importance' FROM k WHERE importance = 0
+ UNION ALL SELECT feature, 'low_importance' FROM k WHERE cumulative > 0.95)
+ SELECT feature, reason FROM found UNION ALL SELECT feature, 'kept' FROM k WHERE feature NOT IN (SELECT feature FROM found)"""),
 }

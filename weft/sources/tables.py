@@ -7,6 +7,9 @@ from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from weft.sources.workspace import materialize
 
 # The semantic column types.
 NUM = "num"
@@ -184,6 +187,32 @@ def read_labels(spark: SparkSession, path: str, row_id: str = "row_id") -> DataF
     return read_csv_table(spark, path, f"{row_id} bigint, label int")
 
 
+def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(position, value): the lines of text files, numbered from 0 in the order of file names and lines.
+
+    Files are read in splits by any number of tasks. A line's place within its split comes from the order in which it is
+    read, the split's first place from the lengths of the splits before it: no line moves, and only a row per split is sorted.
+    """
+    lines = spark.read.text(path).select(
+        "value", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_block"),
+        F.monotonically_increasing_id().alias("_m"))
+    lines = materialize(lines, "lines")
+    splits = lines.groupBy("_file", "_block").agg(F.count(F.lit(1)).alias("_n"), F.min("_m").alias("_first"))
+    before = Window.orderBy("_file", "_block").rowsBetween(Window.unboundedPreceding, -1)
+    starts = splits.select("_file", "_block", "_first", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"),
+                           F.count(F.lit(1)).over(before).alias("_seen"))
+    placed = lines.join(F.broadcast(starts.drop("_seen")), ["_file", "_block"])  # a row per split
+    return placed.select((F.col("_start") + F.col("_m") - F.col("_first")).alias("position"), "value")
+
+
+def read_label_column(spark: SparkSession, path: str, header: bool = True) -> DataFrame:
+    """(position, label) from text files of one label a line; with ``header`` the very first line is a name."""
+    lines = numbered_lines(spark, path)
+    skipped = 1 if header else 0
+    return lines.where(F.col("position") >= skipped).select(
+        (F.col("position") - skipped).alias("position"), F.col("value").try_cast("int").alias("label"))
+
+
 def write_scores(scores: DataFrame, path: str, row_id: str) -> None:
     """Scores as Parquet, range-partitioned and sorted by row id so that part files follow its order."""
     out = scores.select(row_id, "score").repartitionByRange(row_id).sortWithinPartitions(row_id)
