@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
-from itertools import permutations
+from itertools import combinations, permutations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from weft.sources.tables import MULTI_CAT, NUM, TIME, columns_of, path_of, table_of
+
 DELIMITER = ","
 MICROS_PER_DAY = 86_400_000_000
 
@@ -61,6 +63,25 @@ def rates(values: Mapping[str, Column], days: Column, suffix: str = "per_day") -
     return {f"{n}_{suffix}": F.try_divide(c.cast("double"), days.cast("double")) for n, c in values.items()}
 
 
+def rates_by_lineage(df: DataFrame) -> dict[str, Column]:
+    """Every number and list size of a table per day between every two times of the same table.
+
+    Which columns belong together follows from their types and lineage: the table, and the path that leads to it.
+    """
+    def own(kind: str) -> dict[tuple[str | None, str], list[str]]:
+        out: dict[tuple[str | None, str], list[str]] = {}
+        for c in columns_of(df, kind):
+            out.setdefault((table_of(df, c), path_of(df, c)), []).append(c)
+        return out
+
+    numbers, lists, out = own(NUM), own(MULTI_CAT), {}
+    for at, times in own(TIME).items():
+        values = {c: F.col(c) for c in numbers.get(at, ())} | {f"{c}_size": list_size(c) for c in lists.get(at, ())}
+        for a, b in combinations(times, 2):
+            out |= rates(values, days_between(F.col(a), F.col(b)), f"per_day_{a}_minus_{b}")
+    return out
+
+
 def row_sum(columns: Sequence[str]) -> Column:
     """Sum across columns, a missing value counting as nothing."""
     total = F.lit(0.0)

@@ -10,7 +10,7 @@ from weft.operators.encode import apply_codes, code_table, combination_codes, en
 from weft.operators.merge import join_to_one, merge_graph
 from weft.operators.ordered import OrderedRows, trailing_sum
 from weft.queries import fixtures as X
-from weft.sources.tables import NUM, TIME, TableSpec, columns_of, table_of, tag_table
+from weft.sources.tables import MULTI_CAT, NUM, TIME, TableSpec, columns_of, table_of, tag_table
 
 EVENT_COLUMNS = ("event_id", "ts", "user_id", "value", "k")
 
@@ -45,6 +45,23 @@ def rate_by_days(spark: SparkSession, sf: str) -> DataFrame:
         {"l_quantity": F.col("l_quantity"), "l_extendedprice": F.col("l_extendedprice")}, days).items()])
 
 
+def rate_by_lineage(spark: SparkSession, sf: str) -> DataFrame:
+    """All numbers and list sizes of two tables with two times each, per day between the times."""
+    lines = X.lineitem(spark, sf)
+    o = X.orders(spark, sf).select("o_orderkey", "o_totalprice", F.col("o_orderdate").alias("ordered"),
+                                   F.timestamp_add("DAY", F.col("o_orderkey") % 3, F.col("o_orderdate")).alias("confirmed"))
+    p = X.part(spark, sf).select("p_partkey", "p_names", "p_size")
+    wide = lines.join(p, lines.l_partkey == p.p_partkey, "left").join(
+        o.select(F.col("o_orderkey").alias("k"), "ordered"), F.col("l_orderkey") == F.col("k"), "left")
+    sent = tag_table(wide.select("l_orderkey", "l_linenumber", "l_shipdate", "ordered", "l_quantity", "l_extendedprice", "l_discount",
+                                 "l_tax", "p_size", "p_names"), "sent", TableSpec(
+        {"l_shipdate": TIME, "ordered": TIME, "p_names": MULTI_CAT} | {c: NUM for c in (
+            "l_quantity", "l_extendedprice", "l_discount", "l_tax", "p_size")}))
+    right = tag_table(o, "orders", TableSpec({"ordered": TIME, "confirmed": TIME, "o_totalprice": NUM}))
+    both = join_to_one(sent, right, ["l_orderkey"], ["o_orderkey"], "orders", spread=["l_linenumber", "l_shipdate"])
+    return both.select("l_orderkey", "l_linenumber", *[e.alias(n) for n, e in E.rates_by_lineage(both).items()])
+
+
 def row_sum(spark: SparkSession, sf: str) -> DataFrame:
     m = merge_graph(X.order_graph(spark, sf), unions="none")
     nums = columns_of(m, NUM)
@@ -154,6 +171,15 @@ QUERIES = {
  nullif({_days_sql('l_shipdate', 'orders__o_orderdate')}, 0) AS days FROM l)
  SELECT l_orderkey, l_linenumber, l_quantity / days AS l_quantity_per_day,
  l_extendedprice / days AS l_extendedprice_per_day FROM d"""),
+    "rate_by_lineage": (rate_by_lineage, f"""WITH o AS (SELECT o_orderkey AS k, o_totalprice, o_orderdate AS ordered,
+ o_orderdate + to_days(CAST(o_orderkey % 3 AS INTEGER)) AS confirmed FROM ({X.ORDERS_SQL})),
+ w AS (SELECT l.*, p_size, p_names, o_totalprice, nullif({_days_sql('l_shipdate', 'ordered')}, 0) AS d,
+  nullif({_days_sql('ordered', 'confirmed')}, 0) AS e FROM ({X.LINEITEM_SQL}) l
+  LEFT JOIN ({X.PART_SQL}) ON l_partkey = p_partkey LEFT JOIN o ON l_orderkey = k)
+ SELECT l_orderkey, l_linenumber, """ + ", ".join(
+        f"{c} / d AS {c}_per_day_l_shipdate_minus_ordered" for c in ("l_quantity", "l_extendedprice", "l_discount", "l_tax", "p_size"))
+        + """, len(string_split(p_names, ',')) / d AS p_names_size_per_day_l_shipdate_minus_ordered,
+ o_totalprice / e AS orders__o_totalprice_per_day_orders__ordered_minus_orders__confirmed FROM w"""),
     "row_sum": (row_sum, f"WITH m AS ({X.MERGED_SQL}) SELECT o_orderkey, o_totalprice AS sum__orders, "
                 "customer__c_acctbal AS sum__customer, " + ", ".join(f"round({' + '.join(
                     f'{t}__{fn}__{c}' for fn in ('mean', 'sum') for own, c in X._NUMS if own == t)}, 6) AS sum__{t}"
