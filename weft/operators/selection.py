@@ -68,9 +68,8 @@ def importance_cut(importances: DataFrame, cumulative: float = 0.95) -> DataFram
     The running share goes from the most important column down, equal ones by name.
     """
     table = importances.select("feature", "importance", (-F.col("importance")).alias("_down"))
-    total = F.broadcast(table.agg(F.coalesce(F.sum("importance"), F.lit(0.0)).alias("_total")))  # one row
-    run = OrderedRows(table, [], ["_down", "feature"]).running_sum(["importance"], "_run").join(total)
-    scale = F.when(F.col("_total") > 0, F.col("_total")).otherwise(F.lit(1.0))
+    run = OrderedRows(table, [], ["_down", "feature"]).running_sum(["importance"], "_run")
+    scale = F.lit(float(table.agg(F.sum("importance")).first()[0] or 1.0))
     share = F.col("_run") / scale
     return run.select("feature", "importance", (F.col("importance") / scale).alias("normalized"), share.alias("cumulative"),
                       (F.col("importance") == 0).alias("zero_importance"), (share > cumulative).alias("low_importance"))
