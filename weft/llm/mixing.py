@@ -12,7 +12,8 @@ has exactly its chance.
 
 A source of few documents can still miss by much. Where it does by more than ``TOLERANCE`` of its target, about ``NEARER`` of
 its documents, chosen by hash, give and take whole copies (0 to ``most`` of each): up to ``EXCHANGES`` times the one change, or the
-two together, that bring the sum of words nearest to the target. There, and only there, chances are not kept exactly.
+two together, that bring the sum of words nearest to the target; once from the rounding, and once from each number of copies that the
+longest of them can have. There, and only there, chances are not kept exactly.
 
 The randomness is a hash of the document and the level: reruns agree. Rows that repeat doc_id, source and size are one
 document with their words added up, and are all taken alike. Documents without words are not taken.
@@ -225,8 +226,21 @@ def _exchange(mixed: DataFrame, most: float, seed: int) -> DataFrame:
         F.struct(u.alias("u"), "doc_id", "size", (F.col("size") * F.col("n")).cast("double").alias("w"),
                  F.col("copies").cast("int").alias("c")))).alias("items"))
     both = given.join(missing, same([F.col("source")], [F.col("_s")]))
-    ended = F.aggregate(F.sequence(F.lit(1), F.lit(EXCHANGES)), F.struct(F.col("r"), F.col("items")),
-                        lambda state, _: _nearer(state, int(most)))
+    # small steps cannot get past one document that outweighs the others: they also start from each of its numbers of copies
+    weights = F.transform("items", lambda x: x["w"])
+    both = both.withColumn("at", F.array_position(weights, F.array_max(weights)).cast("int") - 1)
+
+    def start(q: Column) -> Column:
+        held = F.get("items", F.col("at"))
+        items = F.transform("items", lambda x, i: x.withField("c", F.when((i == F.col("at")) & (q >= 0), q).otherwise(x["c"])))
+        return F.struct(F.when(q < 0, F.col("r")).otherwise(F.col("r") - (q - held["c"]) * held["w"]).alias("r"),
+                        items.alias("items"))
+
+    def run(state: Column) -> Column:
+        done = F.aggregate(F.sequence(F.lit(1), F.lit(EXCHANGES)), state, lambda s, _: _nearer(s, int(most)))
+        return _let(done, lambda e: F.struct(F.abs(e["r"]).alias("miss"), e["items"].alias("items")))
+
+    ended = F.array_min(F.transform(F.transform(F.sequence(F.lit(-1), F.lit(int(most))), start), run))
     rows = both.select("source", F.explode(F.arrays_zip(F.col("items"), ended["items"].alias("after"))).alias("x"))
     changed = rows.where(F.col("x")["items"]["c"] != F.col("x")["after"]["c"])
     return changed.select("source", *[F.col("x")["after"][c].alias(c) for c in ("doc_id", "size", "c")])
