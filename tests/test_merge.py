@@ -9,7 +9,16 @@ from pyspark.sql import functions as F
 from weft.operators import aggregate as A
 from weft.operators.asof import asof_join, asof_rolling
 from weft.operators.clean import clean_fill, project, take_split, union_split
-from weft.operators.merge import branches, depths, join_to_one, merge_graph, merge_with_unions, require_unique
+from weft.operators.merge import (
+    branches,
+    depths,
+    join_to_many,
+    join_to_one,
+    join_with_unions,
+    merge_graph,
+    merge_with_unions,
+    require_unique,
+)
 from weft.sources.tables import (
     CAT,
     MULTI_CAT,
@@ -285,3 +294,45 @@ def test_csv_sources_and_score_sink(spark, tmp_path):
     write_scores(spark.range(5).select("id", (F.col("id") / 5).alias("score"), F.lit(1).alias("x")), out, "id")
     back = spark.read.parquet(out)
     assert back.columns == ["id", "score"] and back.count() == 5
+
+
+def _sides(spark):
+    left = spark.createDataFrame([(i, i % 7 if i % 5 else None) for i in range(60)], "id long, k long")
+    rows = [(i % 9 if i % 11 else None, i, None if i % 4 == 0 else f"c{i % 3}", i % 5 if i % 6 else None,
+             ("0", None, f"a{i % 4},b", "q,r")[i % 4]) for i in range(300)]
+    right = tag_table(spark.createDataFrame(rows, "rk long, at int, c string, n long, l string"), "side",
+                      TableSpec({"c": CAT, "n": CAT, "l": MULTI_CAT, "at": NUM}))
+    return left, right
+
+
+@pytest.mark.parametrize("unions", ["length", "pieces"])
+def test_hot_keys_in_steps_give_what_the_others_give_at_once(spark, unions):
+    left, right = _sides(spark)
+    out = [join_with_unions(left, right, ["k"], ["rk"], "side", ["at"], unions, broadcast_keys=0, hot_rows=n, piece_rows=2)
+           for n in (10**9, 33, 1)]
+    rows = [sorted(m.rows.collect(), key=lambda r: r["id"]) for m in out]
+    assert rows[0] == rows[1] == rows[2] and len(rows[0]) == 60
+    for c in out[0].unions:
+        texts = [sorted(map(tuple, m.unions[c].of(m.rows, "id").collect())) for m in out]
+        assert texts[0] == texts[1] == texts[2] and texts[0]
+
+
+def test_side_rows_move_once(spark):
+    left, right = _sides(spark)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert plan_of(join_to_many(left, right, ["k"], ["rk"], "side", ["at"], broadcast_keys=0)).count("Exchange ") == 2
+        table = right.dropna(subset=["rk"]).groupBy("rk").agg(F.max("at").alias("top"))
+        table = tag_table(table, "t", TableSpec({"top": NUM}))
+        placed = left.repartition("k")
+        one = join_to_one(placed, table, ["k"], ["rk"], "t", broadcast_keys=0, measured=left)
+        assert plan_of(one).count("Exchange ") == 2
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_to_one_null_key_still_meets_null(spark):
+    left, right = _sides(spark)
+    table = tag_table(right.groupBy("rk").agg({"at": "max"}).withColumnRenamed("max(at)", "top"), "t", TableSpec({"top": NUM}))
+    got = {r["k"]: r["t__top"] for r in join_to_one(left, table, ["k"], ["rk"], "t", broadcast_keys=0).collect()}
+    assert got == {r["rk"]: r["top"] for r in table.collect() if r["rk"] in got} and None in got
