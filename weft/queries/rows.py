@@ -58,7 +58,8 @@ def rate_by_lineage(spark: SparkSession, sf: str) -> DataFrame:
         {"l_shipdate": TIME, "ordered": TIME, "p_names": MULTI_CAT} | {c: NUM for c in (
             "l_quantity", "l_extendedprice", "l_discount", "l_tax", "p_size")}))
     right = tag_table(o, "orders", TableSpec({"ordered": TIME, "confirmed": TIME, "o_totalprice": NUM}))
-    both = join_to_one(sent, right, ["l_orderkey"], ["o_orderkey"], "orders", spread=["l_linenumber", "l_shipdate"])
+    both = join_to_one(sent, right, ["l_orderkey"], ["o_orderkey"], "orders", spread=["l_linenumber", "l_shipdate"],
+                       measured=lines)
     return both.select("l_orderkey", "l_linenumber", *[e.alias(n) for n, e in E.rates_by_lineage(both).items()])
 
 
