@@ -390,6 +390,19 @@ def test_passages_are_found_and_clean_texts_left(spark, docs):
     assert chains.shared_passages(docs([])).count() == 0
 
 
+def test_every_pair_of_a_list_meets_when_asked(spark, docs):
+    rng = random.Random(13)
+    passage = prose(rng, 70, 10 ** 7)
+    rows = [(i, f"{prose(rng, 10 + i, 10 ** 7)} {passage} {prose(rng, 15, 10 ** 7)}") for i in range(1, 8)]
+    pairs = lambda **more: {(r["doc_id"], r["match_doc_id"]) for r in chains.shared_passages(docs(rows), **more).collect()}
+    assert pairs(every=True) == {(a, b) for a in range(1, 8) for b in range(1, a)}
+    assert (4, 2) not in pairs()
+    found = spark.createDataFrame([(s, d, 3 * d + s) for s in range(3) for d in range(4 * s + 2)], "seed long, doc_id long, place int")
+    for cell in (1, 3, 256):
+        got = sorted(map(tuple, chains.all_meetings(found, cell).collect()))
+        assert got == sorted((a, b, 3 * a + s, 3 * b + s) for s in range(3) for a in range(4 * s + 2) for b in range(a))
+
+
 def test_common_length_against_dynamic_programme():
     rng = random.Random(9)
     for _ in range(60):
