@@ -287,6 +287,40 @@ def test_sketches_never_hide_shingles():
         assert true <= jaccard.most_common(len(a), jaccard.sketch(a), len(b), jaccard.sketch(b)) <= min(len(a), len(b))
 
 
+def test_jaccard_near_misses_are_not_dealt_as_pairs(spark, docs, monkeypatch):
+    """Copies with three changed words each are below the threshold of each other, and their sketches say so."""
+    rng = random.Random(8)
+    base = prose(rng, 150).split()
+    rows = []
+    for i in range(120):
+        w = list(base)
+        for at in rng.sample(range(8, 140, 6), 3):
+            w[at] = f"e{rng.randrange(10 ** 9)}"
+        rows.append((i, " ".join(w)))
+    dealt, linked = [], jaccard.Verifier.linked
+
+    def counted(self, pairs):
+        dealt.append(pairs.count())
+        return linked(self, pairs)
+
+    monkeypatch.setattr(jaccard.Verifier, "linked", counted)
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard.similar_documents(docs(rows)).collect()}
+    assert got == brute_components(rows)
+    assert dealt[-1] < len(rows)
+
+
+def test_bucket_hits_are_exact_in_a_byte_per_bucket():
+    rng = np.random.default_rng(4)
+    hits, plain = jaccard.BucketHits(), collections.Counter()
+    for _ in range(50):
+        drawn = np.concatenate([rng.integers(0, 40, 700), rng.integers(0, 1 << 24, 300)]).astype(np.uint64)
+        plain.update(drawn.tolist())
+        hits.add(*np.unique(drawn, return_counts=True))
+    at, often = hits.frequent()
+    assert dict(zip(at.tolist(), often.tolist(), strict=True)) == {b: n for b, n in plain.items() if n >= jaccard.FREQUENT_LEAST}
+    assert hits.low.nbytes == 1 << jaccard.BUCKET_BITS
+
+
 # 6 quality
 
 def test_quality_learns_a_planted_rule(spark, docs):

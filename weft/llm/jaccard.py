@@ -12,8 +12,9 @@ shingle, and without words the set is empty and linked with nothing. Two sets ar
    the full sets after a look at their sketches, as are the members of a group against its first. Their links give first components; members of different
    components that come within ``LOOK_BACK`` places in a list meet again in ``ROUNDS`` more rounds.
 4. What is left are pairs of sets in different components. All of those that share an index entry and pass the filters are
-   expanded to members and verified too, so that no link between components is lost. Pairs inside a component need no more
-   work: its documents are the same whichever further links it holds.
+   expanded to members and verified too, so that no link between components is lost. The sketches of both sides, folded to
+   one size per list and size class, are a condition of that join: a pair that they rule out is never made a row. Pairs
+   inside a component need no more work: its documents are the same whichever further links it holds.
 
 So the work is one entry per prefix shingle and group, and copies are never expanded into pairs. Rows with a null doc_id
 get their set's size and no component. Rows that repeat a doc_id and a text are one document.
@@ -40,6 +41,12 @@ BUCKET_BITS = 24
 ID_BUCKETS = 1 << 20
 ROUNDS = 1
 LOOK_BACK = 8
+#: Size classes are steps of this factor; an entry's sketch in the last join has at most this many bits.
+CLASS_STEP, MOST_BITS = 1.25, 1 << 12
+#: Bits of a sketch for each shingle; what two sets lack is hidden by chance in one of so many cases.
+SHINGLE_BITS = 8
+#: Bytes of text that a task works on at once.
+RUN = 1 << 19
 #: A bucket is frequent in a task when it holds this many times the mean, and this many shingles.
 FREQUENT_TIMES, FREQUENT_LEAST = 4, 3
 _SETS = "doc_id long, n long, sid long, sketch binary, bucket int, hits long"
@@ -55,48 +62,78 @@ def prefix_length(n: int, percent: int) -> int:
 
 
 def sketch(shingles: np.ndarray) -> bytes:
-    """A bit for each shingle by its low digits, four bits or more per shingle."""
-    size = 1 << max(6, (4 * len(shingles) - 1).bit_length())
+    """A bit for each shingle by its low digits, ``SHINGLE_BITS`` or more per shingle."""
+    size = 1 << max(6, (SHINGLE_BITS * len(shingles) - 1).bit_length())
     bits = np.zeros(size, bool)
     bits[(shingles & np.uint64(size - 1)).astype(np.int64)] = True
     return np.packbits(bits, bitorder="little").tobytes()
 
 
+def folded(bits: np.ndarray, size: int) -> np.ndarray:
+    """The sketch in at most ``size`` bytes: the one that fewer bits for the same shingles would have given."""
+    while len(bits) > size:
+        bits = bits[:len(bits) // 2] | bits[len(bits) // 2:]
+    return bits
+
+
 def most_common(n1: int, sketch1: bytes, n2: int, sketch2: bytes) -> int:
     """No fewer than the shingles that both sets hold: a bit that one side lacks stands for a shingle it lacks."""
     one, two = np.frombuffer(sketch1, np.uint8), np.frombuffer(sketch2, np.uint8)
-    while len(one) > len(two):
-        one = one[:len(one) // 2] | one[len(one) // 2:]
-    while len(two) > len(one):
-        two = two[:len(two) // 2] | two[len(two) // 2:]
+    one, two = folded(one, len(two)), folded(two, len(one))
     return min(n1 - int(np.bitwise_count(one & ~two).sum()), n2 - int(np.bitwise_count(two & ~one).sum()))
 
 
+class BucketHits:
+    """How often each hash bucket was met: a byte per bucket, and for the few that outgrow it what is above."""
+
+    def __init__(self) -> None:
+        self.low, self.above, self.total = np.zeros(1 << BUCKET_BITS, np.uint8), {}, 0
+
+    def add(self, buckets: np.ndarray, times: np.ndarray) -> None:
+        """``buckets`` are distinct."""
+        at = buckets.astype(np.int64)
+        now = self.low[at] + times
+        self.low[at] = (now & 255).astype(np.uint8)
+        self.total += int(times.sum())
+        for i in np.flatnonzero(now > 255).tolist():
+            self.above[int(at[i])] = self.above.get(int(at[i]), 0) + (int(now[i]) >> 8 << 8)
+
+    def frequent(self) -> tuple[np.ndarray, np.ndarray]:
+        """The frequent buckets and their hits."""
+        limit = max(FREQUENT_LEAST, FREQUENT_TIMES * self.total / len(self.low))
+        above = np.fromiter(sorted(self.above), np.int64, len(self.above))
+        step = 1 << 20
+        at = np.concatenate([above, *[lo + np.flatnonzero(self.low[lo:lo + step] >= limit)
+                                      for lo in range(0, len(self.low), step)]])
+        at = np.unique(at)
+        hits = self.low[at] + np.array([self.above.get(i, 0) for i in at.tolist()], np.int64)
+        return at[hits >= limit], hits[hits >= limit]
+
+
 def document_sets(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     """Per row (doc_id, n, sid, sketch); and per task and frequent bucket a row (bucket, hits)."""
     shift = np.uint64(64 - BUCKET_BITS)
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hits = np.zeros(1 << BUCKET_BITS, np.int32)
+        hits = BucketHits()
         for batch in batches:
             sizes, ids, bits = [], [], []
-            for _, _, words in text_runs(batch.column("text")):
+            for _, _, words in text_runs(batch.column("text"), RUN):
                 own = list(shingle_sets(words, width))
                 sizes += map(len, own)
                 ids += map(set_id, own)
                 bits += map(sketch, own)
                 if own:
-                    at, n = np.unique(np.concatenate(own) >> shift, return_counts=True)
-                    hits[at.astype(np.int64)] += n.astype(np.int32)
+                    hits.add(*np.unique(np.concatenate(own) >> shift, return_counts=True))
             none = pa.nulls(len(sizes))
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(ids, pa.int64()),
                  pa.array(bits, pa.binary()), none.cast(pa.int32()), none.cast(pa.int64())],
                 ["doc_id", "n", "sid", "sketch", "bucket", "hits"])
-        at = np.flatnonzero(hits >= max(FREQUENT_LEAST, FREQUENT_TIMES * hits.mean()))
+        at, often = hits.frequent()
         none = pa.nulls(len(at), pa.int64())
         yield pa.RecordBatch.from_arrays(
-            [none, none, none, pa.nulls(len(at), pa.binary()), pa.array(at.astype(np.int32)), pa.array(hits[at].astype(np.int64))],
+            [none, none, none, pa.nulls(len(at), pa.binary()), pa.array(at.astype(np.int32)), pa.array(often)],
             ["doc_id", "n", "sid", "sketch", "bucket", "hits"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(task, _SETS)
@@ -127,7 +164,7 @@ def prefix_index(docs: DataFrame, classes: np.ndarray, width: int, percent: int)
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, groups, members = sent.value, set(), set()
         for batch in batches:
-            for _, _, words in text_runs(batch.column("text")):
+            for _, _, words in text_runs(batch.column("text"), RUN):
                 tokens, gids, sizes, places = [], [], [], []
                 for own in shingle_sets(words, width):
                     sid = set_id(own)
@@ -179,7 +216,7 @@ def shared_entries(index: DataFrame) -> DataFrame:
     alone = F.when(F.col("place") < 0, F.col("token")).otherwise(F.lit(0))
     alike = Window.partitionBy("_least", "_most", "_groups", "_all", "_alone").orderBy("_at", "token")
     first = shared.withColumn("_alone", alone).withColumn("_turn", F.dense_rank().over(alike)).where("_turn = 1")
-    size_class = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(1.25))).cast("int")
+    size_class = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(CLASS_STEP))).cast("int")
     return first.select("token", "gid", "n", "place", size_class.alias("class"))
 
 
@@ -199,7 +236,7 @@ def fetch_sets(ids: DataFrame, docs: DataFrame, width: int) -> DataFrame:
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for _, _, words in text_runs(batch.column("text")):
+            for _, _, words in text_runs(batch.column("text"), RUN):
                 own = list(shingle_sets(words, width))
                 yield pa.record_batch({"sid": pa.array(map(set_id, own), pa.int64()),
                                        "shingles": pa.array([x.tobytes() for x in own], pa.binary())})
@@ -293,6 +330,50 @@ def open_lists(lists: DataFrame, members: DataFrame, heads: DataFrame, labels: D
     return materialize(both.select("token", "n", "place", "class", "sid", "part"), "open")
 
 
+def class_bits(size_class: int, n: int) -> int:
+    """Bits of a sketch in a list's size class: no more than the sketches of this class and of the one below have."""
+    least = n if size_class < 0 else int(CLASS_STEP ** (size_class - 1))
+    return min(MOST_BITS, 1 << max(6, (SHINGLE_BITS * least - 1).bit_length()))
+
+
+def with_bits(entries: DataFrame) -> DataFrame:
+    """Entries with their sketch as ``bits``, of one length for all entries of a list and class."""
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sides = (batch.column(c).to_pylist() for c in ("class", "n", "sketch"))
+            bits = [folded(np.frombuffer(x, np.uint8), class_bits(c, n) // 8).view(np.int64) for c, n, x in zip(*sides, strict=True)]
+            rest = [c for c in batch.schema.names if c != "sketch"]
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in rest], pa.array(bits, pa.list_(pa.int64()))],
+                                             [*rest, "bits"])
+
+    schema = "token long, class int, n int, place int, sid long, part long, bits array<long>"
+    return entries.select("token", "class", "n", "place", "sid", "part", "sketch").mapInArrow(task, schema)
+
+
+def sketches_allow(n1: Column, bits1: Column, n2: Column, bits2: Column, percent: int) -> Column:
+    """``most_common`` as a condition; true where the lengths differ."""
+
+    def lacks(x: Column, y: Column) -> Column:
+        return F.aggregate(F.zip_with(x, y, lambda a, b: F.bit_count(a.bitwiseAND(F.bitwise_not(b)))), F.lit(0),
+                           lambda total, one: total + one)
+
+    most = F.least(n1 - lacks(bits1, bits2), n2 - lacks(bits2, bits1))
+    return F.coalesce(most * (100 + percent) >= (n1 + n2) * percent, F.lit(True))
+
+
+def meetings(left: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
+    """All pairs (a, b) of open entries of different components that pass the filters and the sketches."""
+    left = materialize(left.join(reps.select("sid", "sketch"), "sid"), "sketched")
+    wide = with_bits(left.withColumn("class", F.explode(F.array(F.col("class"), F.col("class") + 1))))
+    wide = wide.select("token", "class", *[F.col(c).alias(f"{c}1") for c in ("n", "place", "sid", "part", "bits")])
+    # the larger one is in the same size class or the next; equal classes meet twice
+    met = wide.join(with_bits(left), ["token", "class"]).where(
+        (F.col("part1") != F.col("part")) & may_match(F.col("n1"), F.col("place1"), F.col("n"), F.col("place"), percent)
+        & sketches_allow(F.col("n1"), F.col("bits1"), F.col("n"), F.col("bits"), percent))
+    return met.select(F.least("sid1", "sid").alias("a"), F.greatest("sid1", "sid").alias("b"))
+
+
 def similar_documents(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, rounds: int = ROUNDS) -> DataFrame:
     """Per row of (doc_id, text): doc_id, n_shingles, component_id (smallest doc_id reachable by links).
 
@@ -334,12 +415,7 @@ def similar_documents(docs: DataFrame, width: int = WIDTH, percent: int = PERCEN
 
     # all pairs between components that may match
     left = open_lists(lists, members, heads, labels)
-    wide = left.withColumn("class", F.explode(F.array(F.col("class"), F.col("class") + 1)))
-    wide = wide.select("token", "class", *[F.col(c).alias(f"{c}1") for c in ("n", "place", "sid", "part")])
-    # the larger one is in the same size class or the next; equal classes meet twice
-    met = wide.join(left, ["token", "class"]).where(
-        (F.col("part1") != F.col("part")) & may_match(F.col("n1"), F.col("place1"), F.col("n"), F.col("place"), percent))
-    labels = merged(labels, verifier.linked(met.select(F.least("sid1", "sid").alias("a"), F.greatest("sid1", "sid").alias("b"))))
+    labels = merged(labels, verifier.linked(meetings(left, reps, percent)))
 
     table = reps.join(labels.select(F.col("node").alias("sid"), "root"), "sid", "left").select(
         "sid", "rep", "rows", F.coalesce("root", "sid").alias("part"))
