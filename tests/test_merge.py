@@ -1,12 +1,14 @@
 """Cleaning, aggregation and merging on small hand-made frames."""
 
 import datetime as dt
+import re
 
 import pytest
 from plans import plan_of
 from pyspark.sql import functions as F
 
 from weft.operators import aggregate as A
+from weft.operators import skew
 from weft.operators.asof import asof_join, asof_rolling
 from weft.operators.clean import clean_fill, project, take_split, union_split
 from weft.operators.merge import (
@@ -331,6 +333,22 @@ def test_side_rows_move_once(spark):
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
 
 
+@pytest.mark.parametrize("unions", ["length", "pieces"])
+def test_tasks_grow_in_number_with_the_side_rows(spark, monkeypatch, unions):
+    left, right = _sides(spark)
+    monkeypatch.setattr(skew, "TASK_VALUES", 60)
+    out = join_with_unions(left, right, ["k"], ["rk"], "side", ["at"], unions, broadcast_keys=0, piece_rows=2)
+    found = re.findall(r"hashpartitioning\(rk#\d+L?, (\d+)\), REPARTITION_BY_NUM", plan_of(out.rows))
+    monkeypatch.undo()
+    plain = join_with_unions(left, right, ["k"], ["rk"], "side", ["at"], unions, broadcast_keys=0, piece_rows=2)
+    assert found and min(map(int, found)) >= 273 * 4 // 60 and "REPARTITION_BY_NUM" not in plan_of(plain.rows)
+    rows = [sorted(m.rows.collect(), key=lambda r: r["id"]) for m in (out, plain)]
+    assert rows[0] == rows[1]
+    for c in out.unions:
+        texts = [sorted(map(tuple, m.unions[c].of(m.rows, "id").collect())) for m in (out, plain)]
+        assert texts[0] == texts[1] and texts[0]
+
+
 def test_to_one_null_key_still_meets_null(spark):
     left, right = _sides(spark)
     table = tag_table(right.groupBy("rk").agg({"at": "max"}).withColumnRenamed("max(at)", "top"), "t", TableSpec({"top": NUM}))

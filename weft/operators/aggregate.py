@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from weft.operators.ordered import OrderedRows
+from weft.operators.skew import deal
 from weft.sources.tables import CAT, MULTI_CAT, NUM, columns_of
 
 # The result for a group without a usable value, and the list delimiter.
@@ -111,10 +112,11 @@ def list_union_pieces(df: DataFrame, keys: Sequence[str], value: str, order: Seq
 
 
 def pieces_by_key(df: DataFrame, keys: Sequence[str], cats: Sequence[str], lists: Sequence[str], order: Sequence[str],
-                  piece_rows: int = PIECE_ROWS) -> DataFrame:
+                  piece_rows: int = PIECE_ROWS, n_rows: int = 0) -> DataFrame:
     """``cat_union_pieces`` and ``list_union_pieces`` of many columns from one shuffle: (keys, column, piece, text).
 
-    All rows of a key meet in one task, sorted on disk if need be; it is for keys that are not hot.
+    All rows of a key meet in one task, sorted on disk if need be; it is for keys that are not hot. ``n_rows`` is about how
+    many rows ``df`` has and decides the number of tasks (see ``deal``).
     """
     kinds = list(dict.fromkeys(df.schema[c].dataType for c in (*cats, *lists)))
     places, values = [f"_o{i}" for i in range(len(order))], [f"_v{i}" for i in range(len(kinds))]
@@ -126,7 +128,8 @@ def pieces_by_key(df: DataFrame, keys: Sequence[str], cats: Sequence[str], lists
                for k, n in zip(kinds, values, strict=True)]
         return F.struct(F.lit(column).alias("column"), F.lit(column in lists).alias("_list"), *by, *own)
 
-    every = df.repartition(*keys).select(*keys, F.explode(F.array(*map(entry, (*cats, *lists)))).alias("_e"))
+    # a row becomes one for each column, and that has a place for each kind
+    every = deal(df, keys, n_rows * (len(cats) + len(lists)) * (1 + len(values))).select(*keys, F.explode(F.array(*map(entry, (*cats, *lists)))).alias("_e"))
     found = every.select(*keys, "_e.*").groupBy(*keys, "column", "_list", *places, *values).agg(F.count(F.lit(1)).alias("_n"))
     used = reduce(lambda a, b: a | b, [F.col(v).isNotNull() for v in values])
     found = found.withColumn("_unused", ~used)

@@ -36,7 +36,7 @@ from weft.operators.aggregate import (
 )
 from weft.operators.asof import asof_join
 from weft.operators.clean import clean_fill
-from weft.operators.skew import BROADCAST_KEYS, HOT_ROWS, KeyProfile, attach, has_null_key, is_small, key_profiles, same_keys
+from weft.operators.skew import BROADCAST_KEYS, HOT_ROWS, KeyProfile, attach, deal, has_null_key, is_small, key_profiles, same_keys
 from weft.sources.tables import (
     CAT,
     MULTI_CAT,
@@ -230,7 +230,7 @@ def aggregate_with_unions(right: DataFrame, keys: Sequence[str], table: str, ord
         return _join_aggregates(out, pairs.groupBy(*keys).agg(*[cat_union_length(c).alias(n) for c, n in lengths.items()]), keys)
 
     def at_once(rows: DataFrame) -> DataFrame:
-        met = rows.repartition(*keys)
+        met = deal(rows, keys, n_rows * max(len(meta), 1))
         for i, c in enumerate(lengths):
             same = Window.partitionBy(*keys, F.col(c).cast("string")).orderBy(*keys)
             met = met.withColumn(f"_fresh{i}", F.row_number().over(same) == 1)
@@ -238,7 +238,7 @@ def aggregate_with_unions(right: DataFrame, keys: Sequence[str], table: str, ord
             fresh_length(c, f"_fresh{i}").alias(n) for i, (c, n) in enumerate(lengths.items())]).drop("_side_rows")
 
     if unions in ("length", "pieces"):
-        cold, heavy = _by_heat(right, keys, hot_rows, measured)
+        cold, heavy, n_rows = _by_heat(right, keys, hot_rows, measured)
         table_out = at_once(cold) if heavy is None else at_once(cold).unionByName(in_steps(heavy))
     else:
         table_out = in_steps(right)
@@ -254,7 +254,7 @@ def aggregate_with_unions(right: DataFrame, keys: Sequence[str], table: str, ord
         lists = [c for c in cols[MULTI_CAT] if c not in nested]
         parts = []
         if cols[CAT] or lists:
-            parts.append(pieces_by_key(cold, keys, cols[CAT], lists, order, piece_rows))
+            parts.append(pieces_by_key(cold, keys, cols[CAT], lists, order, piece_rows, n_rows))
         if heavy is not None:
             parts += [(cat_union_pieces(heavy, keys, c, piece_rows) if c in cols[CAT] else
                        list_union_pieces(heavy, keys, c, order, piece_rows)).withColumn("column", F.lit(c))
@@ -275,13 +275,13 @@ def aggregate_with_unions(right: DataFrame, keys: Sequence[str], table: str, ord
 
 
 def _by_heat(rows: DataFrame, keys: Sequence[str], hot_rows: int,
-             measured: DataFrame | None = None) -> tuple[DataFrame, DataFrame | None]:
-    """The rows of keys that are not hot, and those of hot ones if there are any."""
-    hot = key_profiles(measured or rows, [keys], hot_rows)[tuple(keys)].hot
-    if not hot:
-        return rows, None
-    heavy = F.xxhash64(*keys).isin(list(hot))
-    return rows.where(~heavy), rows.where(heavy)
+             measured: DataFrame | None = None) -> tuple[DataFrame, DataFrame | None, int]:
+    """The rows of keys that are not hot, those of hot ones if there are any, and how many rows there are in all."""
+    found = key_profiles(measured or rows, [keys], hot_rows)[tuple(keys)]
+    if not found.hot:
+        return rows, None, found.rows
+    heavy = F.xxhash64(*keys).isin(list(found.hot))
+    return rows.where(~heavy), rows.where(heavy), found.rows
 
 
 def _union_of_unions(right: DataFrame, keys: Sequence[str], column: str, order: Sequence[str], pieces: UnionPieces,

@@ -17,14 +17,18 @@ HOT_ROWS = 1_000_000
 HOT_KEYS = 10_000
 # Shares a hot key is split into; its table row is repeated that often.
 SALTS = 4_096
+# Rows times columns that a task is to sort or gather when rows are dealt by key. Spark joins shuffled partitions by their packed
+# size, and what is made of them in the task is many times larger.
+TASK_VALUES = 2_000_000
 
 
 @dataclass(frozen=True)
 class KeyProfile:
-    """Estimated number of distinct keys, and the hashes of the hot ones."""
+    """Estimated number of distinct keys, the hashes of the hot ones, and the number of rows."""
 
     distinct: int
     hot: tuple[int, ...] = ()
+    rows: int = 0
 
 
 def same_keys(left: Sequence[Column], right: Sequence[Column]) -> Column:
@@ -47,8 +51,18 @@ def key_profiles(rows: DataFrame, key_sets: Iterable[Sequence[str]],
         aggs += [F.expr(f"approx_count_distinct({h})").alias(f"n{i}"),
                  F.expr(f"transform(filter(approx_top_k({h}, {HOT_KEYS}, {HOT_KEYS}), x -> x.count >= {hot_rows}), "
                         f"x -> x.item)").alias(f"h{i}")]
-    found = rows.agg(*aggs).first()
-    return {ks: KeyProfile(found[f"n{i}"], tuple(found[f"h{i}"] or ())) for i, ks in enumerate(sets)}
+    found = rows.agg(F.count(F.lit(1)).alias("rows"), *aggs).first()
+    return {ks: KeyProfile(found[f"n{i}"], tuple(found[f"h{i}"] or ()), found["rows"]) for i, ks in enumerate(sets)}
+
+
+def deal(rows: DataFrame, keys: Sequence[str], values: int) -> DataFrame:
+    """Deal rows by key. ``values`` is how many rows times columns there are: the tasks grow in number with it, not in size."""
+    spark = rows.sparkSession
+    tasks = -(-values // TASK_VALUES)
+    if tasks <= spark.sparkContext.defaultParallelism:
+        return rows.repartition(*keys)
+    # a number keeps the partitions apart; with fewer than the session's a join would deal the rows again
+    return rows.repartition(max(tasks, int(spark.conf.get("spark.sql.shuffle.partitions"))), *keys)
 
 
 def _names(columns: Sequence[str]) -> str:
