@@ -526,6 +526,19 @@ def test_probabilities_sum_to_one_and_ignore_the_place_itself():
     assert np.exp(lp).sum() == pytest.approx(1.0, abs=1e-3)
 
 
+def test_row_maxima_and_probabilities_by_hand():
+    rng = np.random.default_rng(14)
+    z = rng.normal(size=(7, pseudo.BASE)).astype(np.float32)
+    assert (pseudo.row_max(z) == z.max(1, keepdims=True)).all() and pseudo.row_max(z[:0]).shape == (0, 1)
+    net = pseudo.new_network()
+    context, high = rng.integers(0, pseudo.OUTSIDE + 1, (7, 2 * pseudo.WINDOW)).astype(np.int32), np.arange(7, dtype=np.int32)
+    x, h, g, p, q = pseudo.forward(net, context, high)
+    assert (x == net[0][context].reshape(7, -1)).all() and (g == np.tanh(h + net[5][high])).all()
+    for got, logits in ((p, h @ net[3] + net[4]), (q, g @ net[6] + net[7])):
+        e = np.exp(logits - logits.max(1, keepdims=True))
+        assert (got == e / e.sum(1, keepdims=True)).all()
+
+
 # 10 tokens
 
 @pytest.fixture(scope="module")

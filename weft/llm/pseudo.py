@@ -133,17 +133,25 @@ def contexts(ids: np.ndarray, first: np.ndarray) -> np.ndarray:
     return out
 
 
+def row_max(z: np.ndarray) -> np.ndarray:
+    """The largest value of each row as a column, by halves: rows are too short for a reduction of each. The width is a power of two."""
+    while z.shape[1] > 1:
+        half = z.shape[1] // 2
+        z = np.maximum(z[:, :half], z[:, half:])
+    return z
+
+
 def _softmax(z: np.ndarray) -> np.ndarray:
-    z -= z.max(1, keepdims=True)
+    z -= row_max(z)
     np.exp(z, out=z)
     z /= z.sum(1, keepdims=True)
     return z
 
 
 def forward(net: Network, context: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, ...]:
-    x = net[0][context].reshape(len(context), -1)
+    x = net[0].take(context.reshape(-1), 0).reshape(len(context), -1)
     h = np.tanh(x @ net[1] + net[2])
-    g = np.tanh(h + net[5][high])
+    g = np.tanh(h + net[5].take(high, 0))
     return x, h, g, _softmax(h @ net[3] + net[4]), _softmax(g @ net[6] + net[7])
 
 
