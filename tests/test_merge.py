@@ -333,20 +333,17 @@ def test_side_rows_move_once(spark):
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
 
 
-@pytest.mark.parametrize("unions", ["length", "pieces"])
-def test_tasks_grow_in_number_with_the_side_rows(spark, monkeypatch, unions):
-    left, right = _sides(spark)
+def test_tasks_of_union_pieces_grow_in_number_with_the_rows(spark, monkeypatch):
+    _, right = _sides(spark)
+
+    def pieces(n_rows):
+        return A.pieces_by_key(right, ["rk"], ["c", "n"], ["l"], ["at"], 2, n_rows)
+
     monkeypatch.setattr(skew, "TASK_VALUES", 60)
-    out = join_with_unions(left, right, ["k"], ["rk"], "side", ["at"], unions, broadcast_keys=0, piece_rows=2)
-    found = re.findall(r"hashpartitioning\(rk#\d+L?, (\d+)\), REPARTITION_BY_NUM", plan_of(out.rows))
-    monkeypatch.undo()
-    plain = join_with_unions(left, right, ["k"], ["rk"], "side", ["at"], unions, broadcast_keys=0, piece_rows=2)
-    assert found and min(map(int, found)) >= 273 * 4 // 60 and "REPARTITION_BY_NUM" not in plan_of(plain.rows)
-    rows = [sorted(m.rows.collect(), key=lambda r: r["id"]) for m in (out, plain)]
-    assert rows[0] == rows[1]
-    for c in out.unions:
-        texts = [sorted(map(tuple, m.unions[c].of(m.rows, "id").collect())) for m in (out, plain)]
-        assert texts[0] == texts[1] and texts[0]
+    many = re.findall(r"hashpartitioning\(rk#\d+L?, (\d+)\), REPARTITION_BY_NUM", plan_of(pieces(300)))
+    assert many and int(many[0]) >= 300 * 3 // 60 and "REPARTITION_BY_NUM" not in plan_of(pieces(30))
+    rows = [sorted(map(tuple, pieces(n).collect()), key=str) for n in (0, 300)]
+    assert rows[0] == rows[1] and rows[0]
 
 
 def test_to_one_null_key_still_meets_null(spark):

@@ -129,7 +129,8 @@ def pieces_by_key(df: DataFrame, keys: Sequence[str], cats: Sequence[str], lists
         return F.struct(F.lit(column).alias("column"), F.lit(column in lists).alias("_list"), *by, *own)
 
     # a row becomes one for each column, and that has a place for each kind
-    every = deal(df, keys, n_rows * (len(cats) + len(lists)) * (1 + len(values))).select(*keys, F.explode(F.array(*map(entry, (*cats, *lists)))).alias("_e"))
+    dealt = deal(df, keys, n_rows * (len(cats) + len(lists)) * (1 + len(values)))
+    every = dealt.select(*keys, F.explode(F.array(*map(entry, (*cats, *lists)))).alias("_e"))
     found = every.select(*keys, "_e.*").groupBy(*keys, "column", "_list", *places, *values).agg(F.count(F.lit(1)).alias("_n"))
     used = reduce(lambda a, b: a | b, [F.col(v).isNotNull() for v in values])
     found = found.withColumn("_unused", ~used)

@@ -17,7 +17,7 @@ HOT_ROWS = 1_000_000
 HOT_KEYS = 10_000
 # Shares a hot key is split into; its table row is repeated that often.
 SALTS = 4_096
-# Rows times columns that a task is to sort or gather when rows are dealt by key. Spark joins shuffled partitions by their packed
+# Values that a task is to hold when rows are dealt by key and taken apart there. Spark joins shuffled partitions by their packed
 # size, and what is made of them in the task is many times larger.
 TASK_VALUES = 2_000_000
 
@@ -56,7 +56,7 @@ def key_profiles(rows: DataFrame, key_sets: Iterable[Sequence[str]],
 
 
 def deal(rows: DataFrame, keys: Sequence[str], values: int) -> DataFrame:
-    """Deal rows by key. ``values`` is how many rows times columns there are: the tasks grow in number with it, not in size."""
+    """Deal rows by key for tasks that make ``values`` values of them in all: with these the tasks grow in number, not in size."""
     spark = rows.sparkSession
     tasks = -(-values // TASK_VALUES)
     if tasks <= spark.sparkContext.defaultParallelism:
