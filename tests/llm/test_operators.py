@@ -539,6 +539,40 @@ def test_row_maxima_and_probabilities_by_hand():
         assert (got == e / e.sum(1, keepdims=True)).all()
 
 
+def test_row_sums_and_steps_by_hand():
+    """The sums of short rows have numpy's bits, and a step over all weights at once those of a step by each array."""
+    rng = np.random.default_rng(15)
+    z = rng.exponential(size=(700, pseudo.BASE)).astype(np.float32)
+    assert (pseudo.row_sums(z) == z.sum(1, keepdims=True)).all() and pseudo.row_sums(z[:0]).shape == (0, 1)
+    ids = rng.integers(0, pseudo.VOCABULARY, 1300).astype(np.int32)
+    context = pseudo.contexts(ids, np.array([0, 900, 900, 1300]))
+    trainer = pseudo.Trainer(pseudo.new_network(), 0.01)
+    assert all(np.shares_memory(trainer.flat, a) for a in trainer.net)
+    trainer.learn(ids, context)
+    net = pseudo.new_network()
+    square = [np.full_like(a, 1e-6) for a in net]
+    for lo in range(0, len(ids), pseudo.BLOCK):
+        own, around = ids[lo:lo + pseudo.BLOCK], context[lo:lo + pseudo.BLOCK]
+        n, high, low, row = len(own), own // pseudo.BASE, own % pseudo.BASE, np.arange(len(own))
+        x, h, g, p, q = pseudo.forward(net, around, high)
+        p[row, high] -= 1
+        q[row, low] -= 1
+        p /= n
+        q /= n
+        dg = (q @ net[6].T) * (1 - g * g)
+        dh = (p @ net[3].T + dg) * (1 - h * h)
+        dx = (dh @ net[1].T).reshape(-1, pseudo.WIDTH).astype(float)
+        embedding = np.zeros(net[0].shape)
+        np.add.at(embedding, around.reshape(-1), dx)
+        digit = (high == np.arange(pseudo.BASE)[:, None]).astype(np.float32)
+        grads = [embedding.astype(np.float32), x.T @ dh, dh.sum(0), h.T @ p, p.sum(0), digit @ dg, g.T @ q, q.sum(0)]
+        for a, s, gr in zip(net, square, grads, strict=True):
+            s *= 0.99
+            s += 0.01 * gr * gr
+            a -= 0.01 * gr / (np.sqrt(s) + 1e-6)
+    assert trainer.seen == 1300 and all((a == b).all() for a, b in zip(trainer.net, net, strict=True))
+
+
 # 10 tokens
 
 @pytest.fixture(scope="module")

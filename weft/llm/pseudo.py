@@ -141,18 +141,42 @@ def row_max(z: np.ndarray) -> np.ndarray:
     return z
 
 
-def _softmax(z: np.ndarray) -> np.ndarray:
+def row_sums(z: np.ndarray) -> np.ndarray:
+    """The sum of each row as a column, in numpy's order: eight running sums, then their tree. The width is a multiple of eight."""
+    total = sum((z[:, at:at + 8] for at in range(8, z.shape[1], 8)), z[:, :8])
+    while total.shape[1] > 1:
+        total = total[:, ::2] + total[:, 1::2]
+    return total
+
+
+def exponents(rows: np.ndarray, weights: np.ndarray, bias: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The exponentials of each row's outcomes less the largest, and their sums as a column. An outcome's values lie side by
+    side: so every step is over long stretches of them."""
+    z = (weights.T @ rows.T).T
+    z += bias
     z -= row_max(z)
     np.exp(z, out=z)
-    z /= z.sum(1, keepdims=True)
-    return z
+    return z, row_sums(z)
 
 
-def forward(net: Network, context: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, ...]:
+def hidden(net: Network, context: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, ...]:
     x = net[0].take(context.reshape(-1), 0).reshape(len(context), -1)
-    h = np.tanh(x @ net[1] + net[2])
-    g = np.tanh(h + net[5].take(high, 0))
-    return x, h, g, _softmax(h @ net[3] + net[4]), _softmax(g @ net[6] + net[7])
+    h = x @ net[1]
+    h += net[2]
+    np.tanh(h, out=h)
+    g = net[5].take(high, 0)
+    g += h
+    return x, h, np.tanh(g, out=g)
+
+
+def forward(net: Network, context: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, ...]:
+    x, h, g = hidden(net, context, high)
+    out = []
+    for rows, weights, bias in ((h, net[3], net[4]), (g, net[6], net[7])):
+        z, total = exponents(rows, weights, bias)
+        z /= total
+        out.append(np.ascontiguousarray(z))
+    return x, h, g, *out
 
 
 def log_probabilities(net: Network, ids: np.ndarray, context: np.ndarray) -> np.ndarray:
@@ -161,18 +185,23 @@ def log_probabilities(net: Network, ids: np.ndarray, context: np.ndarray) -> np.
     for lo in range(0, len(ids), SCORE_BLOCK):
         own = ids[lo:lo + SCORE_BLOCK]
         high, low = own // BASE, own % BASE
-        *_, p, q = forward(net, context[lo:lo + SCORE_BLOCK], high)
+        _, h, g = hidden(net, context[lo:lo + SCORE_BLOCK], high)
         row = np.arange(len(own))
-        out[lo:lo + SCORE_BLOCK] = np.log(p[row, high] + 1e-30) + np.log(q[row, low] + 1e-30)
+        # only the own outcome of a place is divided
+        (p, p_sum), (q, q_sum) = exponents(h, net[3], net[4]), exponents(g, net[6], net[7])
+        out[lo:lo + SCORE_BLOCK] = (np.log(p[row, high] / p_sum[:, 0] + 1e-30)
+                                     + np.log(q[row, low] / q_sum[:, 0] + 1e-30))
     return out
 
 
 class Trainer:
-    """Steps of one copy of the network, each with a step size of its own per weight."""
+    """Steps of one copy of the network, each with a step size of its own per weight. All weights lie in one array, and so do their
+    gradients; ``net`` and ``grads`` are the parts of it."""
 
     def __init__(self, net: Network, rate: float) -> None:
-        self.net = [a.copy() for a in net]
-        self.square = [np.full_like(a, 1e-6) for a in net]
+        self.flat, self.net = _parts(net)
+        self.gradient, self.grads = _parts(net)
+        self.square = np.full_like(self.flat, 1e-6)
         self.rate, self.seen = rate, 0
 
     def learn(self, ids: np.ndarray, context: np.ndarray) -> None:
@@ -190,21 +219,34 @@ class Trainer:
         q /= n
         dg = (q @ net[6].T) * (1 - g * g)
         dh = (p @ net[3].T + dg) * (1 - h * h)
-        dx = (dh @ net[1].T).reshape(n * 2 * WINDOW, WIDTH)
-        flat = context.reshape(-1)
-        embedding = np.empty_like(net[0])
+        # a row per column of the embedding
+        dx = (dh @ net[1].T).reshape(n * 2 * WINDOW, WIDTH).T.astype(np.float64, order="C")
+        places = context.reshape(-1).astype(np.intp)
+        embedding = self.grads[0]
         for c in range(WIDTH):
-            embedding[:, c] = np.bincount(flat, dx[:, c], len(net[0]))
+            embedding[:, c] = np.bincount(places, dx[c], len(embedding))
         digit = np.zeros((BASE, n), np.float32)
         digit[high, row] = 1
-        grads = [embedding, x.T @ dh, dh.sum(0), h.T @ p, p.sum(0), digit @ dg, g.T @ q, q.sum(0)]
-        for a, s, gr in zip(net, self.square, grads, strict=True):
-            s *= 0.99
-            s += 0.01 * gr * gr
-            a -= self.rate * gr / (np.sqrt(s) + 1e-6)
+        for own, value in zip(self.grads[1:], (x.T @ dh, dh.sum(0), h.T @ p, p.sum(0), digit @ dg, g.T @ q, q.sum(0)), strict=True):
+            own[...] = value
+        gr, s = self.gradient, self.square
+        s *= 0.99
+        s += 0.01 * gr * gr
+        size = np.sqrt(s)
+        size += 1e-6
+        gr *= self.rate
+        gr /= size
+        self.flat -= gr
         self.seen += n
 
 
+def _parts(net: Network) -> tuple[np.ndarray, Network]:
+    """A copy of all weights in one array, and the network as views of it."""
+    flat = np.concatenate([a.reshape(-1) for a in net])
+    ends = np.cumsum([a.size for a in net])
+    return flat, [flat[e - a.size:e].reshape(a.shape) for a, e in zip(net, ends, strict=True)]
+
+
 def pack(net: Network) -> bytes:
     return b"".join(a.tobytes() for a in net)
 
