@@ -87,3 +87,52 @@ def test_misuse_is_refused(tables):
         RelationalModel().predict(tables.tables["main"])
     with pytest.raises(ValueError):
         RelationalModel(fit_scope="some").fit(tables)
+
+
+def test_what_fits_move_does_not_grow_with_partitions(spark, monkeypatch):
+    """Each partition of a fit sends statistics for every level of every tree: there are no more of them than cores."""
+    from weft.operators import model
+
+    rows = spark.createDataFrame([(i, i % 2, float(i % 7), float(i % 2)) for i in range(400)], "id long, label int, a double, b double")
+    vectors = assemble(rows.repartition(60, "id"), ["a", "b"], ["id", "label"])
+    seen, fit = [], model.GBTClassifier.fit
+    monkeypatch.setattr(model.GBTClassifier, "fit", lambda self, df, params=None: seen.append(df.rdd.getNumPartitions()) or fit(self, df, params))
+    train(vectors, "label", rounds=2)
+    train_until(vectors, "id", "label", rounds=2)
+    train_until(vectors, "id", "label", rounds=2, share=0)
+    assert len(seen) == 3 and max(seen) <= spark.sparkContext.defaultParallelism < 60
+
+
+def test_only_columns_of_wanted_features_are_written(tables, monkeypatch):
+    """With chosen features no other column of the rows goes through the ranges or the rows that are written."""
+    from weft.operators import ordered
+    from weft.plans import features
+
+    base = materialize(merge_graph(tables), "merged")
+    full = engineer(base, tables, ["id", "label"], label="label")
+    written = {}
+
+    def kept(df, name="table"):
+        written.setdefault(name, set(df.columns))
+        return materialize(df, name)
+
+    monkeypatch.setattr(features, "materialize", kept)
+    monkeypatch.setattr(ordered, "materialize", kept)
+    part = engineer(base, tables, ["id", "label"], pairs=full.pairs, selected={"n_diff_1", "t_hour"} & set(full.features))
+    assert "n_diff_1" in part.features
+    assert written["ranges"] == {"id", "label", "n", "t", ordered.BUCKET}
+    assert written["rows"] == {"id", "label", *part.features}
+
+
+def test_models_and_selection_write_no_second_copy(spark, tables, monkeypatch):
+    """Rows that are written already are read as they are."""
+    from weft.operators import model, selection
+
+    rows = materialize(spark.createDataFrame([(i, i % 2, float(i % 7), float(i % 2)) for i in range(400)],
+                                             "id long, label int, a double, b double"), "rows")
+    written = []
+    for module in (model, selection):
+        monkeypatch.setattr(module, "materialize", lambda df, name="table": written.append(name) or materialize(df, name), raising=False)
+    assert len(model.train_ensemble(rows, ["a", "b"], "id", "label", n_models=1, rounds=2, trials=0)) == 1
+    assert selection.importance_select(rows, ["a", "b"], "id", "label", rounds=2, trials=0)[0] == ["b"]
+    assert not written
