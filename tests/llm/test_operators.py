@@ -14,7 +14,7 @@ import tiktoken
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from weft.llm import bpe, chains, common, exact, jaccard, kernels, mixing, neighbours, pseudo, quality, templates, warc
+from weft.llm import bpe, chains, common, exact, jaccard, kernels, mixing, neighbours, pseudo, quality, queries, templates, warc
 from weft.sources.workspace import shared_folder
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -437,6 +437,50 @@ def test_every_pair_of_a_list_meets_when_asked(spark, docs):
         assert got == sorted((a, b, 3 * a + s, 3 * b + s) for s in range(3) for a in range(4 * s + 2) for b in range(a))
 
 
+def test_query_compares_every_two_documents_that_share_seeds(spark, docs, tmp_path):
+    rng = random.Random(16)
+    fresh = lambda n: prose(rng, n, 10 ** 7)
+    passage = fresh(70)
+    docs([(i, f"{fresh(10 + i)} {passage} {fresh(15)}") for i in range(1, 9)]).write.parquet(f"{tmp_path}/documents.parquet")
+    got = queries.op8_shared_passages(spark, str(tmp_path)).collect()
+    assert {(r["doc_id"], r["match_doc_id"]) for r in got} == {(a, b) for a in range(1, 9) for b in range(1, a)}
+
+
+def test_one_shared_seed_is_enough_where_the_texts_go_on_alike(spark, docs):
+    rng = random.Random(17)
+    fresh = lambda n: prose(rng, n, 10 ** 7).split()
+    rows, wanted = [], set()
+    for n in range(12):
+        passage = fresh(60)
+        changed = list(passage)
+        for at in [*range(4, 24, 6), *range(39, 60, 6)]:  # only words 23 to 38 are alike in a row
+            changed[at] = "other"
+        rows += [(2 * n + 1, " ".join(fresh(20) + passage + fresh(20))), (2 * n + 2, " ".join(fresh(9) + changed + fresh(30)))]
+        wanted.add((2 * n + 2, 2 * n + 1))
+    made = docs(rows)
+    found = chains.seeds(made)
+    points = chains.all_meetings(found).groupBy("a", "b").count().collect()
+    alone = {(r["a"], r["b"]) for r in points if r["count"] == 1}
+    assert alone and alone <= wanted
+    got = {(r["doc_id"], r["match_doc_id"]): r for r in chains.shared_passages(made, every=True).collect()}
+    assert alone <= set(got) <= wanted
+    assert all(r["agree"] >= 0.8 * (r["end"] - r["start"]) and r["end"] - r["start"] >= 50 for r in got.values())
+
+
+def test_words_beside_seeds_go_on_as_extend_says():
+    rng = random.Random(18)
+    text = [[rng.randrange(4) for _ in range(chains.REACH)] for _ in range(600)]
+    other = [[w if rng.random() < 0.8 else rng.randrange(4) for w in t] for t in text]
+    other = [t[:n] + t[n + 1:] + [5] if rng.random() < 0.5 else t for t in other for n in [rng.randrange(20)]]
+    want = [max(chains._extend(a, b)[:2]) for a, b in zip(text, other, strict=True)]
+    assert chains.go_on(np.array(text, np.uint8), np.array(other, np.uint8)).tolist() == want
+    h = kernels.mix(np.arange(1, 60, dtype=np.uint64))
+    before, behind = chains.beside(h, np.array([0, 3, 49]), 7)
+    assert (before[1][:3] == (h[:3] >> np.uint64(56))[::-1]).all() and (behind[0] == h[10:42] >> np.uint64(56)).all()
+    assert (before[2] == (h[17:49] >> np.uint64(56))[::-1]).all() and behind.shape == (3, chains.REACH)
+    assert (chains.beside(h, np.array([0]), 8)[0] != before[0]).any()
+
+
 def test_common_length_against_dynamic_programme():
     rng = random.Random(9)
     for _ in range(60):
