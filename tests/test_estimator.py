@@ -136,3 +136,26 @@ def test_models_and_selection_write_no_second_copy(spark, tables, monkeypatch):
     assert len(model.train_ensemble(rows, ["a", "b"], "id", "label", n_models=1, rounds=2, trials=0)) == 1
     assert selection.importance_select(rows, ["a", "b"], "id", "label", rounds=2, trials=0)[0] == ["b"]
     assert not written
+
+
+@pytest.fixture
+def few(spark, monkeypatch):
+    """The model queries over a small table of two features instead of the merged orders."""
+    from weft.queries import models
+
+    rows = [(i, i % 7 / 7, i * 13 % 11 / 11, int(i % 7 > 3)) for i in range(60)]
+    made = spark.createDataFrame(rows, "o_orderkey long, a double, b double, label int")
+    monkeypatch.setattr(models, "_table", lambda *_: (made, ["a", "b"]))
+    return models
+
+
+def test_query_trains_all_rounds(spark, few, monkeypatch):
+    seen, fit = [], few.M.train
+
+    def trained(vectors, label, *rest, **more):
+        seen.append(more.get("rounds", few.M.ROUNDS))
+        return fit(vectors, label, rounds=2)
+
+    monkeypatch.setattr(few.M, "train", trained)
+    assert few.gbt_train(spark, "").count() == 60
+    assert seen == [few.M.ROUNDS] == [150]
