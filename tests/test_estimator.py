@@ -159,3 +159,38 @@ def test_query_trains_all_rounds(spark, few, monkeypatch):
     monkeypatch.setattr(few.M, "train", trained)
     assert few.gbt_train(spark, "").count() == 60
     assert seen == [few.M.ROUNDS] == [150]
+
+
+def test_query_searches_with_all_trials_and_rounds(spark, few, monkeypatch):
+    seen, search = [], few.M.tune
+
+    def searched(vectors, label, trials, rounds):
+        seen.append((trials, rounds))
+        return search(vectors, label, 2, 2)
+
+    monkeypatch.setattr(few.M, "tune", searched)
+    assert few.tune(spark, "").count() == 2
+    assert seen == [(few.M.TRIALS, few.M.ROUNDS)] == [(10, 150)]
+
+
+def test_search_agrees_with_spark_and_holds_nothing_in_memory(spark, monkeypatch):
+    from pyspark.ml.evaluation import BinaryClassificationEvaluator
+    from pyspark.ml.tuning import TrainValidationSplit
+    from weft.operators import model as M
+
+    r = random.Random(5)
+    rows = [(r.random(), r.random(), int(r.random() < 0.5)) for _ in range(300)]
+    rows = [(a, b, int(a + b > 1) if r.random() < 0.9 else y) for a, b, y in rows]
+    df = materialize(spark.createDataFrame(rows, "a double, b double, label int").repartition(3, "a"), "rows")
+    vectors = assemble(df, ["a", "b"], ["label"])
+    draws = M.draw_params(3, 1)
+    gbt = M._classifier("label", 3, 1)
+    maps = [{gbt.getParam(n): v for n, v in vars(p).items()} for p in draws]
+    want = TrainValidationSplit(estimator=gbt, estimatorParamMaps=maps, trainRatio=0.5, seed=1, parallelism=2,
+                                evaluator=BinaryClassificationEvaluator(labelCol="label")).fit(vectors).validationMetrics
+    held, fit = [], M.GBTClassifier.fit
+    monkeypatch.setattr(M.GBTClassifier, "fit", lambda self, rows: held.append(rows.storageLevel.useMemory) or fit(self, rows))
+    best, trials = M.tune(vectors, "label", 3, 3)
+    assert [a for _, a in trials] == pytest.approx(want) and [p for p, _ in trials] == draws
+    assert best == draws[max(range(3), key=lambda i: want[i])]
+    assert held == [False] * 3
