@@ -107,6 +107,33 @@ def test_neighbours_of_odd_rows(spark):
     assert neighbours.nearest(vectors(spark, []), F.col("id") % 20 == 0).count() == 0
 
 
+def test_queries_are_sent_to_blocks_in_bounded_batches():
+    count = np.array([3, 40_000, 1_000_000, 0, 512])
+    blocks = neighbours.block_counts(count)
+    assert blocks.tolist() == [1, 64, 123, 1, 1]
+    vec = pa.array([[float(i), 1.0] for i in range(300)])
+    batch = pa.RecordBatch.from_arrays([pa.array(range(300)), vec, pa.array([None] * 300, pa.float64())], ["id", "vec", "bound"])
+    row, visited = np.repeat(np.arange(300), 3), np.tile([2, 0, 1], 300)
+    for most in (50, 4_096):
+        made = list(neighbours.to_blocks(batch, row, visited, blocks, most))
+        assert max(b.num_rows for b in made) <= most
+        got = [(r["id"], r["vec"][0], r["part"], r["block"]) for b in made for r in b.to_pylist()]
+        assert got == [(i, float(i), p, n) for i in range(300) for p in (2, 0, 1) for n in range(blocks[p])]
+    assert list(neighbours.to_blocks(batch, row[:0], visited[:0], blocks, 10)) == []
+
+
+def test_wide_blocks_find_the_same(spark, docs, monkeypatch):
+    rng = np.random.default_rng(19)
+    docs([])
+    made = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(rng.normal(size=(900, 6)))], "vec_id long, embedding array<double>")
+    got = {}
+    for block, most in ((512, 4_096), (16, 7)):
+        monkeypatch.setattr(neighbours, "BLOCK", block)
+        monkeypatch.setattr(neighbours, "SENT", most)
+        got[block] = sorted(map(tuple, neighbours.nearest(made, F.col("id") % 9 == 0, k=5, parts=4).collect()))
+    assert len(got[16]) == 500 and got[16] == got[512]
+
+
 # 2 mixing
 
 def filled(sizes, weights=(5, 2, 1), share=1.5):

@@ -36,6 +36,11 @@ HIDDEN = 64
 EPOCHS = 60
 RECALL = 0.97
 BLOCK = 512
+#: A part has at most so many blocks while they hold no more than ``WIDEST`` candidates: every query goes to each of them.
+BLOCKS = 64
+WIDEST = 8_192
+#: Rows in which queries are sent to blocks at once.
+SENT = 4_096
 #: Queries of one block; a candidate is sent once to each of them.
 ASKERS = 4_096
 
@@ -186,6 +191,31 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return values.reshape(len(column), -1)
 
 
+def block_counts(count: np.ndarray) -> np.ndarray:
+    """Number of blocks of parts with so many candidates."""
+    size = np.clip(-(-count // BLOCKS), BLOCK, WIDEST)
+    return np.maximum(1, -(-count // size))
+
+
+def to_blocks(batch: pa.RecordBatch, row: np.ndarray, visited: np.ndarray, blocks: np.ndarray,
+              most: int) -> Iterator[pa.RecordBatch]:
+    """Queries ``row`` of the batch, once for each block of the part that each visits, in batches of about ``most`` rows."""
+    times = blocks[visited]
+    ends = np.cumsum(times)
+    lo = 0
+    while lo < len(times):
+        hi = max(lo + 1, int(np.searchsorted(ends, ends[lo] - times[lo] + most, "right")))
+        own = times[lo:hi]
+        block = np.arange(own.sum()) - np.repeat(np.cumsum(own) - own, own)
+        take, part = np.repeat(row[lo:hi], own), np.repeat(visited[lo:hi], own).astype(np.int32)
+        for at in range(0, len(take), most):  # one part alone may have more blocks
+            rows = slice(at, at + most)
+            yield pa.RecordBatch.from_arrays(
+                [*[batch.column(c).take(pa.array(take[rows])) for c in ("id", "vec", "bound")], pa.array(part[rows]),
+                 pa.array(block[rows].astype(np.int32))], ["id", "vec", "bound", "part", "block"])
+        lo = hi
+
+
 def nearest(vectors: DataFrame, is_query: Column, id_col: str = "vec_id", vec_col: str = "embedding", k: int = 20,
             sample: int = SAMPLE, parts: int = PARTS) -> DataFrame:
     """The k nearest of each query row: query_id, rank, the candidate's id as ``id_col``, score.
@@ -223,7 +253,7 @@ def nearest(vectors: DataFrame, is_query: Column, id_col: str = "vec_id", vec_co
         count[r["part"]] = r["count"]
     own_rows = placed.groupBy("id").agg(F.count(F.lit(1)).alias("own")).where("own > 1")
     repeats = own_rows.agg(F.max("own")).first()[0] or 1
-    blocks = np.maximum(1, -(-count // BLOCK))
+    blocks, sent_rows = block_counts(count), SENT
 
     def route(home: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
         """Sends queries to the blocks of their most probable part, or to those of the others that they visit."""
@@ -238,15 +268,7 @@ def nearest(vectors: DataFrame, is_query: Column, id_col: str = "vec_id", vec_co
                 before = np.cumsum(share, 1) - share
                 enough = np.cumsum(count[order], 1) - count[order] < k + repeats
                 row, at = np.nonzero(((before < sent.value.mass) | enough) & ((np.arange(p.shape[1]) == 0) == home))
-                visited = order[row, at]
-                # each block of a visited part
-                times = blocks[visited]
-                block = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
-                take = pa.array(np.repeat(row, times))
-                yield pa.RecordBatch.from_arrays(
-                    [*[batch.column(c).take(take) for c in ("id", "vec", "bound")],
-                     pa.array(np.repeat(visited, times).astype(np.int32)), pa.array(block.astype(np.int32))],
-                    ["id", "vec", "bound", "part", "block"])
+                yield from to_blocks(batch, row, order[row, at], blocks, sent_rows)
 
         return task
 
@@ -264,14 +286,15 @@ def nearest(vectors: DataFrame, is_query: Column, id_col: str = "vec_id", vec_co
         if len(queries) and len(candidates):
             x = np.stack(candidates["vec"].to_numpy()).astype(np.float64)
             ids = candidates["id"].to_numpy()
-            for lo in range(0, len(queries), 1024):
-                q = np.stack(queries["vec"].to_numpy()[lo:lo + 1024]).astype(np.float64)
-                names = queries["id"].to_numpy()[lo:lo + 1024]
+            step = max(64, 1024 * BLOCK // max(BLOCK, len(candidates)))
+            for lo in range(0, len(queries), step):
+                q = np.stack(queries["vec"].to_numpy()[lo:lo + step]).astype(np.float64)
+                names = queries["id"].to_numpy()[lo:lo + step]
                 s = q @ x.T
                 s[names[:, None] == ids[None, :]] = -np.inf
                 top = min(k, s.shape[1])
                 least = np.partition(s, s.shape[1] - top, 1)[:, s.shape[1] - top]
-                least = np.fmax(least, queries["bound"].to_numpy(np.float64)[lo:lo + 1024])
+                least = np.fmax(least, queries["bound"].to_numpy(np.float64)[lo:lo + step])
                 row, at = np.nonzero((s >= least[:, None] - 1e-9 * np.abs(least[:, None])) & np.isfinite(s))
                 out["query_id"].append(names[row])
                 out["id"].append(ids[at])
