@@ -152,7 +152,7 @@ def row_sums(z: np.ndarray) -> np.ndarray:
 def exponents(rows: np.ndarray, weights: np.ndarray, bias: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The exponentials of each row's outcomes less the largest, and their sums as a column. An outcome's values lie side by
     side: so every step is over long stretches of them."""
-    z = (weights.T @ rows.T).T
+    z = np.asfortranarray(rows @ weights)
     z += bias
     z -= row_max(z)
     np.exp(z, out=z)
